@@ -11,7 +11,7 @@ WITH RECURSIVE tokens AS (
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
   FROM tokens
 ), items AS (SELECT doc_id, unnest(s) AS item FROM sets),
 shared AS (
