@@ -5,19 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.decontamination import leaks
+from quarry.llm.mixing import mix_digest
 from quarry.llm.near_duplicates import near_duplicates
+from quarry.llm.pseudonyms import pseudonymise
+from quarry.llm.resampling import resample
+from quarry.llm.shared import Scratch
+from quarry.llm.token_rollups import TokenRollup, count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A key for the registered query; a deployment passes its own.
+DEMO_KEY = b"quarry demonstration key"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return found.select("doc_id", "text", "n_replaced", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents."""
+    drawn = resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "log_weight", "key")
+
+
+def op7_token_rollups(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Token totals after four batches: all documents arrive with an estimate of a token for four characters; the
+    estimates are revised to exact counts; documents labelled toxic are taken down; the last batch is sent again."""
+    import public_tokenizers
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    scratch = Scratch(spark, "rollup")
+    estimate = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("estimate")
+    sized = docs.select("doc_id", "source", "lang", "text", estimate)
+    counted = scratch.table(count_tokens(sized, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN), "counts")
+    tokenizer = F.lit(vocabulary.partition(".")[0]).alias("tokenizer")
+    rollup = TokenRollup(spark, f"{scratch.root}/rollup")
+    insert = counted.select(F.lit("insert").alias("action"), "source", "lang", tokenizer, F.col("estimate").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"))
+    revise = counted.select(F.lit("revise").alias("action"), "source", "lang", tokenizer, "tokens", F.col("estimate").alias("old_tokens"))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    delete = counted.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("action"), "source", "lang", tokenizer, "tokens", F.lit(None).cast("long").alias("old_tokens"))
+    for batch, changes in (("load", insert), ("exact", revise), ("takedown", delete), ("takedown", delete)):
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
+def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_minhash_near_duplicates,)}
+    own = (op1_feistel_pseudonyms, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op9_simhash_decontamination, op10_hypergeometric_mix)
+    return {f.__name__: f for f in own}
