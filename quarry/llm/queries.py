@@ -12,8 +12,11 @@ from quarry.llm.mixing import mix_digest
 from quarry.llm.near_duplicates import near_duplicates
 from quarry.llm.pseudonyms import pseudonymise
 from quarry.llm.resampling import resample
+from quarry.llm.secret_scan import labelled_findings, scan, train
 from quarry.llm.shared import Scratch
 from quarry.llm.token_rollups import TokenRollup, count_tokens
+from quarry.llm.url_filter import judge, labelled_pages, mine
+from quarry.llm.vectors import nearest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +33,26 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_replaced", F.array_join("kinds", ",").alias("kinds"))
 
 
+def op2_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_read(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    return found.select("doc_id", "word_no", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "probability", "is_secret")
+
+
+def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20, metric="inner")
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    rules = mine(labelled_pages(pages, _read(spark, sf_dir, "labels")))
+    return judge(pages, rules, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -70,5 +93,5 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_feistel_pseudonyms, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op9_simhash_decontamination, op10_hypergeometric_mix)
+    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op9_simhash_decontamination, op10_hypergeometric_mix)
     return {f.__name__: f for f in own}
