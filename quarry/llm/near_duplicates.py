@@ -27,8 +27,10 @@ VALUES, CHUNKS = 36, 9
 WIDTH = VALUES // CHUNKS
 #: One chunk in any signatures up to this distance has one difference at most.
 RADIUS = 2 * CHUNKS - 1
-#: Buckets up to this many classes are compared in full; larger ones by pivots, until nothing is left to compare.
+#: Buckets up to this many classes are compared in full by a join; larger ones by pivots, and what these leave by blocks.
 SMALL = 8
+#: Pivots of a large bucket, and classes in a block.
+PIVOTS, BLOCK = 8, 512
 #: Pairs this near are confirmed first: most are links, and then spare the rest of their group.
 NEAR = 8
 _LANES = [f"s{i}" for i in range(VALUES // 4)]
@@ -74,7 +76,53 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = [j for j in range(WIDTH) if j != gone]
                 out[chunk * WIDTH + gone] = mix(sum((sig[:, chunk * WIDTH + j] + np.uint64(1)) * factors[j] for j in kept) + np.uint64(chunk * WIDTH + gone) * factors[WIDTH])
         ids = np.tile(batch.column("cid").to_numpy(zero_copy_only=False), VALUES)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(out.reshape(-1))), pa.array(ids)], names=["key", "cid"])
+        slots = np.repeat(np.arange(VALUES, dtype=np.int32), len(sig))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(out.reshape(-1))), pa.array(ids), pa.array(slots)], names=["key", "cid", "slot"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The shingle set of each text, as bytes."""
+    for batch in batches:
+        for a, b, found in texts(batch.column("text"), lower=True):
+            h, first = shingles(found, words)
+            own = [np.unique(h[first[d] : first[d + 1]]).tobytes() for d in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid").slice(a, b - a), pa.array(own, pa.binary())], names=["cid", "shingles"])
+
+
+def _block_links(group: pa.Table, percent: int) -> pa.Table:
+    """Links between classes of one bucket whose labels differ: of a block with itself, or of two blocks.
+
+    A pair counts in the bucket of its first common key only. A link joins two labels, so pairs of these need no more.
+    """
+    one, two = group["low"][0].as_py(), group["high"][0].as_py()
+    cid, label, own, n, slot = (group[c].to_numpy() for c in ("cid", "label", "block", "n_shingles", "slot"))
+    values = np.ascontiguousarray(np.stack([group[c].to_numpy() for c in _LANES], axis=1)).view(np.uint16)
+    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in group["shingles"]]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for x in range(len(cid)):
+        later = np.arange(x + 1, len(cid))
+        ys = later if one == two else later[own[later] != own[x]]
+        differ = (values[ys] != values[x]).reshape(len(ys), CHUNKS, WIDTH)
+        apart = differ.sum(axis=2)
+        chunk, gone = int(slot[x]) // WIDTH, int(slot[x]) % WIDTH
+        first = np.argmax(apart <= 1, axis=1) == chunk
+        variant = np.where(apart[:, chunk] == 0, gone == 0, differ[:, chunk, gone]) if len(ys) else np.zeros(0, bool)
+        near = (apart.sum(axis=1) <= RADIUS) & (n[ys] * 100 >= n[x] * percent) & (n[x] * 100 >= n[ys] * percent)
+        for y in ys[first & variant & near]:
+            if root(label[x]) == root(label[y]):
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                parent[root(label[x])] = root(label[y])
+                out.append((min(cid[x], cid[y]), max(cid[x], cid[y])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -101,8 +149,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[yes]), pa.array(np.array(b, np.int64)[yes])], names=["a", "b"])
 
 
-def _differences(x: str, y: str) -> Column:
-    """How many of the 16-bit values of two signatures differ; each s column holds four values."""
+def _apart(x: str, y: str) -> list[Column]:
+    """How many values of each chunk differ between two signatures; a chunk's four values are one column."""
 
     def lane(c: str) -> Column:
         v = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
@@ -110,18 +158,25 @@ def _differences(x: str, y: str) -> Column:
             v = v.bitwiseOR(F.shiftrightunsigned(v, n))
         return F.bit_count(v.bitwiseAND(F.lit(0x0001000100010001)))
 
-    return reduce(lambda p, q: p + q, (lane(c) for c in _LANES))
+    return [lane(c) for c in _LANES]
 
 
 def _comparable(x: str, y: str, percent: int) -> Column:
-    """Near enough by signature, and of sizes that let the sets be similar enough."""
-    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (_differences(x, y) <= RADIUS)
+    """Near enough by signature, of sizes that let the sets be similar enough, and met under their first common key."""
+    n, m, slot, apart = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles"), F.col(f"{x}.slot"), _apart(x, y)
+    first = F.lit(CHUNKS)
+    own = F.lit(0)
+    for i in reversed(range(CHUNKS)):
+        first = F.when(apart[i] <= 1, i).otherwise(first)
+        own = F.when(F.floor(slot / WIDTH) == i, apart[i]).otherwise(own)
+    # A chunk without a difference has all its keys in common, of which the first counts; else only one key is common.
+    met = (first == F.floor(slot / WIDTH)) & ((slot % WIDTH == 0) | (own == 1))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (reduce(lambda p, q: p + q, apart) <= RADIUS) & met
 
 
 def _pair(x: str, y: str) -> list[Column]:
     p, q = F.col(f"{x}.cid"), F.col(f"{y}.cid")
-    return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), _differences(x, y).alias("far")]
+    return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), reduce(lambda p, q: p + q, _apart(x, y)).alias("far")]
 
 
 class _Links:
@@ -153,8 +208,14 @@ class _Links:
                 continue
             one = left.join(self.docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             two = one.join(self.docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-            links = self.scratch.table(two.mapInArrow(partial(_confirm, words=self.words, percent=self.percent), "a long, b long"), name)
+            self.link(two.mapInArrow(partial(_confirm, words=self.words, percent=self.percent), "a long, b long"), name)
             self.scratch.drop(f"{name}-pairs")
+        self.scratch.drop(f"pairs{self.turn}")
+
+    def link(self, links: DataFrame, name: str) -> None:
+        """Take confirmed links (a, b) into the labels."""
+        links = self.scratch.table(links, name)
+        if not links.isEmpty():
             joined = self.unsettled(links)
             found = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")), self.scratch, f"{name}-labels")
             moved = links.select(F.col("a").alias("node")).union(links.select("b"))
@@ -163,7 +224,6 @@ class _Links:
             moved = self.label(moved.distinct(), "node", "was")
             new = moved.join(found.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
             self.labels = self.scratch.table(new, f"{name}-now")
-        self.scratch.drop(f"pairs{self.turn}")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -177,9 +237,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     kept (doc_id = component_id).
 
     Documents with equal sets are one class from the start, represented by their smallest doc_id, so exact copies
-    never meet in pairs. Buckets of up to SMALL classes are compared in full. In a larger bucket, pivots (classes
-    outside its largest component so far) meet all the others and leave it; it is done when one component is left,
-    so a bucket of near copies ends after a few rounds without all its pairs, and no link between components is lost.
+    never meet in pairs. Buckets of up to SMALL classes are compared in full. In a larger bucket, a few pivots (classes
+    outside its largest component so far) meet all the others, which joins most of a group of near copies; buckets that
+    still hold several components are then cut into blocks, and each two blocks compare their pairs of different
+    components inside one task, which returns links only. So no group's pairs are written out, and no link between components is lost.
 
     A null or empty text, or one without words, has an empty set and stays alone. Rows that repeat a doc_id are all
     returned, each judged by its own text. A row without a doc_id is returned with its n_shingles, a null
@@ -191,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketch = scratch.table(docs.mapInArrow(partial(_sketch, words=words), _SKETCH), "sketch")
     whole = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.table(whole.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("cid"), *(F.min(c).alias(c) for c in _LANES)), "classes")
-    keys = classes.select("cid", *_LANES).mapInArrow(_keys, "key long, cid long")
+    keys = classes.select("cid", *_LANES).mapInArrow(_keys, "key long, cid long, slot int")
     shared = scratch.table(keys.groupBy("key").count().where("count > 1"), "keys")
     members = keys.join(shared, "key").join(classes.select("cid", "n_shingles", *_LANES), "cid")
     members = scratch.table(members, "members")
@@ -199,33 +260,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     small, large = members.where(F.col("count") <= SMALL), members.where(F.col("count") > SMALL)
     x, y = small.alias("x"), small.alias("y")
     links.add(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & _comparable("x", "y", percent)).select(*_pair("x", "y")))
-    _pivot_rounds(large.drop("count"), links, scratch, percent)
+    _large_buckets(large.drop("count"), links, scratch, percent)
     return _result(sketch, classes, links)
 
 
-def _pivot_rounds(large: DataFrame, links: _Links, scratch: Scratch, percent: int) -> None:
-    turn = 0
-    while True:
-        own = scratch.table(links.label(large, "cid", "label"), f"large{turn}")
-        sizes = scratch.table(own.groupBy("key", "label").agg(F.count("*").alias("size")), f"sizes{turn}")
-        buckets = sizes.groupBy("key").agg(F.sum("size").alias("total"), F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-        buckets = scratch.table(buckets.select("key", F.col("top.label").alias("most"), (F.col("total") - F.col("top.size")).alias("rest")), f"buckets{turn}")
-        scratch.drop(f"sizes{turn}")
-        if buckets.isEmpty():
-            return
-        own = scratch.table(own.join(buckets, "key"), f"open{turn}")
-        # Up to a number that grows with the rounds, all classes outside the largest component are pivots; beyond it,
-        # those with the smallest hashes, so that buckets with the same classes take the same pivots.
-        share = F.lit(8.0 * 4**turn) / F.col("rest")
-        chance = F.xxhash64("cid", F.lit(turn)).cast("double") / F.lit(2.0**64) + 0.5
-        pivots = own.where((F.col("label") != F.col("most")) & (chance <= share))
-        x, y = pivots.alias("x"), own.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _comparable("x", "y", percent))
-        links.add(met.select(*_pair("x", "y")))
-        left = own.join(pivots.select(F.col("key").alias("_k"), F.col("cid").alias("_c")), (F.col("key") == F.col("_k")) & (F.col("cid") == F.col("_c")), "left_anti")
-        large = scratch.table(left.select(*large.columns), f"left{turn}")
-        scratch.drop(f"large{turn}", f"open{turn}", f"left{turn - 1}")
-        turn += 1
+def _open(large: DataFrame, links: _Links, scratch: Scratch, name: str) -> DataFrame:
+    """Members of the buckets that still hold several components, with label, total, and rest (classes outside the largest component)."""
+    own = scratch.table(links.label(large, "cid", "label"), f"{name}-all")
+    sizes = own.groupBy("key", "label").agg(F.count("*").alias("size"))
+    buckets = sizes.groupBy("key").agg(F.sum("size").alias("total"), F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    buckets = scratch.table(buckets.select("key", "total", F.col("top.label").alias("most"), (F.col("total") - F.col("top.size")).alias("rest")), f"{name}-buckets")
+    found = scratch.table(own.join(buckets, "key"), name)
+    scratch.drop(f"{name}-all", f"{name}-buckets")
+    return found
+
+
+def _large_buckets(large: DataFrame, links: _Links, scratch: Scratch, percent: int) -> None:
+    """Pivots join most of a bucket of near copies; the pairs of different components that are left are met in blocks."""
+    own = _open(large, links, scratch, "large")
+    # Some classes outside the largest component: those with the smallest hashes, so that buckets with the same classes take the same.
+    chance = F.xxhash64("cid", F.lit(1)).cast("double") / F.lit(2.0**64) + 0.5
+    pivots = own.where((F.col("label") != F.col("most")) & (chance <= F.lit(float(PIVOTS)) / F.col("rest")))
+    x, y = pivots.alias("x"), own.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _comparable("x", "y", percent))
+    links.add(met.select(*_pair("x", "y")))
+    scratch.drop("large")
+    own = _open(large, links, scratch, "rest").drop("most", "rest")
+    if own.isEmpty():
+        return
+    texts_ = links.docs.select(F.col("doc_id").alias("cid"), "text").join(own.select("cid").distinct(), "cid")
+    sets = scratch.table(texts_.mapInArrow(partial(_sets, words=links.words), "cid long, shingles binary"), "sets")
+    parts = F.ceil(F.col("total") / BLOCK).cast("int")
+    own = own.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(2)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    own = own.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "total").join(sets, "cid")
+    links.link(own.groupBy("key", "low", "high").applyInArrow(partial(_block_links, percent=percent), "a long, b long"), "blocks")
 
 
 def _result(sketch: DataFrame, classes: DataFrame, links: _Links) -> DataFrame:
