@@ -293,7 +293,7 @@ def _large_buckets(large: DataFrame, links: _Links, scratch: Scratch, percent: i
     parts = F.ceil(F.col("total") / BLOCK).cast("int")
     own = own.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(2)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     own = own.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "total").join(sets, "cid")
-    links.link(own.groupBy("key", "low", "high").applyInArrow(partial(_block_links, percent=percent), "a long, b long"), "blocks")
+    links.link(own.groupBy("key", "low", "high").applyInArrow(lambda group: _block_links(group, percent), "a long, b long"), "blocks")
 
 
 def _result(sketch: DataFrame, classes: DataFrame, links: _Links) -> DataFrame:

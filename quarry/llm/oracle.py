@@ -25,6 +25,23 @@ reach(doc_id, other) AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
 """
 
+OP8 = f"""
+WITH tokens AS (
+  SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM tokens)
+), late AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS n FROM windows) WHERE n > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM tokens),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT tokens.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM tokens LEFT JOIN kept ON kept.doc_id = tokens.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_duplicates": OP5}
+    return {"op5_minhash_near_duplicates": OP5, "op8_suffix_tree_dedup": OP8}

@@ -14,6 +14,7 @@ from quarry.llm.pseudonyms import pseudonymise
 from quarry.llm.resampling import resample
 from quarry.llm.secret_scan import labelled_findings, scan, train
 from quarry.llm.shared import Scratch
+from quarry.llm.substrings import substring_digest
 from quarry.llm.token_rollups import TokenRollup, count_tokens
 from quarry.llm.url_filter import judge, labelled_pages, mine
 from quarry.llm.vectors import nearest
@@ -84,6 +85,10 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_
     return rollup.totals()
 
 
+def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(_read(spark, sf_dir, "documents"), n=20)
+
+
 def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -93,5 +98,5 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op9_simhash_decontamination, op10_hypergeometric_mix)
+    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op8_suffix_tree_dedup, op9_simhash_decontamination, op10_hypergeometric_mix)
     return {f.__name__: f for f in own}

@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import Scratch
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: What a word's value may be wrapped in, and what it consists of.
 VALUE = r"""(?:^|[=:"'`(<\[])([A-Za-z0-9_+/~.-]{12,400}={0,2})["'`\])>,;.!?*$%#&|]*$"""
@@ -69,9 +71,17 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     Null and empty texts have none. Rows that repeat a doc_id each give theirs.
     """
     docs = docs.select("doc_id", "text", (F.col(path) if path else F.lit("")).cast("string").alias("path"))
-    words = docs.select("doc_id", "path", F.split(F.coalesce("text", F.lit("")), SPACE).alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= 12) & F.get("w", i).rlike("[0-9]") & F.get("w", i).rlike(VALUE))
-    found = words.select("doc_id", "path", F.transform(at, lambda i: F.struct(i.alias("word_no"), F.get("w", i).alias("word"), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).alias("before"), F.get("w", i + 1).alias("after"))).alias("c"))
+
+    def fits(w: Column, i: Column) -> Column:
+        return (F.length(F.get(w, i)) >= 12) & F.get(w, i).rlike("[0-9]") & F.get(w, i).rlike(VALUE)
+
+    def around(w: Column, i: Column) -> Column:
+        return F.struct(i.alias("word_no"), F.get(w, i).alias("word"), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.get(w, i + 1).alias("after"))
+
+    # The words are the variable of a lambda, so that they are split once and not for each use.
+    words = F.split(F.coalesce("text", F.lit("")), SPACE)
+    one_text = F.transform(F.array(words), lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: fits(w, i)), lambda i: around(w, i)))
+    found = docs.select("doc_id", "path", F.flatten(one_text).alias("c"))
     one = found.select("doc_id", "path", F.explode("c").alias("c")).select("doc_id", "path", "c.*")
     value = F.regexp_replace(F.regexp_extract("word", VALUE, 1), r"\.+$", "")
     one = one.select("doc_id", "word_no", value.alias("value"), "before", "after", F.regexp_extract("word", NAME, 1).alias("name"), "path")
@@ -118,8 +128,10 @@ def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
 
 def train(findings: DataFrame, trees: int = 40, depth: int = 8, rows: int = FINDINGS, seed: int = 1) -> PipelineModel:
     """A forest trained on findings (value, before, after, name, path, is_secret), at most `rows` of them."""
+    scratch = Scratch(findings.sparkSession, "findings")
+    findings = scratch.table(findings.select("value", "before", "after", "name", "path", "is_secret"), "labelled")
     used = features(findings.where("value is not null and is_secret is not null").orderBy(F.xxhash64("value", F.lit(seed)), "value").limit(rows))
-    used = used.select(*FEATURES, F.col("is_secret").cast("double").alias("label"))
+    used = scratch.table(used.select(*FEATURES, F.col("is_secret").cast("double").alias("label")), "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(used)
 
@@ -130,7 +142,7 @@ def scan(docs: DataFrame, model: PipelineModel, path: str | None = "source", lea
     docs: doc_id long, text string, and the column that `path` names; others are ignored. Null and empty texts have no
     candidates; rows that repeat a doc_id each give theirs; an empty table gives an empty result.
     """
-    found = candidates(docs, path)
+    found = Scratch(docs.sparkSession, "secrets").table(candidates(docs, path), "candidates")
     kept = found.columns
     scored = model.transform(features(found)).withColumn("probability", F.round(vector_to_array("probability")[1], 9))
     return scored.select(*kept, "probability", (F.col("probability") >= least).alias("is_secret"))
