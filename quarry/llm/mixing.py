@@ -205,7 +205,7 @@ def draw(docs: DataFrame, **options: object) -> DataFrame:
     sized = sized_documents(docs, Scratch(docs.sparkSession, "mixing"))
     plan = plan_mix(sized, **options)
     clean = docs.drop("size", "source_size", "target", "copies", "shards", "shard", "shuffle_key", "draw")
-    taken = plan.apply(clean).where("copies > 0")
+    taken = plan.apply(clean.withColumn("size", n_words(F.col("text")))).where("copies > 0")
     drawn = taken.select(*clean.columns, F.posexplode("shards").alias("draw", "shard"))
     return drawn.withColumn("shuffle_key", F.xxhash64("shard", "draw", "doc_id", F.lit(plan.seed + 1)))
 
