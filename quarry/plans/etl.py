@@ -1 +1,49 @@
-"""Placeholder."""
+"""Knowledge building over documents, as if each were a Markdown file or an FAQ row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.plans.registry import query
+from quarry.sources import knowledge as K
+from quarry.sources.tables import Tables
+
+
+@query("cmp05_packed_chunks")
+def packed(t: Tables) -> DataFrame:
+    """Each document becomes a file with its source as heading; the small budget makes most of them several chunks."""
+    text = F.concat(F.lit("# "), "source", F.lit("\n"), "text")
+    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))
+    return K.chunks(K.sections(files), K.Budget.of(512)).select("path", "section_path", "chunk_index", "kind", "tokens", "flagged", "content_hash")
+
+
+@query("cmp03_faq_chunks", "SELECT 'faq:' || CAST(doc_id AS VARCHAR) AS source, coalesce(nullif(lang, ''), 'uncategorised') AS category, sha256(text) AS content_hash FROM documents WHERE doc_id % 4 <> 0 AND trim(text) <> ''")
+def faq(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("faq_id"), F.col("source").alias("question"), F.col("text").alias("answer"), F.col("lang").alias("category"), (F.col("doc_id") % 4 != 0).alias("is_active"))
+    return K.faq_chunks(rows).select("source", "category", "content_hash")
+
+
+@query("src13_corpus_manifest", "SELECT lang, doc_id // 1000 AS part, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS manifest FROM documents GROUP BY 1, 2")
+def manifest(t: Tables) -> DataFrame:
+    """An ordered hash of each thousand ids, so that no task holds the list of all."""
+    rows = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", rows.alias("r")))), lambda x: x["r"])
+    return t.documents.groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("manifest"))
+
+
+@query("src04_active_faq", "SELECT doc_id FROM documents WHERE n_chars > 500 ORDER BY n_chars, doc_id LIMIT 200")
+def active(t: Tables) -> DataFrame:
+    return t.documents.where("n_chars > 500").orderBy("n_chars", "doc_id").limit(200).select("doc_id")
+
+
+@query("src06_eval_set_violations", "SELECT (SELECT count(*) - count(DISTINCT item_id) FROM benchmark) AS repeated_ids, (SELECT count(*) FROM (SELECT lang FROM documents GROUP BY lang HAVING count(DISTINCT doc_id % 2) > 1)) AS crossing_clusters")
+def violations(t: Tables) -> DataFrame:
+    ids = t.benchmark.agg((F.count("*") - F.countDistinct("item_id")).alias("repeated_ids"))
+    crossing = t.documents.groupBy("lang").agg(F.countDistinct(F.col("doc_id") % 2).alias("n")).where("n > 1").agg(F.count("*").alias("crossing_clusters"))
+    return ids.crossJoin(crossing)  # one row each
+
+
+@query("src08_trusted_messages", "SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'assistant') AND turn > 0 ORDER BY conv_id, turn LIMIT 2000")
+def trusted(t: Tables) -> DataFrame:
+    return t.conversations.where("role IN ('user', 'assistant') AND turn > 0").orderBy("conv_id", "turn").limit(2000).select("conv_id", "turn")
