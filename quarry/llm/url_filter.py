@@ -12,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import Scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = "label=block"
 
@@ -27,22 +29,20 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: its scheme, labels of the host and their parts, the folders of the path, the ending of its
-    last name, and the names of query parameters. Numbers are written as #."""
+    """Distinct tokens of a URL: the labels of its host and their parts, the folders of the path, the ending of its last name,
+    and the names of query parameters. Runs of digits are written as #, and what is nothing else is left out."""
 
-    def parts(text: Column, by: str, mark: str) -> Column:
-        cut = F.filter(F.split(text, by), lambda x: x != "")
-        return F.transform(cut, lambda x: F.concat(F.lit(mark), F.regexp_replace(x, "[0-9]+", "#")))
+    def marked(parts: Column, mark: str) -> Column:
+        named = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, "[0-9]+", "#")), lambda x: ~x.isin("", "#"))
+        return F.transform(named, lambda x: F.concat(F.lit(mark), x))
 
     h, p = host(url), path(url)
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.regexp_replace(x, "(?s)=.*", ""))
-    return F.array_distinct(F.concat(
-        F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))),
-        parts(h, r"\.", "label="), parts(h, r"[.-]", "part="), parts(F.lower(p), "/", "folder="),
-        F.array(F.concat(F.lit("ending="), F.lower(F.regexp_extract(p, r"\.([A-Za-z0-9]{1,5})$", 1)))),
-        F.transform(names, lambda x: F.concat(F.lit("query="), x)),
-    ))
+    names = F.transform(F.split(query, "&"), lambda x: F.regexp_replace(x, "(?s)=.*", ""))
+    hyphened = F.flatten(F.transform(F.filter(F.split(h, r"\."), lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-")))
+    ending = F.regexp_extract(p, r"\.([A-Za-z0-9]{1,5})$", 1)
+    folders = F.split(F.regexp_replace(F.lower(p), r"\.[a-z0-9]{1,5}$", ""), "/")
+    return F.array_distinct(F.concat(marked(F.split(h, r"\."), "label="), marked(hyphened, "part="), marked(folders, "folder="), marked(F.array(F.lower(ending)), "ending="), marked(names, "query=")))
 
 
 def mine(labelled: DataFrame, min_count: int = 8, min_confidence: float = 0.75, rows: int = 50_000, seed: int = 3) -> DataFrame:
@@ -55,16 +55,23 @@ def mine(labelled: DataFrame, min_count: int = 8, min_confidence: float = 0.75,
     none = spark.createDataFrame([], "rule array<string>, confidence double, token string")
     fine = labelled.select("url", "blocked").where("url is not null and blocked is not null")
     fine = fine.orderBy(F.xxhash64("url", F.lit(seed)), "url", "blocked").limit(rows)
-    items = fine.select(F.when(F.col("blocked"), F.array_append(tokens(F.col("url")), F.lit(_BLOCK))).otherwise(tokens(F.col("url"))).alias("items"))
+    own = tokens(F.col("url"))
+    items = fine.select(F.when(F.col("blocked"), F.array_append(own, F.lit(_BLOCK))).otherwise(own).alias("items"))
+    scratch = Scratch(spark, "rules")
+    items = scratch.table(items.repartition(16), "labelled")
     n = items.count()
     if not n:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_count / n), minConfidence=min_confidence).fit(items)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
-    rules = model.associationRules.where(F.array_contains("consequent", _BLOCK)).select(F.array_sort("antecedent").alias("rule"), "confidence")
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, min_count / n)).fit(items).freqItemsets
+    sets = scratch.table(found.select(F.array_sort("items").alias("items"), "freq"), "sets")
+    # Confidence: how often a set stands with the label, of how often it stands at all.
+    blocked = sets.where(F.array_contains("items", _BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", _BLOCK).alias("rule"), F.col("freq").alias("with_label"))
+    rules = blocked.join(sets, F.col("rule") == F.col("items")).select("rule", (F.col("with_label") / F.col("freq")).alias("confidence")).where(F.col("confidence") >= min_confidence)
+    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     filed = rules.select("rule", "confidence", F.explode("rule").alias("token")).join(single, "token")
     rarest = filed.groupBy("rule", "confidence").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    return rarest.select("rule", "confidence", F.col("rarest.token").alias("token"))
+    # Written, so that its size is known when a join with it is planned.
+    return scratch.table(rarest.select("rule", "confidence", F.col("rarest.token").alias("token")), "rules")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
