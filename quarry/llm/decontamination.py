@@ -160,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float =
 
     docs: doc_id long, text string; benchmark: item_id long, text string; other columns are ignored. Words are
     lower-cased over A-Z. A window has as many words as the item; a shorter document is one window. A text with fewer than
-    `words` words is one shingle. Null and empty texts, and items without an id, match nothing; a null doc_id is
+    `words` words is one shingle, so that so short an item matches documents that are equal to it, and no others. Null and empty texts, and items without an id, match nothing; a null doc_id is
     returned as such. Rows that repeat a doc_id each give their matches. If several windows are equally similar, the
     first counts. An empty table gives an empty result.
     """
