@@ -43,17 +43,24 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense(questions: DataFrame, vectors: DataFrame, k: int = 50, block: int = 256) -> DataFrame:
-    """The k chunks with the largest cosine for each question (question_id, vector) among vectors (chunk_id, vector), exactly.
-
-    The question set is cut into blocks, and each block meets every vector once.
-    """
+def _scored(questions: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
+    """Cosines of the question set, cut into blocks, with every vector; each block meets every vector once."""
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
     asked = questions.where(dot(F.col("vector"), F.col("vector")) > 0).select("question_id", unit(F.col("vector")).alias("q"))
     asked = asked.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(block)).alias("_block")).agg(F.collect_list(F.struct("question_id", "q")).alias("asked"))
     held = vectors.where(dot(F.col("vector"), F.col("vector")) > 0).select("chunk_id", unit(F.col("vector")).alias("v"))
     met = held.crossJoin(asked.drop("_block")).select("chunk_id", "v", F.explode("asked").alias("a"))
-    return top(met.select(F.col("a.question_id").alias("question_id"), "chunk_id", F.round(dot(F.col("a.q"), F.col("v")), 9).alias("score")), k)
+    return met.select(F.col("a.question_id").alias("question_id"), "chunk_id", F.round(dot(F.col("a.q"), F.col("v")), 9).alias("score"))
+
+
+def dense(questions: DataFrame, vectors: DataFrame, k: int = 50, block: int = 256) -> DataFrame:
+    """The k chunks with the largest cosine for each question (question_id, vector) among vectors (chunk_id, vector), exactly."""
+    return top(_scored(questions, vectors, block), k)
+
+
+def similar(questions: DataFrame, vectors: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """All pairs whose cosine reaches least."""
+    return _scored(questions, vectors, block).where(F.col("score") >= least)
 
 
 def fuse(lists: list[DataFrame], k: int = 50) -> DataFrame:

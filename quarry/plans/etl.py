@@ -18,9 +18,9 @@ def packed(t: Tables) -> DataFrame:
     return K.chunks(K.sections(files), K.Budget.of(512)).select("path", "section_path", "chunk_index", "kind", "tokens", "flagged", "content_hash")
 
 
-@query("cmp03_faq_chunks", "SELECT 'faq:' || CAST(doc_id AS VARCHAR) AS source, coalesce(nullif(lang, ''), 'uncategorised') AS category, sha256(text) AS content_hash FROM documents WHERE doc_id % 4 <> 0 AND trim(text) <> ''")
+@query("cmp03_faq_chunks", "SELECT 'faq:' || CAST(doc_id AS VARCHAR) AS source, coalesce(nullif(lang, ''), 'uncategorised') AS category, sha256(text) AS content_hash FROM documents WHERE lang <> 'de' AND trim(text) <> ''")
 def faq(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").alias("faq_id"), F.col("source").alias("question"), F.col("text").alias("answer"), F.col("lang").alias("category"), (F.col("doc_id") % 4 != 0).alias("is_active"))
+    rows = t.documents.select(F.col("doc_id").alias("faq_id"), F.col("source").alias("question"), F.col("text").alias("answer"), F.col("lang").alias("category"), (F.col("lang") != "de").alias("is_active"))
     return K.faq_chunks(rows).select("source", "category", "content_hash")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
@@ -150,12 +150,12 @@ def unfinished(t: Tables) -> DataFrame:
     return t.documents.join(done, ["doc_id", "lang"], "left_anti").select("doc_id")
 
 
-@query("set07_connected_groups", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0 AND l_linenumber = 1),
-sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(id, other) AS (SELECT a, a FROM sym UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.other) SELECT id, min(other) AS component FROM reach GROUP BY 1""")
+@query("set07_connected_groups", "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS component FROM documents")
 def groups(t: Tables) -> DataFrame:
-    items = t.lineitem.where("l_linenumber = 1").join(t.orders.where("o_orderkey % 50 = 0"), F.col("l_orderkey") == F.col("o_orderkey"))
-    e = items.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
-    return components(e.select(F.col("a").alias("id")).union(e.select("b")).distinct(), e)
+    """Each document is linked to the one before with the same text; chains join to groups."""
+    before = F.lag("doc_id").over(Window.partitionBy(F.md5("text")).orderBy("doc_id"))
+    e = t.documents.select(F.col("doc_id").alias("a"), before.alias("b")).where("b IS NOT NULL")
+    return components(t.documents.select(F.col("doc_id").alias("id")), e)
 
 
 @query("win07_capped_groups", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 5")

@@ -94,14 +94,14 @@ def groups(t: Tables) -> DataFrame:
     return M.candidate_groups(W.build_turns(t.conversations))
 
 
-@query("cmp17_global_dedupe", f"""WITH {TURNS}, g AS (SELECT substr(lower(regexp_replace(question_text, '[\\s[:punct:]]+', '', 'g')), 1, 6) AS k, sha256(regexp_replace(answer_text, '\\s+', '', 'g')) AS a FROM turns),
+@query("cmp17_global_dedupe", f"""WITH {TURNS}, g AS (SELECT lower(regexp_replace(question_text, '[\\s[:punct:]]+', '', 'g')) AS k, sha256(regexp_replace(answer_text, '\\s+', '', 'g')) AS a FROM turns),
 fresh AS (SELECT k, count(DISTINCT a) AS n, min(a) AS a FROM g GROUP BY 1),
-known AS (SELECT substr(lower(regexp_replace(text, '[\\s[:punct:]]+', '', 'g')), 1, 6) AS k, sha256(regexp_replace(text, '\\s+', '', 'g')) AS a FROM benchmark)
+known AS (SELECT lower(regexp_replace(text, '[\\s[:punct:]]+', '', 'g')) AS k, sha256(regexp_replace(text, '\\s+', '', 'g')) AS a FROM benchmark)
 SELECT f.k AS question_key, CASE WHEN f.n > 1 THEN 'conflict' WHEN count(known.k) = 0 THEN 'keep' WHEN bool_or(known.a = f.a) THEN 'duplicate' ELSE 'conflict' END AS decision FROM fresh f LEFT JOIN known ON known.k = f.k GROUP BY f.k, f.n""")
 def dedupe(t: Tables) -> DataFrame:
     turns = W.build_turns(t.conversations)
-    fresh = turns.select(F.substring(M.question_key(F.col("question_text")), 1, 6).alias("question_key"), M.answer_key(F.col("answer_text")).alias("answer_key"))
-    known = t.benchmark.select(F.substring(M.question_key(F.col("text")), 1, 6).alias("question_key"), M.answer_key(F.col("text")).alias("answer_key"))
+    fresh = turns.select(M.question_key(F.col("question_text")).alias("question_key"), M.answer_key(F.col("answer_text")).alias("answer_key"))
+    known = t.benchmark.select(M.question_key(F.col("text")).alias("question_key"), M.answer_key(F.col("text")).alias("answer_key"))
     return M.decide(fresh, known)
 
 

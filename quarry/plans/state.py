@@ -9,8 +9,8 @@ from quarry.operators import merge as M
 from quarry.plans.registry import query
 from quarry.sources.tables import Tables
 
-_TWO = """old AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_key, source, md5(text) AS content_hash, 't1' AS template, CASE WHEN doc_id % 11 = 0 THEN 'superseded' ELSE 'vectorized' END AS status FROM documents WHERE doc_id % 5 <> 0),
-new AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_key, source, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS content_hash, 't1' AS template, doc_id % 13 = 0 AS needs_review FROM documents WHERE doc_id % 3 <> 0 AND source <> 'src1')"""
+_TWO = """old AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_key, source, md5(text) AS content_hash, 't1' AS template, CASE WHEN source = 'src11' THEN 'superseded' ELSE 'vectorized' END AS status FROM documents WHERE lang <> 'es'),
+new AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_key, source, md5(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS content_hash, 't1' AS template, n_chars > 8000 AS needs_review FROM documents WHERE n_chars > 300 AND source <> 'src1')"""
 _UPSERT = f"""WITH {_TWO}, touched AS (SELECT DISTINCT source FROM new), j AS (SELECT coalesce(n.chunk_key, o.chunk_key) AS chunk_key, o.chunk_key AS ok, n.chunk_key AS nk, o.status, n.needs_review, o.content_hash <> n.content_hash OR o.status = 'superseded' AS changed, t.source AS touched
   FROM old o LEFT JOIN touched t ON t.source = o.source FULL JOIN new n ON n.chunk_key = o.chunk_key), a AS (SELECT *, CASE WHEN ok IS NULL THEN 'inserted' WHEN nk IS NOT NULL THEN CASE WHEN needs_review THEN 'review' WHEN changed THEN 'updated' ELSE 'unchanged' END
   WHEN touched IS NULL THEN 'untouched' WHEN status = 'superseded' THEN 'unchanged' ELSE 'superseded' END AS action FROM j)
@@ -19,9 +19,9 @@ SELECT chunk_key, action, CASE WHEN needs_review THEN 'need_manual_review' WHEN
 
 def _upserted(t: Tables) -> DataFrame:
     key = F.col("doc_id").cast("string").alias("chunk_key")
-    old = t.documents.where("doc_id % 5 <> 0").select(key, "source", F.md5("text").alias("content_hash"), F.lit("t1").alias("template"), F.when(F.col("doc_id") % 11 == 0, "superseded").otherwise("vectorized").alias("status"))
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = t.documents.where("doc_id % 3 <> 0 AND source <> 'src1'").select(key, "source", F.md5(text).alias("content_hash"), F.lit("t1").alias("template"), (F.col("doc_id") % 13 == 0).alias("needs_review"))
+    old = t.documents.where("lang <> 'es'").select(key, "source", F.md5("text").alias("content_hash"), F.lit("t1").alias("template"), F.when(F.col("source") == "src11", "superseded").otherwise("vectorized").alias("status"))
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = t.documents.where("n_chars > 300 AND source <> 'src1'").select(key, "source", F.md5(text).alias("content_hash"), F.lit("t1").alias("template"), (F.col("n_chars") > 8000).alias("needs_review"))
     return M.upsert_source(old, new)
 
 
@@ -35,11 +35,11 @@ def counters(t: Tables) -> DataFrame:
     return _upserted(t).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("snk02_linked_chunks", "SELECT doc_id, lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM documents WHERE doc_id % 11 <> 0 WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+@query("snk02_linked_chunks", "SELECT doc_id, lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM documents WHERE n_chars > 100 WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def linked(t: Tables) -> DataFrame:
     from quarry.operators.windows import neighbours
 
-    return neighbours(t.documents.where("doc_id % 11 <> 0"), "source", "doc_id", "doc_id").select("doc_id", "previous_id", "next_id")
+    return neighbours(t.documents.where("n_chars > 100"), "source", "doc_id", "doc_id").select("doc_id", "previous_id", "next_id")
 
 
 @query("snk03_vectorized_pending", "SELECT doc_id, CASE WHEN vec_id IS NULL THEN 'pending' ELSE 'vectorized' END AS status FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
@@ -47,9 +47,9 @@ def vectorized(t: Tables) -> DataFrame:
     return t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id"), "left").select("doc_id", F.when(F.col("vec_id").isNull(), "pending").otherwise("vectorized").alias("status"))
 
 
-@query("snk04_vector_upsert", "SELECT vec_id, CAST(CASE WHEN vec_id % 4 = 0 THEN label + 100 ELSE label END AS INTEGER) AS label FROM embeddings")
+@query("snk04_vector_upsert", "SELECT vec_id, CAST(CASE WHEN label < 5 THEN label + 100 ELSE label END AS INTEGER) AS label FROM embeddings")
 def vector_upsert(t: Tables) -> DataFrame:
-    new = t.embeddings.where("vec_id % 4 = 0").withColumn("label", F.col("label") + 100)
+    new = t.embeddings.where("label < 5").withColumn("label", F.col("label") + 100)
     return M.latest_wins(t.embeddings, new, "vec_id").select("vec_id", "label")
 
 
@@ -139,7 +139,7 @@ def filled(t: Tables) -> DataFrame:
 @query("set02_stale_keys", f"WITH {_TWO} SELECT chunk_key FROM old EXCEPT SELECT chunk_key FROM new")
 def stale(t: Tables) -> DataFrame:
     key = F.col("doc_id").cast("string").alias("chunk_key")
-    return t.documents.where("doc_id % 5 <> 0").select(key).subtract(t.documents.where("doc_id % 3 <> 0 AND source <> 'src1'").select(key))
+    return t.documents.where("lang <> 'es'").select(key).subtract(t.documents.where("n_chars > 300 AND source <> 'src1'").select(key))
 
 
 @query("set03_complete_partition", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE quality = 0)) AS overlap, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM labels WHERE quality IN (0, 1))) AS missing")

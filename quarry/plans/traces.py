@@ -157,9 +157,9 @@ def root_rows(t: Tables) -> DataFrame:
     return X.roots(_tree(t)).select("trace_id", "id")
 
 
-@query("cmp35_orphans", f"WITH {TREE} SELECT trace_id, id FROM tree t WHERE parent_id IS NOT NULL AND id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM tree p WHERE p.trace_id = t.trace_id AND p.id = t.parent_id AND p.id % 5 = 0)")
+@query("cmp35_orphans", f"WITH {TREE} SELECT trace_id, id FROM tree t WHERE parent_id IS NOT NULL AND name <> 'error' AND NOT EXISTS (SELECT 1 FROM tree p WHERE p.trace_id = t.trace_id AND p.id = t.parent_id AND p.name <> 'error')")
 def orphan_rows(t: Tables) -> DataFrame:
-    return X.orphans(_tree(t).where("id % 5 = 0")).select("trace_id", "id")
+    return X.orphans(_tree(t).where("name <> 'error'")).select("trace_id", "id")
 
 
 @query("cmp36_coverage_envelope", ROLLUP + " SELECT (SELECT count(*) FROM observations) AS rows_read, count(*) AS traces, count(*) FILTER (status = 'success') AS matched, count(*) FILTER (status <> 'success') AS excluded, CASE WHEN count(*) FILTER (status = 'success') = 0 THEN 'no match' END AS empty_reason FROM traces")
