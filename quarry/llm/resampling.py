@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from quarry.llm.shared import Scratch, mix, texts
 
 BUCKETS = 1 << 16
+#: Neutral n-grams that each document's mean counts in addition, so that a few rare words don't condemn a short text.
+NEUTRAL = 20
 #: Labelled documents that the target model and the cut are fitted on, at most; those with the smallest hashes.
 LABELLED = 40_000
 
@@ -63,7 +65,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
         for a, b, grams, first in _ngrams(batch.column("text")):
             upto = np.concatenate([[0.0], np.cumsum(ratio[grams])])
             size = np.diff(first)
-            out[a:b] = (upto[first[1:]] - upto[first[:-1]]) / np.maximum(size, 1)
+            out[a:b] = (upto[first[1:]] - upto[first[:-1]]) / (size + NEUTRAL)
         # Sums over a piece depend on its neighbours in the last bits; rounding makes reruns agree.
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(out, 9))], names=[*batch.schema.names, "log_weight"])
 
@@ -119,18 +121,18 @@ class Resampler:
 def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.01, smoothing: float = 1.0, labelled: int = LABELLED, seed: int = 17) -> Resampler:
     """Fit models over all docs (doc_id, text), and over those that labels (doc_id, quality, toxic) call good.
 
-    Good is quality 1 and not toxic, bad is quality 0; of the labelled documents at most `labelled` are used. Without k,
-    it is found as the module says; without bad labels, all documents are drawn. A document labelled both ways counts
+    Good is quality 1 and not toxic, bad is quality 0; of the labelled documents at most `labelled` are used. Half of the
+    good ones, by hash, make the target model. Without k, it is found from the others as the module says; without bad labels, all documents are drawn. A document labelled both ways counts
     as bad. Labels without a doc_id or a quality don't count.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "resampling")
     docs = docs.select("doc_id", "text")
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    marks = marks.select("doc_id", (F.col("quality") > 0).alias("fine"), ((F.col("quality") > 0) & (F.col("toxic") == 0)).alias("good"))
+    marks = marks.select("doc_id", (F.col("quality") > 0).alias("fine"), ((F.col("quality") > 0) & (F.col("toxic") == 0)).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0).alias("held_out"))
     marks = scratch.table(marks.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(labelled), "labels")  # a bounded table
     marked = docs.join(F.broadcast(marks), "doc_id", "left")
-    counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket long, raw long, target long")
+    counted = marked.select("text", F.coalesce(F.col("good") & ~F.col("held_out"), F.lit(False)).alias("good")).mapInArrow(_count, "bucket long, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
@@ -142,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: f
     keys = scratch.table(found.weigh(docs).select("doc_id", "log_weight", "key"), "keys")
     total = keys.count()
     if k is None:
-        held = keys.join(F.broadcast(marks), "doc_id").select("log_weight", "fine").toPandas()  # as many rows as labelled documents
+        # As many rows as labelled documents. The target model knows half of the good ones; the other half sets the cut.
+        held = keys.join(F.broadcast(marks.where("held_out or not good")), "doc_id").select("log_weight", "fine").toPandas()
         k = keys.where(F.col("log_weight") >= best_cut(held["log_weight"].to_numpy(float), held["fine"].to_numpy(bool))).count()
     found.k = min(k, total)
     if found.k < total:

@@ -22,7 +22,7 @@ def test_equals_sql(spark, name):
 def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     items = [H.lower(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    labels = {r.doc_id: int(r.quality and not r.toxic) for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
