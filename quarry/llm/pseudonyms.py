@@ -87,6 +87,22 @@ PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 KINDS = tuple(_PATTERNS)
 
 
+def prefixes(kind: str, value: str) -> list[str]:
+    """What a match may stand for, in the order tried: patterns are greedy, and what follows a number (a CVV, a currency, a year) may look like its next group.
+
+    For the way back, the choice must be the same for the result. A phone's validity follows from its form alone, so its longest
+    prefix is best. With check digits, a prefix may be valid by chance; the shortest valid one counts, so that the choice depends
+    on the value and not on what follows it, and _move keeps to values that have no valid shorter prefix.
+    """
+    if kind == "phone":
+        return [value[: m.end()] for m in re.finditer(r"[0-9)](?=[ .-]|\Z)", value)][::-1]
+    if kind == "card":
+        return [p for m in re.finditer(r"[0-9]{3}(?=[ -])|\Z", value) if len(re.sub("[ -]", "", p := value[: m.end()])) >= 13]
+    if kind == "iban":
+        return [p for m in re.finditer(r"(?= )|\Z", value) if len((p := value[: m.end()]).replace(" ", "")) >= 15]
+    return [value]
+
+
 class Pseudonyms:
     """Replacements of found values, by kind; None for a value that isn't valid. back=True undoes them."""
 
@@ -94,8 +110,13 @@ class Pseudonyms:
         self.cipher, self.back = Feistel(key), back
         self.of = lru_cache(1 << 14)(self._of)
 
-    def _of(self, kind: str, value: str) -> str | None:
-        return getattr(self, f"_{kind}")(value)
+    def _of(self, kind: str, value: str) -> tuple[str, int] | None:
+        """The replacement of the first valid one of the value's prefixes, and that one's length."""
+        for own in prefixes(kind, value):
+            new = getattr(self, f"_{kind}")(own)
+            if new is not None:
+                return new, len(own)
+        return None
 
     def _move(self, x: int, size: int, tweak: str, fits: Callable[[int], bool] = lambda _: True) -> int:
         return self.cipher.permute(x, size, tweak.encode(), fits, self.back)
@@ -108,7 +129,8 @@ class Pseudonyms:
         digits = re.sub("[ -]", "", value)
         if luhn(digits) or digits[0] == "0":
             return None
-        body = self._digits(digits[:-1], "card", lambda s: s[0] != "0")
+        shorter = [len(re.sub("[ -]", "", p)) for p in prefixes("card", value)[:-1]]
+        body = self._digits(digits[:-1], "card", lambda s: s[0] != "0" and all(luhn(s[:n]) for n in shorter))
         return _fill(value, body + str(-luhn(body + "0") % 10))
 
     def _phone(self, value: str) -> str | None:
@@ -117,10 +139,13 @@ class Pseudonyms:
         n = len(code[1]) if code else min(1, value.startswith("+"))
         own = digits[n:]
         american = not value.startswith("+") or digits[:n] == "1"
-        fits = (lambda s: s[0] > "1" and s[3] > "1") if american else (lambda s: s[0] != "0")
-        if not 8 <= len(digits) + 1 - bool(n) <= 15 or len(own) < 6 or american and len(own) != 10 or not fits(own):
+        if not 8 <= len(digits) + 1 - bool(n) <= 15 or len(own) < 6 or american and len(own) != 10:
             return None
-        return _fill(value, digits[:n] + self._digits(own, "phone" + digits[:n], fits))
+        # Numbers that aren't assigned (an area code 017, a trunk zero) are replaced too, by others of their class.
+        kind = (lambda s: (s[0] > "1", s[3] > "1")) if american else (lambda s: s[0] != "0")
+        if value[0].isdigit() and kind(own) != (True, True):  # neither + nor brackets: only the digits tell that it is a phone
+            return None
+        return _fill(value, digits[:n] + self._digits(own, "phone" + digits[:n], lambda s: kind(s) == kind(own)))
 
     def _ssn(self, value: str) -> str | None:
         def fits(s: str) -> bool:
@@ -141,9 +166,13 @@ class Pseudonyms:
         digits = re.sub("[^0-9]", "", plain[4:])
         if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1 or not digits:
             return None
-        body = _fill(plain[4:], self._digits(digits, "iban" + re.sub("[0-9]", "0", plain[:2] + plain[4:])))
-        check = f"{98 - iban_rest(plain[:2] + '00' + body):02d}"
-        it = iter(plain[:2] + check + body)
+        shorter = [len(p.replace(" ", "")) for p in prefixes("iban", value)[:-1]]
+
+        def whole(s: str) -> str:
+            body = _fill(plain[4:], s)
+            return plain[:2] + f"{98 - iban_rest(plain[:2] + '00' + body):02d}" + body
+
+        it = iter(whole(self._digits(digits, "iban" + re.sub("[0-9]", "0", plain[:2] + plain[4:]), lambda s: all(iban_rest(whole(s)[:n]) != 1 for n in shorter))))
         return "".join(c if c == " " else next(it) for c in value)
 
     def _date(self, value: str) -> str | None:
@@ -190,16 +219,16 @@ class Pseudonyms:
     def text(self, text: str) -> tuple[str, list[str]]:
         """The text with its valid values replaced, and their kinds."""
         kinds: list[str] = []
-
-        def one(found: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while found := PATTERN.search(text, at):
             kind = next(k for k in KINDS if found[k] is not None)
             new = self.of(kind, found[0])
-            if new is None:
-                return found[0]
-            kinds.append(kind)
-            return new
-
-        return PATTERN.sub(one, text), kinds
+            at = found.end() if new is None else found.start() + new[1]
+            if new is not None:
+                kinds.append(kind)
+                out += [text[done : found.start()], new[0]]
+                done = at
+        return "".join([*out, text[done:]]), kinds
 
 
 _HINT = re.compile("[0-9@]")
@@ -226,7 +255,9 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
 
     Replaced are card numbers with a right Luhn digit, phone numbers, social security numbers, IBANs with a right check,
     IPv4 addresses, dates from 1800 to 2199, and the local parts of e-mail addresses. A number that fails its check stays
-    as it is. back=True gives the original again, if run on a result with the same key. Each row is treated alone, so
+    as it is, and so does a phone number with neither + nor brackets whose area code or exchange can't exist. Groups
+    that follow a card or IBAN in one run stay if it is valid without them, those that follow a phone number if it is valid only
+    without them. Digits right before a card are read as part of it, so that it may be missed. back=True gives the original again, if run on a result with the same key. Each row is treated alone, so
     ties and repeated rows don't matter; a null text stays null, an empty one empty; all other columns are kept, but for
     columns named n_replaced or kinds, which are replaced. An empty table gives an empty one.
     """
