@@ -1,6 +1,7 @@
 """Secret scans: candidates by form, false positives removed by a random forest.
 
-Candidates are words, or the values of assignments, of 12 or more characters with letters and digits. A random forest
+Candidates are all runs of 12 or more value characters with a letter, wherever they stand in a word (JSON, URLs, lists), and
+values of 4 or more characters that are assigned to a name that tells of a secret. A random forest
 of Spark ML judges each by its length, its transitions between kinds of characters, the share that dictionary words
 cover, the path it comes from and the words around it. Everything is DataFrame and SQL functions; the forest is trained on
 labelled findings, by default on a bounded set that is made from rules below.
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import Scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: What a word's value may be wrapped in, and what it consists of.
-VALUE = r"""(?:^|[=:"'`(<\[])([A-Za-z0-9_+/~.-]{12,400}={0,2})["'`\])>,;.!?*$%#&|]*$"""
-NAME = r"""^["'`(\[]*([A-Za-z_][A-Za-z0-9_.-]{1,40})["'`]?[=:]+["'`]?[A-Za-z0-9_+/~.-]{12}"""
+#: A run of value characters (padding only at its end), and what follows it.
+RUN, BETWEEN = r"([A-Za-z0-9_+/~.-]+(?:={1,2}(?![A-Za-z0-9_+/~.\-=\"'`]))?)", r"([^A-Za-z0-9_+/~.-]*)"
+LONG = 12
 
 # Words that tell something in a path, a name or a neighbour, and in a value. Fixed values.
 SECRET_WORDS = ("access", "apikey", "auth", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token")
+#: A name of a secret, its assignment, and a value of any characters but borders; the password in a URL.
+_NAMED = r"(?i)([A-Za-z0-9_.-]{0,40}(?:" + "|".join(SECRET_WORDS) + r")[A-Za-z0-9_.-]{0,40})[\"'`\])]{0,2}[=:]+[\"'`(\[{]{0,2}([^\s\"'`&,;(){}\[\]<>]{4,})"
+_IN_URL = r"://[^/@:\s]*:([^@/\s]{4,})@"
+#: The end of the words before a value that stands alone.
+_NAMED_BEFORE = r"(?i)(?:" + "|".join(SECRET_WORDS) + r")[A-Za-z0-9_.-]{0,40}[\"'`\])]{0,2} ?[=:]+$"
 HARMLESS_WORDS = ("build", "checksum", "commit", "digest", "etag", "hash", "id", "integrity", "md5", "ref", "revision", "sha", "sha1", "sha256", "sha512", "trace", "uuid", "version")
 TEST_PATHS = ("demo", "doc", "docs", "example", "examples", "fixture", "fixtures", "mock", "readme", "sample", "spec", "test", "tests")
 DICTIONARY = (
@@ -72,20 +78,41 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """
     docs = docs.select("doc_id", "text", (F.col(path) if path else F.lit("")).cast("string").alias("path"))
 
+    def before(w: Column, i: Column) -> Column:
+        return F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
+
     def fits(w: Column, i: Column) -> Column:
-        return (F.length(F.get(w, i)) >= 12) & F.get(w, i).rlike("[0-9]") & F.get(w, i).rlike(VALUE)
+        word = F.get(w, i)
+        long = (F.length(word) >= LONG) & word.rlike(f"[A-Za-z0-9_+/~.-]{{{LONG}}}")
+        return long | (word.rlike("[=:]") & (word.rlike(_NAMED) | word.rlike(_IN_URL))) | (F.get(w, i - 1).rlike("[=:]$") & before(w, i).rlike(_NAMED_BEFORE))
 
     def around(w: Column, i: Column) -> Column:
-        return F.struct(i.alias("word_no"), F.get(w, i).alias("word"), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.get(w, i + 1).alias("after"))
+        return F.struct(i.alias("word_no"), F.get(w, i).alias("word"), before(w, i).alias("before"), F.get(w, i + 1).alias("after"))
 
     # The words are the variable of a lambda, so that they are split once and not for each use.
     words = F.split(F.coalesce("text", F.lit("")), SPACE)
     one_text = F.transform(F.array(words), lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: fits(w, i)), lambda i: around(w, i)))
     found = docs.select("doc_id", "path", F.flatten(one_text).alias("c"))
     one = found.select("doc_id", "path", F.explode("c").alias("c")).select("doc_id", "path", "c.*")
-    value = F.regexp_replace(F.regexp_extract("word", VALUE, 1), r"\.+$", "")
-    one = one.select("doc_id", "word_no", value.alias("value"), "before", "after", F.regexp_extract("word", NAME, 1).alias("name"), "path")
-    return one.where((F.length("value") >= 12) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
+
+    def values(names: Column, own: Column) -> Column:
+        return F.transform(F.arrays_zip(names.alias("name"), own.alias("value")), lambda x: F.struct(x["value"].alias("value"), x["name"].alias("name")))
+
+    # The whole values of names of secrets, then all runs of value characters that aren't part of one of these.
+    word, every = F.col("word"), F.lit(RUN + BETWEEN)
+    url = F.transform(F.regexp_extract_all(word, F.lit(_IN_URL), F.lit(1)), lambda v: F.struct(v.alias("value"), F.lit("password").alias("name")))
+    alone = F.regexp_extract(word, r"""^["'`(\[{<]*([^"'`&,;(){}\[\]<>]{4,})""", 1)
+    alone = F.when(F.col("before").rlike(_NAMED_BEFORE) & (F.length(alone) >= 4), F.array(F.struct(alone.alias("value"), F.lit("").alias("name")))).otherwise(F.array().cast("array<struct<value:string,name:string>>"))
+    named = values(F.regexp_extract_all(word, F.lit(_NAMED), F.lit(1)), F.regexp_extract_all(word, F.lit(_NAMED), F.lit(2)))
+    runs, between = F.regexp_extract_all(word, every, F.lit(1)), F.regexp_extract_all(word, every, F.lit(2))
+    one = one.withColumns({"_named": F.concat(url, named, alone), "_runs": runs, "_between": between})
+    assigned = r"""^["'`\])]?[=:]+["'`(\[{]*$"""
+    long = F.transform("_runs", lambda v, k: F.struct(v.alias("value"), F.when((k > 0) & F.get("_between", k - 1).rlike(assigned), F.get("_runs", k - 1)).otherwise(F.lit("")).alias("name")))
+    trimmed = lambda a: F.transform(a, lambda x: F.struct(F.regexp_replace(x["value"], r"[.!?]+$", "").alias("value"), x["name"].alias("name")))
+    one = one.withColumns({"_named": F.filter(trimmed("_named"), lambda x: F.length(x["value"]) >= 4), "_long": F.filter(trimmed(long), lambda x: (F.length(x["value"]) >= LONG) & x["value"].rlike("[A-Za-z]"))})
+    rest = F.filter("_long", lambda x: ~F.exists("_named", lambda y: F.contains(y["value"], x["value"])))
+    one = one.select("doc_id", "word_no", "before", "after", "path", F.explode(F.array_distinct(F.concat("_named", rest))).alias("f"))
+    return one.select("doc_id", "word_no", "f.value", "before", "after", "f.name", "path")
 
 
 def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
@@ -109,6 +136,10 @@ def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
     name = pick(6, "handler", "request", "index", "widget", "message", "module", "snapshot", "release")
     empty, number = F.lit(""), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(100000)).cast("string")
     assigned = F.concat(secret_name, F.lit(" ="))
+    syllable = lambda salt: pick(salt, "ba", "con", "de", "er", "fi", "gra", "in", "ka", "lo", "men", "na", "or", "pre", "ri", "se", "ta", "tion", "un", "ver", "zi")
+    long_word = F.concat(*(syllable(50 + i) for i in range(6)))
+    plain = pick(60, "required", "optional", "missing", "invalid", "expired", "changed", "null", "none", "true", "false", "string", "value", "unknown", "reset", "forgotten", "hidden", "authentication", "documentation", "configuration", "authorization", "unauthorized", "expired-session", "not-available", "undefined")
+    natural = pick(61, "internationalization", "responsibilities", "unquestionably", "representatives", "telecommunications", "Geschwindigkeit", "Krankenversicherung", "Zusammenarbeit", "développement", "particulièrement", "investigaciones", "características", "straightforward", "acknowledgement", "Congratulations", "UNBELIEVABLE")
     # kind: value, before, name, is_secret
     kinds = [
         (F.concat(F.lit("AKIA"), text(11, 16, upper + "234567")), prose, empty, 1), (text(12, 18, hex_), prose, secret_name, 1), (text(13, 40, hex_), assigned, empty, 1),
@@ -118,6 +149,11 @@ def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
         (F.concat_ws("-", text(26, 8, hex_), text(27, 4, hex_), text(28, 4, hex_), text(29, 4, hex_), text(30, 12, hex_)), pick(8, "the id", "trace uuid", "and the", "of request"), empty, 0),
         (F.concat(word, F.lit("_"), word2, F.lit("_"), number), prose, secret_name, 0), (F.concat(word, F.lit("-"), word2, F.lit("-here-"), number), assigned, empty, 0),
         (F.concat(name, F.lit("-"), name, F.lit("-2024.01."), number), prose, pick(9, "", "version", "build"), 0), (F.concat(F.initcap(name), F.initcap(word2), F.lit("Handler"), number), prose, empty, 0), (F.concat(F.lit("release/"), name, F.lit("/v"), number, F.lit(".tar.gz")), prose, empty, 0),
+        # without digits, long, and short
+        (F.concat(F.lit("AKIA"), text(40, 16, upper)), prose, empty, 1), (text(41, 20, upper + lower), assigned, empty, 1), (text(42, 24, lower), prose, secret_name, 1), (text(43, 8, any_), assigned, empty, 1), (text(44, 10, any_ + "!$%@"), prose, secret_name, 1),
+        (F.concat(F.lit("eyJ"), text(45, 60, any_), F.lit("."), text(46, 420, any_ + "_-"), F.lit("."), text(47, 43, any_)), prose, secret_name, 1), (text(48, 64, any_ + "+/"), prose, secret_name, 1),
+        (long_word, prose, empty, 0), (F.initcap(long_word), prose, empty, 0), (F.upper(long_word), prose, empty, 0), (natural, prose, empty, 0), (plain, assigned, empty, 0), (plain, prose, secret_name, 0), (F.concat_ws("-", name, word2, name), prose, empty, 0),
+        (F.concat(F.lit("//"), name, F.lit(".example.org/en/"), number), prose, F.lit("https"), 0), (F.concat(F.lit("src/"), name, F.lit("/"), word2, F.lit(".py")), prose, empty, 0), (F.concat(name, F.lit("."), word2, F.lit(".example.com")), prose, empty, 0), (F.concat(name, F.lit("_"), word2), prose, secret_name, 0),
     ]
     i = F.pmod(F.col("id"), F.lit(len(kinds)))
     made = F.array(*(F.struct(v.alias("value"), b.alias("before"), m.alias("name"), F.lit(s).alias("is_secret")) for v, b, m, s in kinds))
@@ -153,5 +189,11 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     own = found.where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values")).withColumnRenamed("doc_id", "_id")
     df = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]), "left")
     longest = F.array_sort("_values", lambda x, y: F.length(y) - F.length(x))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+
+    def without(t: Column, v: Column) -> Column:
+        """A short value may be part of other words: only whole ones are replaced."""
+        whole = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.when(F.length(v) >= LONG, F.replace(t, v, F.lit(mark))).otherwise(F.regexp_replace(t, whole, F.lit(mark)))
+
+    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), without))
     return df.withColumn("text", text).select(*docs.columns)
