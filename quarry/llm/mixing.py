@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,14 +78,14 @@ class MixPlan:
         the plan is small, with a row for each source and block, and is broadcast.
         """
         kept = docs.columns
-        sources = self.spark.createDataFrame(self.sources, "source string, place int, n_blocks long, source_size long, target double, cut_block long, cut_hash long, fill_hash long, cut_shard int")
+        sources = self.spark.createDataFrame(self.sources, "source string, place int, n_blocks long, source_size long, target double, cut_block long, cut_hash long, fill_hashes array<long>, cut_shard int")
         blocks = self.spark.createDataFrame(self.blocks, "place int, block long, at array<int>")
         sources = sources.select(*(F.col(c).alias(f"_{c}") for c in sources.columns))
         blocks = blocks.select(*(F.col(c).alias(f"_b_{c}") for c in blocks.columns))
         df = docs.withColumn("_h", _hash(self.seed)).join(F.broadcast(sources), docs["source"].eqNullSafe(F.col("_source")))
         df = df.withColumn("_block", _block("_h", "_n_blocks"))
         df = df.join(F.broadcast(blocks), (F.col("_place") == F.col("_b_place")) & (F.col("_block") == F.col("_b_block")), "left")
-        extra = F.when((F.col("_block") == F.col("_cut_block")) & ((F.col("_h") <= F.col("_cut_hash")) | F.coalesce(F.col("_h") == F.col("_fill_hash"), F.lit(False))), F.array("_cut_shard")).otherwise(F.array().cast("array<int>"))
+        extra = F.when((F.col("_block") == F.col("_cut_block")) & ((F.col("_h") <= F.col("_cut_hash")) | F.array_contains("_fill_hashes", F.col("_h"))), F.array("_cut_shard")).otherwise(F.array().cast("array<int>"))
         df = df.withColumn("_shards", F.concat(F.coalesce("_b_at", F.array().cast("array<int>")), extra))
         own = [docs[c] for c in kept if c not in ("source_size", "target", "copies", "shards")]
         return df.select(*own, F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.size("_shards").alias("copies"), F.col("_shards").alias("shards"))
@@ -159,33 +159,45 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     cut_at = _cut_hashes(own, cuts, spark)
     table = pd.DataFrame({
         "source": pd.Series(names, dtype=object), "place": np.arange(len(rows), dtype=np.int32), "n_blocks": n_blocks, "source_size": words, "target": goal,
-        "cut_block": [c[0] if c else -1 for c in cuts], "cut_hash": [cut_at.get(i, (-(1 << 63), None))[0] for i in range(len(rows))],
-        "fill_hash": pd.Series([cut_at.get(i, (0, None))[1] for i in range(len(rows))], dtype=object), "cut_shard": np.array(cut_shard, np.int32),
+        "cut_block": [c[0] if c else -1 for c in cuts], "cut_hash": [cut_at.get(i, (-(1 << 63), []))[0] for i in range(len(rows))],
+        "fill_hashes": pd.Series([cut_at.get(i, (0, []))[1] for i in range(len(rows))], dtype=object), "cut_shard": np.array(cut_shard, np.int32),
     })
     blocks = pd.DataFrame({"place": np.array([k[0] for k in found], np.int32), "block": np.array([k[1] for k in found], np.int64), "at": pd.Series(list(found.values()), dtype=object)})
     return MixPlan(spark, table, blocks, shards, seed)
 
 
-def _cut_hashes(own: DataFrame, cuts: list[tuple[int, float] | None], spark: SparkSession) -> dict[int, tuple[int, int | None]]:
-    """Of each block taken in part: up to which hash it is taken whole, and the one further hash that comes nearest to the rest.
-
-    One block of each source is read here, and a block is of bounded size.
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one block: up to which hash all is taken, and the further ones, in hash order, that still fit; last, the one that comes nearest to the rest."""
+    rows = rows.sort_values("h")
+    hashes, sizes, left = rows["h"].tolist(), rows["size"].tolist(), float(rows["rest"].iloc[0])
+    cut, fill, passed = -(1 << 63), [], []
+    for h, size in zip(hashes, sizes):
+        if size > left:
+            passed.append((size, h))
+        elif not passed:
+            cut, left = h, left - size
+        elif size:  # without words, nothing is filled
+            fill.append(h)
+            left -= size
+    nearest = min(((abs(size - left), h) for size, h in passed), default=(left, 0))
+    if nearest[0] < left:
+        fill.append(nearest[1])
+    return pd.DataFrame({"place": rows["place"].iloc[:1], "cut": [cut], "fill": [fill]})
+
+
+def _cut_hashes(own: DataFrame, cuts: list[tuple[int, float] | None], spark: SparkSession) -> dict[int, tuple[int, list[int]]]:
+    """Of each block taken in part, what _fill says.
+
+    One block of each source is read here. A block is of bounded size, so that a task can hold it; each of the further documents has
+    a word or more, so that there are no more than the block's words.
     """
     rows = [(i, c[0], c[1]) for i, c in enumerate(cuts) if c]
     if not rows:
         return {}
     some = spark.createDataFrame(rows, "p int, b long, rest double")
     inside = own.join(F.broadcast(some), (F.col("place") == F.col("p")) & (F.col("block") == F.col("b"))).groupBy("place", "rest", "h").agg(F.sum("size").alias("size"))
-    w = Window.partitionBy("place").orderBy("h")
-    upto = inside.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("rest")
-    # Running sums only grow, so what fits is a prefix.
-    left = F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(Window.partitionBy("place")), F.lit(0))
-    off = F.abs(F.col("size") - F.col("left"))
-    found = upto.withColumn("left", left).groupBy("place").agg(
-        F.max(F.when(fits, F.col("h"))).alias("cut"), F.min_by("h", F.when(~fits & (off < F.col("left")), F.struct(off, F.col("h")))).alias("fill")
-    )
-    return {r.place: (-(1 << 63) if r.cut is None else r.cut, r.fill) for r in found.collect()}
+    found = inside.groupBy("place").applyInPandas(_fill, "place int, cut long, fill array<long>")
+    return {r.place: (r.cut, list(r.fill)) for r in found.collect()}
 
 
 def sized_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -198,7 +210,7 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
 
     docs: doc_id long, text string, source string; other columns are ignored. A null source is a source of its own,
     the last. A null or empty text has size 0; it is taken as often as its block. Rows that repeat a doc_id fall in one
-    block and are taken alike. A source is off its target by no more than what its nearest document leaves. An empty table gives an empty result.
+    block and are taken alike. A source's last block is filled in hash order with each document that still fits, then with the one that comes nearest. An empty table gives an empty result.
     """
     sized = sized_documents(docs, Scratch(docs.sparkSession, "mixing"))
     return plan_mix(sized, **options).apply(sized)

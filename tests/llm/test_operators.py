@@ -326,6 +326,13 @@ def test_mixing(spark):
     assert mixing.mix_digest(df.limit(0)).count() == 0
 
 
+def test_mixing_goes_on_after_a_long_document(spark):
+    docs = frame(spark, [(0, "w " * 20000), *((i, "w " * 100) for i in range(1, 101))]).withColumn("source", F.lit("s"))
+    for seed in (1, 2, 3):
+        rows = mixing.mix_documents(docs, share=8050 / 30000, seed=seed).collect()
+        assert abs(sum(r.size * r.copies for r in rows) - 8050) <= 50 and rows[0].target == pytest.approx(8050)
+
+
 def test_splitting_tree():
     quotas = np.array([1000, 37, 0, 563])
     deal = mixing.split(quotas, 7, 3)
