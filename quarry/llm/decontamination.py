@@ -8,7 +8,8 @@ make 24), and the items are indexed under all 37 values that each block can so t
 lost. A pair at similarity 0.8 lies beyond 23 bits with a probability of about 0.00001. All pairs within the radius are
 then compared exactly.
 
-The items are broadcast in blocks of a fixed number; the documents are scanned once for each block and not shuffled.
+The items are broadcast in blocks of a fixed number, each with the counts over all items of the shingles that two or
+more of them share (16 bytes for each such shingle), so that the blocks don't change a similarity; the documents are scanned once for each block and not shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Scratch, mix, shingles, texts
+from quarry.llm.shared import Scratch, mix, n_words, shingles, texts
 
 BITS, BLOCKS, ERRORS = 64, 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
@@ -46,8 +47,10 @@ def signs(h: np.ndarray) -> np.ndarray:
 class Items:
     """An index of items: by shingle, and by blocks of the fingerprints of each size."""
 
-    def __init__(self, rows: list[tuple[int, str]], words: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], words: int, n: int, shared: tuple[np.ndarray, np.ndarray]) -> None:
+        """n: of all items, in whatever block; shared: sorted shingles of two or more of all items, and of how many."""
         self.words = words
+        self.shared, self.weight = shared[0], np.log1p(n / shared[1])
         column = pa.array([t for _, t in rows], pa.string())
         ids: list[int] = []
         self.sets: list[tuple[np.ndarray, np.ndarray]] = []
@@ -62,9 +65,8 @@ class Items:
                     sizes.append(int(found.counts()[d - a]))
         self.ids = np.array(ids, np.int64)
         every = np.concatenate([s for s, _ in self.sets]) if ids else np.zeros(0, np.uint64)
-        self.known, df = np.unique(every, return_counts=True)
-        self.weight = np.log1p(len(ids) / np.maximum(df, 1)).astype(np.float64)
-        self.rare = float(np.log1p(len(ids)))
+        self.known = np.unique(every)
+        self.rare = float(np.log1p(n))  # of a shingle of one item or none
         self.by_size: dict[int, tuple] = {}
         sizes_ = np.array(sizes, np.int64)
         members: list[np.ndarray] = []
@@ -88,8 +90,8 @@ class Items:
             self.upto[-1] = len(pairs)
 
     def weights(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == h, self.weight[at], self.rare) if len(self.known) else np.full(len(h), self.rare)
+        at = np.minimum(np.searchsorted(self.shared, h), max(0, len(self.shared) - 1))
+        return np.where(self.shared[at] == h, self.weight[at], self.rare) if len(self.shared) else np.full(len(h), self.rare)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in h that hold a shingle of some item, and its number."""
@@ -136,6 +138,15 @@ class Items:
         return best
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text."""
+    for batch in batches:
+        for a, b, found in texts(batch.column("text"), lower=True):
+            h, first = shingles(found, words)
+            own = [np.unique(h[first[d] : first[d + 1]]) for d in range(b - a)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["h"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[int, int, int, float]] = []
@@ -169,8 +180,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float =
     docs = docs.select("doc_id", "text")
     wanted = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     found = spark.createDataFrame([], "doc_id long, item_id long, first_word long, similarity double")
-    for n, block in enumerate(_blocks(wanted, scratch)):
-        found = found.union(docs.mapInArrow(partial(_scan, items=Items(block, words), least=least), found.schema))
+    n = wanted.where(n_words(F.col("text")) > 0).count()
+    counted = wanted.mapInArrow(partial(_shingles, words=words), "h long").groupBy("h").count().where("count > 1").toPandas()
+    keys, df = counted["h"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    for block in _blocks(wanted, scratch):
+        found = found.union(docs.mapInArrow(partial(_scan, items=Items(block, words, n, (keys[order], df[order])), least=least), found.schema))
     return found
 
 

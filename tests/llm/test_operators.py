@@ -120,6 +120,18 @@ def test_decontamination(spark):
     assert decontamination.leaks(frame(spark, []), bench).count() == 0 and decontamination.leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    common = H.prose(rng, 8, 5000)
+    items = [(i, f"{common} {H.prose(rng, 14, 5000)}") for i in range(24)]
+    docs = [(i, f"{H.prose(rng, 9, 5000)} {' '.join(t.split()[:-1])} changed {H.prose(rng, 9, 5000)}") for i, t in items]
+    bench, found = spark.createDataFrame(items, "item_id long, text string"), []
+    for most in (2048, 4):
+        monkeypatch.setattr(decontamination, "ITEMS", most)
+        found.append(sorted(map(tuple, decontamination.leaks(frame(spark, docs), bench, least=0.6).collect())))
+    assert len(found[0]) >= 24 and found[0] == found[1]
+
+
 def test_pseudonyms(spark):
     text = "card 4111 1111 1111 1111, 4111-1111-1111-1112 +1 (415) 555-2671 on 2024-02-29 or 31.12.1999 or 12/25/2020 ip 10.0.0.255 not 1.2.3.400 mail Jo.b-7@x.org ssn 219-09-9999 iban DE89 3704 0044 0532 0130 00 end"
     docs = frame(spark, [(1, text), (2, "again 4111 1111 1111 1111"), (3, None), (4, ""), (None, "2024-02-29")], n_replaced="x", kinds=1)
