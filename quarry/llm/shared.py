@@ -18,24 +18,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 _M = (1 << 64) - 1
 
 
+#: With it, Spark removes the shuffle files of a query as soon as the query has ended, and not when the driver happens to collect garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Intermediate tables of one run, as Parquet in the folder that the cluster shares.
 
-    A written table cuts the lineage: a lost executor costs the tasks of one step, not the whole run.
-    The folder is spark.checkpoint.dir; where that is unset (a local session), a temporary folder.
+    A written table cuts the lineage: a lost executor costs the tasks of one step, not the whole run. Shuffle files
+    aren't needed once the table stands, and are removed then.
+    The folder is spark.checkpoint.dir; where that is unset, a temporary folder of a local session. On a cluster it must be set.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quarry-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEAN_UP, "false")
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -45,6 +57,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others inside one struct _rest, where no name of theirs can clash; unpacked() undoes it."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*(rest or [F.lit(0).alias("none")])).alias("_rest"))
+
+
+def unpacked(columns: list[str], *without: str) -> list[Column]:
+    """The columns of packed() again, in their order."""
+    return [F.col(c) if c in without else F.col("_rest").getField(c).alias(c) for c in columns]
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns, whatever else the table holds."""
     return docs.select(*(F.col(c) for c in columns))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import Scratch, Words, constants, mix, signed, texts
+from quarry.llm.shared import Scratch, Words, constants, mix, packed, signed, texts, unpacked
 
 #: Words in an anchor, and contexts in a subtree that one task builds.
 ANCHOR, GROUP = 6, 4096
@@ -109,8 +109,8 @@ def _suffixes(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.lib.stride_tricks.sliding_window_view(flat, n)[begin[of] + place], of, place
 
 
-def _later_leaves(anchor: np.ndarray, doc: np.ndarray, low: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix trees below some anchors: (doc_id, start) of the leaves below nodes of depth n that aren't the earliest there."""
+def _later_leaves(anchor: np.ndarray, doc: np.ndarray, low: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix trees below some anchors: runs (doc_id, start, number) of the leaves below nodes of depth n that aren't the earliest there."""
     rows, of, place = _suffixes(words, n)
     start = low[of] + place
     keys = np.concatenate([signed(anchor[of].astype(np.int64).view(np.uint64))[:, None].view(np.uint64), rows], axis=1)
@@ -125,7 +125,18 @@ def _later_leaves(anchor: np.ndarray, doc: np.ndarray, low: np.ndarray, words: l
     first = np.concatenate([[True], node[1:] != node[:-1]])
     head = leaf[first][node]
     later = (doc[of[head]] != doc[of[leaf]]) | (start[head] != start[leaf])
-    return doc[of[leaf[later]]], start[leaf[later]]
+    return _runs(doc[of[leaf[later]]], start[leaf[later]])
+
+
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (doc_id, start), in any order and repeated, as runs (doc_id, first start, number)."""
+    if not len(doc):
+        return doc, start, start
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]))
+    last = np.append(new[1:], len(doc)) - 1
+    return doc[new], start[new], start[last] - start[new] + 1
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -134,8 +145,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
     def build(table: pa.Table) -> pa.RecordBatch:
         anchor, doc, low = (table[c].to_numpy() for c in ("anchor", "doc_id", "low"))
-        d, s = _later_leaves(anchor, doc, low, table["words"].to_pylist(), n) if len(anchor) else (doc, low)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(np.ones(len(d), np.int64))], names=["doc_id", "low", "windows"])
+        found = _later_leaves(anchor, doc, low, table["words"].to_pylist(), n) if len(anchor) else (doc, low, low)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["doc_id", "low", "windows"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
@@ -166,29 +177,47 @@ def repeats(docs: DataFrame, n: int = 20, scratch: Scratch | None = None) -> Dat
     """(doc_id, low, windows): runs of windows, by the number of their first word, that also start earlier in the corpus.
 
     docs: doc_id long, text string; other columns are ignored. Earlier is a smaller doc_id, or the same one and an
-    earlier word. Rows without a doc_id and texts with fewer than n words have none.
+    earlier word. Rows without a doc_id and texts with fewer than n words have none. n is 6 to 255.
+
+    Every step is a written table, deleted after its last reader: at most the anchors of the texts and what is made
+    of them in the same step are on disk together.
     """
+    if not ANCHOR <= n <= 255:
+        raise ValueError(f"windows of {n} words: {ANCHOR} to 255 are possible")
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    marks = docs.mapInArrow(partial(_mark, n=n), "anchor long, context long, doc_id long, at long")
+    marks = scratch.table(docs.mapInArrow(partial(_mark, n=n), "anchor long, context long, doc_id long, at long"), "marks")
     shared = scratch.table(marks.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
     found = scratch.table(marks.join(shared, "anchor"), "found")
-    nodes = scratch.table(found.groupBy("anchor", "context").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).select("anchor", "context", "first.doc_id", "first.at", "n"), "nodes")
-    several = nodes.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1")
-    several = scratch.table(several, "several")
+    scratch.drop("marks", "shared")
+
+    # One occurrence stands for all equal contexts of an anchor: the first.
+    nodes = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+    nodes = scratch.table(nodes.select("anchor", "context", "first.doc_id", "first.at", "n"), "nodes")
+    firsts = nodes.where("n > 1").select("anchor", "context", F.col("doc_id").alias("_doc"), F.col("at").alias("_at"))
+    copies = found.join(firsts, ["anchor", "context"]).where((F.col("doc_id") != F.col("_doc")) | (F.col("at") != F.col("_at")))
+    before, windows = F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
+    copies = scratch.table(copies.select("doc_id", (F.shiftright("at", 16) - before).alias("low"), windows.alias("windows")), "copies")
+    scratch.drop("found")
+
+    several = scratch.table(nodes.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1"), "several")
     wanted = nodes.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "size")).alias("wanted"))
+    wanted = scratch.table(wanted, "wanted")
+    scratch.drop("nodes", "several")
     contexts = docs.join(wanted, "doc_id").mapInArrow(partial(_contexts, n=n), "anchor long, size long, doc_id long, low long, words binary")
     contexts = scratch.table(contexts, "contexts")
+    scratch.drop("wanted")
+
     small = contexts.where(F.col("size") <= GROUP).drop("size").repartition("anchor").sortWithinPartitions("anchor")
-    below = small.mapInArrow(partial(_subtrees, n=n), "doc_id long, low long, windows long")
+    below = scratch.table(small.mapInArrow(partial(_subtrees, n=n), "doc_id long, low long, windows long"), "below")
     large = scratch.table(contexts.where(F.col("size") > GROUP).mapInArrow(partial(_windows, n=n), "prefix long, doc_id long, low long"), "large")
-    heads = scratch.table(large.groupBy("prefix").agg(F.min(F.struct("doc_id", "low")).alias("head"), F.count("*").alias("n")).where("n > 1").select("prefix", F.col("head.doc_id").alias("_doc"), F.col("head.low").alias("_low")), "heads")
-    deep = large.join(heads, "prefix").where((F.col("doc_id") != F.col("_doc")) | (F.col("low") != F.col("_low"))).select("doc_id", "low", F.lit(1).cast("long").alias("windows"))
-    firsts = nodes.where("n > 1").select("anchor", "context", F.col("doc_id").alias("_doc"), F.col("at").alias("_at"))
-    copies = found.join(firsts, ["anchor", "context"]).where((F.col("doc_id") != F.col("_doc")) | (F.col("at") != F.col("_at")))
-    before, windows = F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
-    copies = copies.select("doc_id", (F.shiftright("at", 16) - before).alias("low"), windows.alias("windows"))
-    return scratch.table(copies.union(below).union(deep), "repeats")
+    scratch.drop("contexts")
+    heads = large.groupBy("prefix").agg(F.min(F.struct("doc_id", "low")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = scratch.table(heads.select("prefix", F.col("head.doc_id").alias("_doc"), F.col("head.low").alias("_low")), "heads")
+    later = (F.col("doc_id") != F.col("_doc")) | (F.col("low") != F.col("_low"))
+    deep = scratch.table(large.join(heads, "prefix").where(later).select("doc_id", "low", F.lit(1).cast("long").alias("windows")), "deep")
+    scratch.drop("large", "heads")
+    return copies.union(below).union(deep)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], n: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -221,7 +250,11 @@ def _cut(batches: Iterator[pa.RecordBatch], n: int, keep_text: bool) -> Iterator
 
 
 def _without(docs: DataFrame, n: int, keep_text: bool) -> DataFrame:
-    spans = repeats(docs, n).groupBy("doc_id").agg(F.collect_list(F.struct("low", "windows")).alias("spans")).withColumnRenamed("doc_id", "_id")
+    """docs, as of packed(), with n_words, n_removed and what is left of the text."""
+    scratch = Scratch(docs.sparkSession, "substrings")
+    spans = repeats(docs, n, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("low", "windows")).alias("spans"))
+    spans = scratch.table(spans.withColumnRenamed("doc_id", "_id"), "spans")
+    scratch.drop("copies", "below", "deep")
     joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*rest, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("left", T.StringType())])
@@ -237,9 +270,9 @@ def dedup_substrings(docs: DataFrame, n: int = 20) -> DataFrame:
     repeat a doc_id are one document: equal texts are treated alike, and what is found in one of several texts is cut from
     each. Rows without a doc_id neither lose words nor make others lose any. An empty table gives an empty one.
     """
-    docs = docs.drop("n_words", "n_removed", "left", "spans", "_id")
-    done = _without(docs, n, keep_text=True)
-    return done.select(*(F.col("left").alias("text") if c == "text" else F.col(c) for c in docs.columns), "n_words", "n_removed")
+    docs = docs.drop("n_words", "n_removed")
+    done = _without(packed(docs, "doc_id", "text"), n, keep_text=True).withColumn("text", F.col("left"))
+    return done.select(*unpacked(docs.columns, "doc_id", "text"), "n_words", "n_removed")
 
 
 def substring_digest(docs: DataFrame, n: int = 20) -> DataFrame:

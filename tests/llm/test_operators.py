@@ -74,11 +74,25 @@ def test_substrings(spark, monkeypatch, group):
     docs = [*H.corpus(), (500, "a b " * 60), (501, "to " * 45), (502, "to " * 30)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_digest(frame(spark, docs, low=1, windows="x")).collect()}
     assert got == removed(docs, 20)
-    text = {r.doc_id: r.text for r in substrings.dedup_substrings(frame(spark, docs)).collect()}
+    clashing = frame(spark, docs, left="mine", spans=2, _id=3, n_words="gone", _rest=4)
+    kept = substrings.dedup_substrings(clashing)
+    assert kept.columns == [*(c for c in clashing.columns if c != "n_words"), "n_words", "n_removed"]
+    assert {(r.left, r.spans, r._id, r._rest) for r in kept.collect()} == {("mine", 2, 3, 4)}
+    text = {r.doc_id: r.text for r in kept.collect()}
     assert {i: sha256(t.encode()).hexdigest() for i, t in text.items()} == {i: v[2] for i, v in got.items()}
     assert substrings.substring_digest(frame(spark, [])).count() == 0
 
 
+def test_substrings_window_sizes(spark):
+    docs = H.corpus(groups=2, copies=4)
+    for n in (6, 50):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_digest(frame(spark, docs), n).collect()}
+        assert got == removed(docs, n)
+    for n in (5, 256):
+        with pytest.raises(ValueError, match="are possible"):
+            substrings.repeats(frame(spark, docs), n)
+
+
 def test_substrings_no_id(spark):
     t = H.prose(random.Random(3), 30)
     got = sorted((r.doc_id or -1, r.n_removed) for r in substrings.substring_digest(frame(spark, [(None, t), (4, t), (4, t), (9, t)])).collect())
