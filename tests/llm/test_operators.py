@@ -330,13 +330,27 @@ def test_secret_scan_judges_new_forms(spark):
     assert text[0] == '{"api_key":"[SECRET]"}' and text[2] == "https://user:[SECRET]@host.org/a" and [text[i] for i in (4, 5, 6)] == texts[4:7] and text[7] == 'token = "[SECRET]"### end'
 
 
-def test_mixing(spark):
+def fair_targets(sizes, weights, share, most):
+    """By bisection: the rate at which sources, none giving more than most times its own words, give share of all words."""
+    low, high, total = 0.0, 2.0 * most * max(map(sum, [sizes])) + 1, share * sum(sizes)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most * s, mid * w) for s, w in zip(sizes, weights)) < total else (low, mid)
+    return [min(most * s, high * w) for s, w in zip(sizes, weights)]
+
+
+def mixed_sources(spark):
     rng = random.Random(6)
     docs = [(i, "w " * rng.randrange(0, 60)) for i in range(3000)] + [(4000 + i, t) for i, t in enumerate(H.ODD)]
-    df = frame(spark, docs, size="x", target=1, shard=2).withColumn("source", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 3 == 0, "b").when(F.col("doc_id") % 2 == 0, "Z").otherwise("é"))
+    df = frame(spark, docs, size="x", target=1, shard=2, place=3, h=4, draws=5, _rest=6)
+    return docs, df.withColumn("source", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 3 == 0, "b").when(F.col("doc_id") % 2 == 0, "Z").otherwise("é"))
+
+
+def test_mixing(spark):
+    docs, df = mixed_sources(spark)
     rows = mixing.mix_digest(df).collect()
     again = mixing.mix_digest(df.repartition(7)).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, again)) and len(rows) == len(docs)
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str) and len(rows) == len(docs)
     sources = {r.doc_id: r.source for r in df.collect()}
     sizes, taken, target = Counter(), Counter(), {}
     for r in rows:
@@ -345,11 +359,45 @@ def test_mixing(spark):
         taken[sources[r.doc_id]] += r.taken
         target[sources[r.doc_id]] = r.target
     order = ["Z", "b", "é", None]
-    want = mixing.targets(np.array([sizes[s] for s in order], float), np.array([5.0, 2, 1, 5]), 1.5, 2.0)
-    assert [target[s] for s in order] == pytest.approx(list(want)) and all(abs(taken[s] - target[s]) <= 60 for s in order)
-    drawn = mixing.draw(df).groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in drawn} == {r.doc_id: r.taken // r.size for r in rows if r.taken} | {r.doc_id: r["count"] for r in drawn if not dict(docs)[r.doc_id] or not H.words(dict(docs)[r.doc_id])}
-    assert mixing.mix_digest(df.limit(0)).count() == 0
+    want = fair_targets([sizes[s] for s in order], [5.0, 2, 1, 5], 1.5, 2.0)
+    assert [target[s] for s in order] == pytest.approx(want) and all(abs(taken[s] - target[s]) <= 60 for s in order)
+    drawn = mixing.draw(df)
+    assert drawn.columns == [*(c for c in df.columns if c != "shard"), "draw", "shard", "position"]
+    drawn = drawn.collect()
+    # The mix itself is what the digest says: as often, in the same shards, at the same positions; each shard is numbered through.
+    assert Counter(r.doc_id for r in drawn) == Counter({r.doc_id: len(r.shards.split(",")) for r in rows if r.shards})
+    assert {r.doc_id: (r.shard, r.position) for r in rows if r.shards} == {r.doc_id: (r.shard, r.position) for r in sorted(drawn, key=lambda r: (r.shard, r.position), reverse=True)}
+    assert all(sorted(x.position for x in drawn if x.shard == s) == list(range(sum(x.shard == s for x in drawn))) for s in {x.shard for x in drawn})
+    assert mixing.mix_digest(df.limit(0)).count() == 0 and mixing.draw(df.limit(0)).count() == 0
+
+
+def test_mixing_deals_by_the_tree(spark, monkeypatch):
+    """Blocks of one document, so that a shard's documents are its draws: the tree's quotas, and no others."""
+    docs, df = mixed_sources(spark)
+    df = df.where("doc_id < 400")
+    where = {r.doc_id: r.shards for r in mixing.mix_documents(df, block_docs=1, block_words=1, shards=5).collect()}
+    sources, got = {r.doc_id: r.source for r in df.collect()}, Counter()
+    for i, shards in where.items():
+        got.update((s, sources[i]) for s in shards)
+    per_shard = [sum(n for (s, _), n in got.items() if s == k) for k in range(5)]
+    assert max(per_shard) - min(per_shard) <= 16 and len(set(map(tuple, where.values()))) > 5
+    monkeypatch.setattr(mixing, "halve", lambda node, seed: (mixing.Node(node.low, (node.low + node.high) // 2, node.own, node.first), mixing.Node((node.low + node.high) // 2, node.high, node.own * 0, node.first)))
+    assert {s for r in mixing.mix_documents(df, shards=5).collect() for s in r.shards} == {0}
+
+
+def test_mixing_opens_nodes_in_tasks_and_shares_decks(spark, monkeypatch):
+    """Neither how far the driver opens the tree nor small buckets change the mix; sources that share a deck still meet their targets."""
+    _, df = mixed_sources(spark)
+    want = sorted(map(tuple, mixing.mix_documents(df, block_docs=8, shards=9).collect()), key=str)
+    monkeypatch.setattr(mixing, "NODES", 2)
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    assert len(want) == df.count() and sorted(map(tuple, mixing.mix_documents(df, block_docs=8, shards=9).collect()), key=str) == want
+    monkeypatch.setattr(mixing, "DECKS", 2)
+    taken, target = Counter(), {}
+    for r in mixing.mix_documents(df, block_docs=8).collect():
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
 
 
 def test_mixing_goes_on_after_a_long_document(spark):
@@ -359,17 +407,22 @@ def test_mixing_goes_on_after_a_long_document(spark):
         assert abs(sum(r.size * r.copies for r in rows) - 8050) <= 50 and rows[0].target == pytest.approx(8050)
 
 
+def test_mixing_repeated_rows(spark):
+    docs = frame(spark, [(1, "a b c")] * 4 + [(None, "x y")] * 3 + [(2, None), (3, "")])
+    rows = mixing.mix_documents(docs).collect()
+    assert len(rows) == 9 and len({(r.copies, tuple(r.shards)) for r in rows if r.doc_id == 1}) == 1 and mixing.draw(docs).count() == sum(r.copies for r in rows)
+
+
 def test_splitting_tree():
     quotas = np.array([1000, 37, 0, 563])
     deal = mixing.split(quotas, 7, 3)
     assert (deal.sum(0) == quotas).all() and set(deal.sum(1)) <= {228, 229} and (deal >= 0).all()
-    assert targets_add_up()
-
-
-def targets_add_up():
-    sizes = np.array([10.0, 1000, 500, 0])
-    t = mixing.targets(sizes, np.array([5.0, 2, 1, 5]), 1.5, 2.0)
-    return abs(t.sum() - 1.5 * sizes.sum()) < 1e-6 and (t <= 2 * sizes + 1e-9).all() and t[0] == 20
+    # Mean and variance of a shard's part are those of the hypergeometric distribution.
+    first = np.array([mixing.split(quotas, 4, s)[1][:2] for s in range(3000)])
+    n, total = 400, quotas.sum()
+    for k in (0, 1):
+        p = quotas[k] / total
+        assert first[:, k].mean() == pytest.approx(n * p, rel=0.03) and first[:, k].var() == pytest.approx(n * p * (1 - p) * (total - n) / (total - 1), rel=0.12)
 
 
 def test_write_shards(spark, tmp_path):
