@@ -35,7 +35,7 @@ DECKS = 4096
 #: Nodes of the tree that the driver opens; tasks go on from there.
 NODES = 256
 #: Rows in a bucket of a permutation, about, and blocks from which what is left of a target is taken.
-BUCKET, CUT = 1024, 4
+BUCKET, CUT = 256, 4
 
 
 # ---------------------------------------------------------------- the tree

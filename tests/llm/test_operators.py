@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,21 +193,78 @@ def test_feistel_is_a_permutation():
         assert sorted(seen) == list(range(size)) and [f.permute(y, size, b"t", back=True) for y in seen] == list(range(size))
 
 
-def test_resampling(spark):
+def labelled_corpus(spark):
     rng = random.Random(2)
     good = [(i, H.prose(rng, rng.randrange(40, 200), 300)) for i in range(300)]
     junk = [(1000 + i, " ".join(f"j{rng.randrange(60)}!!" for _ in range(80))) for i in range(60)]
-    docs = frame(spark, [*good, *junk, *((2000 + i, t) for i, t in enumerate(H.ODD)), (None, "w1 w2 w3")], key="x", log_weight=1)
-    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in [*good[::3], *junk[::3]]] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in resampling.resample(docs, labels).collect()}
-    held_out = [i for i, _ in good if i % 3], [i for i, _ in junk[1::3]]
-    assert sum(i in kept for i in held_out[0]) >= 0.98 * len(held_out[0]) and sum(i in kept for i in held_out[1]) <= 2
+    toxic = [(3000 + i, " ".join(f"{H.prose(rng, 20, 300)} {rng.choice(['insult', 'slur'])}" for _ in range(6))) for i in range(60)]
+    docs = frame(spark, [*good, *junk, *toxic, *((2000 + i, t) for i, t in enumerate(H.ODD)), (None, "w1 w2 w3")], key="x", log_weight=1, _mean=2, _rest=3)
+    marks = [(i, int(not 1000 <= i < 2000), int(i >= 3000)) for i, _ in [*good[::3], *junk[::3], *toxic[::3]]]
+    labels = spark.createDataFrame(marks + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    return good, junk, toxic, docs, labels
+
+
+def test_resampling(spark):
+    good, junk, toxic, docs, labels = labelled_corpus(spark)
+    drawn = resampling.resample(docs, labels)
+    assert set(docs.columns) == set(drawn.columns) and {(r._mean, r._rest) for r in drawn.collect()} == {(2, 3)}
+    kept = {r.doc_id for r in drawn.collect()}
+    shares = [np.mean([i in kept for n, (i, _) in enumerate(part) if n % 3]) for part in (good, junk, toxic)]  # of those without a label
+    assert shares[0] >= 0.98 and shares[1] <= 0.15 and shares[2] <= 0.5, shares
     fitted = resampling.fit(docs, labels, k=50)
     weighed = sorted((r.key for r in fitted.weigh(docs).collect()), reverse=True)
     assert fitted.least == weighed[49] and sorted(r.key for r in fitted.draw(docs).collect()) == sorted(weighed[:50])
     assert resampling.resample(docs.limit(0), labels).count() == 0 and resampling.resample(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_resampling_weights_by_brute_force(spark):
+    """Counts, log ratios and features again, by plain loops over words and pairs; and the calibrated weight from these."""
+    _, _, _, docs, labels = labelled_corpus(spark)
+    fitted = resampling.fit(docs, labels)
+    bucket = {}
+
+    def grams(text):
+        w = H.words(H.lower(text))
+        out = [w[i : i + 1] for i in range(len(w))], [w[i : i + 2] for i in range(len(w) - 1)]
+        for g in {tuple(g) for part in out for g in part} - set(bucket):
+            _, _, found, _ = next(resampling._ngrams(pa.array([" ".join(g)])))
+            bucket[g] = int(found[0] if len(g) == 1 else found[-1])
+        return [[bucket[tuple(g)] for g in part] for part in out]
+
+    rows = [(r.doc_id, grams(r.text)) for r in docs.collect()]
+    half = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i, _ in rows if i is not None], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(2)).alias("h")).collect()}
+    target = {r.doc_id for r in labels.collect() if r.doc_id is not None and r.quality == 1 and not r.toxic and half[r.doc_id] == 1}
+    ratio = {}
+    for part in (0, 1):
+        raw, own = Counter(b for _, g in rows for b in g[part]), Counter(b for i, g in rows if i in target for b in g[part])
+        rate = sum(own.values()) / sum(raw.values())
+        ratio |= {b: np.log((own[b] + 2) / (n * rate + 2)) for b, n in raw.items()}
+    got = {(r.doc_id, r.text): r.log_weight for r in fitted.weigh(docs).collect()}
+    for (i, (one, two)), text in zip(rows, (r.text for r in docs.collect())):
+        each = [ratio[b] for b in [*one, *two]]
+        features = sum(each) / (len(each) + 20), sum(min(0, x) for x in sorted(ratio[b] for b in one)[:4]), np.log1p(len(each))
+        z = sum(a * b for a, b in zip(fitted.slopes, features)) + fitted.slopes[-1]
+        assert got[i, text] == pytest.approx(-np.logaddexp(0, -z) - np.log(fitted.share), abs=1e-6)
+    assert fitted.share == pytest.approx(100 / 140)
+
+
+def test_resampling_draws_by_weight(spark):
+    """Over many seeds, a document is among the k as often as its weight says, and neither always nor never."""
+    _, _, _, docs, labels = labelled_corpus(spark)
+    fitted = resampling.fit(docs, labels)
+    k, seeds = 100, range(400)
+    rows = fitted.weigh(docs.where("doc_id is not null")).select("log_weight", F.array(*(fitted.gumbel(s) for s in seeds)).alias("noise")).collect()
+    w, noise = np.array([r.log_weight for r in rows]), np.array([r.noise for r in rows])
+    keys = w[:, None] / fitted.temperature + noise
+    often = (keys >= np.sort(keys, axis=0)[-k]).mean(axis=1)
+    low, high = -50.0, 50.0  # the cut at which the chances 1 - exp(-exp(w - cut)) add up to k
+    for _ in range(100):
+        cut = (low + high) / 2
+        low, high = (cut, high) if (1 - np.exp(-np.exp(w - cut))).sum() > k else (low, cut)
+    want = 1 - np.exp(-np.exp(w - cut))
+    assert np.abs(often - want).max() < 0.12 and np.abs(often - want).mean() < 0.02 and ((often > 0.1) & (often < 0.9)).sum() > 200
+
+
 def test_kth_largest(spark):
     values = [random.Random(4).gauss(0, 1) for _ in range(20000)] + [0.5] * 5000
     df = spark.createDataFrame([(v,) for v in values], "v double")
