@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms: validated numbers and dates are permuted within their format by a keyed Feistel network.
 
-A value is read as a number below the size of its format's domain (all card numbers of 16 digits, all days of four
-centuries, ...), permuted, and written in the same form, with the same separators and valid check digits. The
-permutation depends on the key, the kind and the domain only, so equal values stay equal in all documents, whatever
-task reads them, and the holder of the key can go back.
+A value is read as a number below the size of its domain (all card numbers of 16 digits, all days of four
+centuries, ...), permuted, and written in the form in which it was found, with the same separators and valid check
+digits. What is permuted is the value and not its form: a date, a phone number or an address that is written in several
+ways goes to one and the same value, in each of these ways. The permutation depends on the key, the kind and the domain
+only, so equal values stay equal in all documents, whatever task reads them, and the holder of the key can go back.
 """
 
 from __future__ import annotations
@@ -64,6 +65,15 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+#: Country codes of one and of two digits (ITU E.164); all others have three. Fixed values.
+ONE_DIGIT = "1 7".split()
+TWO_DIGITS = "20 27 28 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 83 84 86 89 90 91 92 93 94 95 98".split()
+
+
+def country_code(digits: str) -> str:
+    return digits[: 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
 def _fill(form: str, digits: str) -> str:
     """form with its digits replaced one by one."""
     it = iter(digits)
@@ -134,9 +144,12 @@ class Pseudonyms:
         return _fill(value, body + str(-luhn(body + "0") % 10))
 
     def _phone(self, value: str) -> str | None:
+        """The national number is permuted; the country's code stays, and so does a trunk zero in brackets after it."""
         digits = re.sub("[^0-9]", "", value)
-        code = re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
-        n = len(code[1]) if code else min(1, value.startswith("+"))
+        n = len(country_code(digits)) if value.startswith("+") else 0
+        trunk = re.match(r"\+[0-9]{1,3}[ .-]?\(0\)", value)
+        if trunk and n == len(re.sub("[^0-9]", "", trunk[0])) - 1:
+            n += 1
         own = digits[n:]
         american = not value.startswith("+") or digits[:n] == "1"
         if not 8 <= len(digits) + 1 - bool(n) <= 15 or len(own) < 6 or american and len(own) != 10:
@@ -145,7 +158,8 @@ class Pseudonyms:
         kind = (lambda s: (s[0] > "1", s[3] > "1")) if american else (lambda s: s[0] != "0")
         if value[0].isdigit() and kind(own) != (True, True):  # neither + nor brackets: only the digits tell that it is a phone
             return None
-        return _fill(value, digits[:n] + self._digits(own, "phone" + digits[:n], lambda s: kind(s) == kind(own)))
+        code = "1" if american else country_code(digits)
+        return _fill(value, digits[:n] + self._digits(own, "phone" + code, lambda s: kind(s) == kind(own)))
 
     def _ssn(self, value: str) -> str | None:
         def fits(s: str) -> bool:
@@ -176,45 +190,41 @@ class Pseudonyms:
         return "".join(c if c == " " else next(it) for c in value)
 
     def _date(self, value: str) -> str | None:
-        """Year first, or day and month in the order that is valid, day first if both are."""
-        a, b, c = map(int, re.split("[./-]", value))
-        orders = ["ymd"] if value[2:3].isdigit() and value[4:5] == "-" else ["dmy", "mdy"]
-        for order in orders:
-            part = dict(zip(order, (a, b, c)))
+        """Year first, or day and month in the order that is valid, day first if both are.
+
+        A day goes to one of its class: with as many digits in its day and month, and, as a month before a day can be told
+        from the reverse only then, on the same side of the 12th. So the result has the form of the value, whatever that is.
+        """
+        parts = re.split("[./-]", value)
+        for order in ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"]:
+            part = dict(zip(order, map(int, parts)))
             try:
                 day = date(part["y"], part["m"], part["d"])
             except ValueError:
                 continue
             if not _FIRST <= day <= _LAST:
                 continue
-
-            def written(x: int, order: str = order) -> str:
-                d = _FIRST + timedelta(days=x)
-                sep = "-" if order == "ymd" else re.search("[./-]", value)[0]
-                pad = order == "ymd" or value.startswith("0") or len(value) == 10
-                return sep.join(f"{getattr(d, dict(y='year', m='month', d='day')[k]):0{4 if k == 'y' else 2 if pad else 1}d}" for k in order)
-
-            # The result must be read in the same order: a month first needs a day above 12; without padding, as long a text.
-            fits = (lambda x: (_FIRST + timedelta(days=x)).day > 12) if order == "mdy" else (lambda _: True)
-            first = (day - _FIRST).days
-            same = lambda x: fits(x) and [len(p) for p in re.split("[./-]", written(x))] == [len(p) for p in re.split("[./-]", value)]
-            return written(self._move(first, _DAYS, "date" + order + str([len(p) for p in re.split("[./-]", value)]), same)) if same(first) else None
+            kind = lambda d: (d.day > 9, d.day > 12, d.month > 9)
+            new = _FIRST + timedelta(days=self._move((day - _FIRST).days, _DAYS, "date", lambda x: kind(_FIRST + timedelta(days=x)) == kind(day)))
+            own = dict(y=new.year, m=new.month, d=new.day)
+            return _fill(value, "".join(f"{own[k]:0{len(p)}d}" for k, p in zip(order, parts)))
         return None
 
     def _email(self, value: str) -> str | None:
-        """Letters and digits of the local part, each within its class; the domain stays."""
+        """Letters and digits of the local part, each within its class; capitals stay where they are, and so does the domain."""
         local, _, domain = value.rpartition("@")
-        classes = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c for c in local]
+        digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+        classes = [digits if c in digits else letters if c in letters else c for c in local.lower()]
         size, x = 1, 0
-        for c, own in zip(local, classes):
+        for c, own in zip(local.lower(), classes):
             size, x = size * len(own), x * len(own) + own.index(c)
         if size == 1:
             return None
-        x, out = self._move(x, size, "email" + "".join("0" if k[0] == "0" else k[0] for k in classes)), []
+        x, out = self._move(x, size, "email" + "".join(k[0] for k in classes)), []
         for own in reversed(classes):
             x, at = divmod(x, len(own))
             out.append(own[at])
-        return "".join(reversed(out)) + "@" + domain
+        return "".join(n.upper() if c.isupper() else n for n, c in zip(reversed(out), local)) + "@" + domain
 
     def text(self, text: str) -> tuple[str, list[str]]:
         """The text with its valid values replaced, and their kinds."""
@@ -255,7 +265,9 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
 
     Replaced are card numbers with a right Luhn digit, phone numbers, social security numbers, IBANs with a right check,
     IPv4 addresses, dates from 1800 to 2199, and the local parts of e-mail addresses. A number that fails its check stays
-    as it is, and so does a phone number with neither + nor brackets whose area code or exchange can't exist. Groups
+    as it is, and so does a phone number with neither + nor brackets whose area code or exchange can't exist. Equal values
+    get equal pseudonyms in whatever form they stand: dates in any order and with any separators or padding, phone numbers
+    with or without +1, brackets or a trunk zero, cards and IBANs in groups or not, addresses in any case. Groups
     that follow a card or IBAN in one run stay if it is valid without them, those that follow a phone number if it is valid only
     without them. Digits right before a card are read as part of it, so that it may be missed. back=True gives the original again, if run on a result with the same key. Each row is treated alone, so
     ties and repeated rows don't matter; a null text stays null, an empty one empty; all other columns are kept, but for

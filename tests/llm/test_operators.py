@@ -186,6 +186,35 @@ def test_pseudonyms_of_unassigned_and_followed_numbers():
         assert found == ["card"] and new != text and back.text(new)[0] == text
 
 
+def test_pseudonyms_link_across_forms():
+    """One value in many forms has one pseudonym in as many forms, and the way back works from each."""
+    there, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+
+    def day(form, text):
+        a, b, c = text.replace("/", "-").replace(".", "-").split("-")
+        return {"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[form]
+
+    for days in ([("ymd", "2024-02-29"), ("dmy", "29.02.2024"), ("dmy", "29/2/2024"), ("mdy", "02/29/2024"), ("mdy", "2-29-2024")], [("ymd", "1999-03-04"), ("dmy", "4.3.1999"), ("dmy", "04/03/1999"), ("dmy", "4/03/1999")], [("ymd", "2150-11-12"), ("dmy", "12.11.2150")]):
+        new = [there.text(f"on {t}, ")[0][3:-2] for _, t in days]
+        assert len({tuple(map(int, day(f, t))) for (f, _), t in zip(days, new)}) == 1 and [back.text(t)[0] for t in new] == [t for _, t in days]
+        assert all(t != n and len(t) == len(n) for (_, t), n in zip(days, new))
+    for phones in (["+1 415 555 2671", "415-555-2671", "(415) 555-2671", "+14155552671", "+1 (415) 555-2671", "415.555.2671"], ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+44-20-7946-0958"]):
+        new = [there.text(t)[0] for t in phones]
+        assert len({digits(t)[-10:] for t in new}) == 1 and digits(new[0])[-10:] != digits(phones[0])[-10:] and [back.text(t)[0] for t in new] == phones
+    mails = ["jo.b7@x.org", "Jo.B7@x.org", "JO.B7@x.org"]
+    new = [there.text(t)[0] for t in mails]
+    assert len({t.lower() for t in new}) == 1 and len(set(new)) == 3 and [back.text(t)[0] for t in new] == mails
+    for same in (["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]):
+        assert len({t.replace(" ", "").replace("-", "") for t in (there.text(t)[0] for t in same)}) == 1
+
+
+def test_pseudonyms_of_long_and_repeated_texts(spark):
+    text = "mail jo.b7@x.org " + "words and numbers 12 " * 20000 + "card 4111 1111 1111 1111"
+    rows = pseudonyms.pseudonymise(frame(spark, [(1, text), (1, text), (2, text)]), b"k").collect()
+    assert len(rows) == 3 and len({(r.text, r.n_replaced) for r in rows}) == 1 and rows[0].n_replaced == 2 and len(rows[0].text) == len(text)
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"key")
     for size in (1, 2, 10, 97, 1000):
