@@ -1,15 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle check.
 
-Items and windows are compared as multisets of word shingles, weighted by how rare a shingle is among the items. An
+Items and windows are compared as multisets of word shingles, weighted by how rare a shingle is among all items. An
 item's SimHash has 64 bits. In each document, windows of as many words as the item has slide over every place that
 shares a shingle with an item of that size (a window that shares none has similarity 0). The 64 bits are cut into 8
 blocks; fingerprints within 23 bits of each other have a block with at most 2 different bits (8 blocks with 3 each
 make 24), and the items are indexed under all 37 values that each block can so take. No pair within the radius is
 lost. A pair at similarity 0.8 lies beyond 23 bits with a probability of about 0.00001. All pairs within the radius are
-then compared exactly.
+then compared exactly. Items shorter than a shingle are found as phrases: their words in a row.
 
-The items are broadcast in blocks of a fixed number, each with the counts over all items of the shingles that two or
-more of them share (16 bytes for each such shingle), so that the blocks don't change a similarity; the documents are scanned once for each block and not shuffled.
+The documents are read once, against a bit filter of the items' shingles whose size is bounded; what passes, distinct
+texts only, is written with the number of items that hold each of its shingles, by a join. Only these candidates then meet the items,
+which are broadcast in blocks of bounded size. No similarity depends on how items fall into blocks.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Scratch, mix, n_words, shingles, texts
+from quarry.llm.shared import Scratch, Words, constants, mix, n_words, shingles, texts
 
 BITS, BLOCKS, ERRORS = 64, 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
-#: Items in one broadcast.
-ITEMS = 2048
-_ONE = np.uint64(1)
+#: Words of the items in one broadcast block, about; 64-bit words of the filter, at most.
+BLOCK_WORDS, FILTER = 1 << 20, 1 << 20
 _VARIANTS = np.array([0, *(sum(1 << b for b in c) for n in range(1, ERRORS + 1) for c in combinations(range(BITS // BLOCKS), n))], np.uint64)
 
 
@@ -44,35 +44,39 @@ def signs(h: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
+def runs(found: Words, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of m words of each text, as shingles() has them for a text of m words, and the word at which each begins."""
+    factors, h = constants(m, 23), found.hash
+    n = max(0, len(h) - m + 1)
+    out = np.full(n, m, np.uint64)
+    for j in range(m):
+        out += h[j : j + n] * factors[j]
+    text = np.repeat(np.arange(len(found.first) - 1), found.counts())
+    inside = np.flatnonzero(text[:n] == text[m - 1 :]) if n else np.zeros(0, np.int64)
+    return mix(out[inside]), inside
+
+
 class Items:
-    """An index of items: by shingle, and by blocks of the fingerprints of each size."""
-
-    def __init__(self, rows: list[tuple[int, str]], words: int, n: int, shared: tuple[np.ndarray, np.ndarray]) -> None:
-        """n: of all items, in whatever block; shared: sorted shingles of two or more of all items, and of how many."""
-        self.words = words
-        self.shared, self.weight = shared[0], np.log1p(n / shared[1])
-        column = pa.array([t for _, t in rows], pa.string())
-        ids: list[int] = []
-        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes: list[int] = []
-        for a, b, found in texts(column, lower=True):
-            h, first = shingles(found, words)
-            for d in range(a, b):
-                own = h[first[d - a] : first[d - a + 1]]
-                if len(own):
-                    ids.append(rows[d][0])
-                    self.sets.append(np.unique(own, return_counts=True))
-                    sizes.append(int(found.counts()[d - a]))
-        self.ids = np.array(ids, np.int64)
-        every = np.concatenate([s for s, _ in self.sets]) if ids else np.zeros(0, np.uint64)
-        self.known = np.unique(every)
+    """An index of items: by shingle, and by blocks of the fingerprints of each size. rows: item_id, words, shingles, how often each, in how many items each."""
+
+    def __init__(self, rows: list[tuple], words: int, n: int) -> None:
+        """n: of all items, in whatever block."""
+        self.words, self.n = words, n
         self.rare = float(np.log1p(n))  # of a shingle of one item or none
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        sizes = np.array([r[1] for r in rows], np.int64)
+        self.sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _, _, h, c, df in rows:
+            order = np.argsort(np.array(h, np.int64).view(np.uint64))
+            self.sets.append((np.array(h, np.int64).view(np.uint64)[order], np.array(c, np.int64)[order], np.log1p(n / np.array(df, np.float64)[order])))
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero(sizes < words):
+            self.short.setdefault(int(sizes[i]), {}).setdefault(int(self.sets[i][0][0]), []).append(int(i))
         self.by_size: dict[int, tuple] = {}
-        sizes_ = np.array(sizes, np.int64)
         members: list[np.ndarray] = []
-        for n in np.unique(sizes_):
-            of = np.flatnonzero(sizes_ == n)
-            prints = fingerprints(np.stack([(signs(s) * (c * self.weights(s))[:, None]).sum(axis=0) for s, c in (self.sets[i] for i in of)]))
+        for size in np.unique(sizes[sizes >= words]):
+            of = np.flatnonzero(sizes == size)
+            prints = fingerprints(np.stack([(signs(s) * (c * w)[:, None]).sum(axis=0) for s, c, w in (self.sets[i] for i in of)]))
             blocks = []
             for k in range(BLOCKS):
                 part = (prints >> np.uint64(8 * k)) & np.uint64(0xFF)
@@ -80,18 +84,14 @@ class Items:
                 table = np.zeros((256, len(of)), bool)
                 table[key, np.arange(len(of))[:, None]] = True
                 blocks.append(table)
-            self.by_size[int(n)] = (of, prints, blocks)
-            members.append(np.stack([np.concatenate([self.sets[i][0] for i in of]), np.full(sum(len(self.sets[i][0]) for i in of), n, np.uint64)], axis=1))
-        pairs = np.unique(np.concatenate(members), axis=0) if members else np.zeros((0, 2), np.uint64)
+            self.by_size[int(size)] = (of, prints, blocks)
+            own = np.unique(np.concatenate([self.sets[i][0] for i in of]))
+            members.append(np.stack([own, np.full(len(own), size, np.uint64)], axis=1))
+        pairs = np.concatenate(members) if members else np.zeros((0, 2), np.uint64)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         # Sizes of the items that hold a shingle: sizes[upto[i] : upto[i + 1]] for known[i].
-        self.sizes = pairs[:, 1].astype(np.int64)
-        self.upto = np.searchsorted(pairs[:, 0], np.append(self.known, self.known[-1] if len(self.known) else 0), "left")
-        if len(self.known):
-            self.upto[-1] = len(pairs)
-
-    def weights(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.shared, h), max(0, len(self.shared) - 1))
-        return np.where(self.shared[at] == h, self.weight[at], self.rare) if len(self.shared) else np.full(len(h), self.rare)
+        self.known, first = np.unique(pairs[:, 0], return_index=True)
+        self.sizes, self.upto = pairs[:, 1].astype(np.int64), np.append(first, len(pairs))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in h that hold a shingle of some item, and its number."""
@@ -101,16 +101,16 @@ class Items:
         places = np.flatnonzero(self.known[at] == h)
         return places, at[places]
 
-    def similarity(self, item: int, window: np.ndarray) -> float:
-        """Weighted Jaccard of the two multisets."""
-        s, c = self.sets[item]
-        w, n = np.unique(window, return_counts=True)
+    def similarity(self, item: int, window: np.ndarray, weight: np.ndarray) -> float:
+        """Weighted Jaccard of the two multisets; weight: of each shingle of the window."""
+        s, c, own = self.sets[item]
+        w, at, n = np.unique(window, return_index=True, return_counts=True)
         _, i, j = np.intersect1d(s, w, assume_unique=True, return_indices=True)
-        both = float((np.minimum(c[i], n[j]) * self.weights(s[i])).sum())
-        total = float((c * self.weights(s)).sum() + (n * self.weights(w)).sum())
+        both = float((np.minimum(c[i], n[j]) * own[i]).sum())
+        total = float((c * own).sum() + (n * weight[at]).sum())
         return both / (total - both) if total > both else 1.0
 
-    def matches(self, h: np.ndarray, n_words: int, places: np.ndarray, known: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
+    def matches(self, h: np.ndarray, weight: np.ndarray, places: np.ndarray, known: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
         """Items that a document holds: similarity and first word of the best window. places and known as of find()."""
         wanted: dict[int, list[int]] = {}
         for place, k in zip(places, known):
@@ -118,88 +118,163 @@ class Items:
                 wanted.setdefault(int(n), []).append(int(place))
         best: dict[int, tuple[float, int]] = {}
         for n, at in wanted.items():
-            runs = max(1, n - self.words + 1)  # shingles in a window
-            last = max(0, len(h) - runs)
-            starts = np.unique(np.concatenate([np.arange(max(0, p - runs + 1), min(p, last) + 1) for p in at] + [np.array([last])]))
+            size = n - self.words + 1  # shingles in a window
+            last = max(0, len(h) - size)
+            starts = np.unique(np.concatenate([np.arange(max(0, p - size + 1), min(p, last) + 1) for p in at] + [np.array([last])]))
             low = int(starts[0])
-            own = h[low : int(starts[-1]) + runs]
+            own = h[low : int(starts[-1]) + size]
             sums = np.zeros((len(own) + 1, BITS))
-            np.cumsum(signs(own) * self.weights(own)[:, None], axis=0, out=sums[1:])
-            prints = fingerprints(sums[np.minimum(starts - low + runs, len(own))] - sums[starts - low])
+            np.cumsum(signs(own) * weight[low : low + len(own)][:, None], axis=0, out=sums[1:])
+            prints = fingerprints(sums[np.minimum(starts - low + size, len(own))] - sums[starts - low])
             of, items, blocks = self.by_size[n]
             met = reduce(lambda p, q: p | q, (blocks[k][((prints >> np.uint64(8 * k)) & np.uint64(0xFF)).astype(np.int64)] for k in range(BLOCKS)))
             w, i = np.nonzero(met)
             near = np.bitwise_count(prints[w] ^ items[i]) <= RADIUS
             for a, b in zip(w[near], i[near]):
-                got = self.similarity(int(of[b]), h[starts[a] : starts[a] + runs])
-                item = int(of[b])
+                item, at_ = int(of[b]), slice(starts[a], starts[a] + size)
+                got = self.similarity(item, h[at_], weight[at_])
                 if got >= least and (item not in best or got > best[item][0]):
                     best[item] = (got, int(starts[a]))
         return best
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """The distinct shingles of each text."""
+    """The distinct shingles of each item, and how often it has each."""
+    for batch in batches:
+        for a, b, found in texts(batch.column("text"), lower=True):
+            h, first = shingles(found, words)
+            own = [np.unique(h[first[d] : first[d + 1]], return_counts=True) for d in range(b - a)]
+            rows = pa.array(np.repeat(np.arange(a, b), [len(u) for u, _ in own]))
+            every = [np.concatenate([np.zeros(0, t), *(x[k] for x in own)]) for k, t in ((0, np.uint64), (1, np.int64))]
+            size = pa.array(found.counts().astype(np.int64)[np.asarray(rows) - a])
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(rows), batch.column("item_id").take(rows), size, pa.array(every[0].view(np.int64)), pa.array(every[1])], names=["item", "item_id", "words", "h", "n"])
+
+
+def _masks(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the filter keeps a shingle: the word, and two bits of it."""
+    one = np.uint64(1)
+    return (h & np.uint64(size - 1)).astype(np.int64), (one << (h >> np.uint64(58))) | (one << ((h >> np.uint64(52)) & np.uint64(63)))
+
+
+def _filter(h: DataFrame, most: int) -> np.ndarray:
+    """A bit filter of all shingles, of at most `most` words."""
+    size = 1 << min(most.bit_length() - 1, max(6, (h.count() // 4).bit_length()))
+    two = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)) | shiftleft(1L, cast(shiftrightunsigned(h, 52) & 63 as int))")
+    masks = h.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("w"), two.alias("m"))
+    rows = masks.groupBy("w").agg(F.bit_or("m").alias("bits")).toPandas()  # a row for each word of the filter
+    out = np.zeros(size, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], kept: np.ndarray, words: int, short: list[int]) -> Iterator[pa.RecordBatch]:
+    """The texts that share something with the filter, and the distinct hashes that they share."""
     for batch in batches:
+        rows, shared = [], []
         for a, b, found in texts(batch.column("text"), lower=True):
             h, first = shingles(found, words)
-            own = [np.unique(h[first[d] : first[d + 1]]) for d in range(b - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["h"])
+            every, of = [h], [np.repeat(np.arange(b - a), np.diff(first))]
+            for m in short:
+                own, at = runs(found, m)
+                every.append(own)
+                of.append(np.searchsorted(found.first, at, "right") - 1)
+            h, of = np.concatenate(every), np.concatenate(of)
+            at, mask = _masks(h, len(kept))
+            met = (kept[at] & mask) == mask
+            h, of = h[met], of[met]
+            for d in np.unique(of):
+                rows.append(a + int(d))
+                shared.append(np.unique(h[of == d]).view(np.int64))
+        upto = np.concatenate([[0], np.cumsum([len(x) for x in shared])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([np.zeros(0, np.int64), *shared])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "text", "key")), lists], names=["doc_id", "text", "key", "shared"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple[int, int, int, float]] = []
+        out: list[tuple[int, int, float]] = []
         rows: list[int] = []
+        shared, counts = batch.column("h"), batch.column("df")
         for a, b, found in texts(batch.column("text"), lower=True):
             h, first = shingles(found, items.words)
+            of = np.repeat(np.arange(b - a), np.diff(first))
+            weight = np.full(len(h), items.rare)
+            for d in range(b - a):
+                own = slice(first[d], first[d + 1])
+                known, df = (x[a + d].values.to_numpy() for x in (shared, counts))
+                order = np.argsort(known.view(np.uint64))
+                known, df = known.view(np.uint64)[order], df[order]
+                at = np.minimum(np.searchsorted(known, h[own]), max(0, len(known) - 1))
+                if len(known):
+                    weight[own] = np.where(known[at] == h[own], np.log1p(items.n / df[at]), items.rare)
             places, known = items.find(h)
-            docs = np.searchsorted(first, places, "right") - 1
-            counts = found.counts()
-            for d in np.unique(docs):
-                own = docs == d
-                best = items.matches(h[first[d] : first[d + 1]], int(counts[d]), places[own] - first[d], known[own], least)
-                for item, (similarity, start) in sorted(best.items()):
-                    rows.append(a + int(d))
+            best: dict[int, dict[int, tuple[float, int]]] = {}
+            for d in np.unique(of[places]):
+                own = of[places] == d
+                best[int(d)] = items.matches(h[first[d] : first[d + 1]], weight[first[d] : first[d + 1]], places[own] - first[d], known[own], least)
+            for m, index in items.short.items():
+                own, at = runs(found, m)
+                some = np.flatnonzero(np.isin(own, np.array(sorted(index), np.uint64)))
+                for i in some:
+                    d = int(np.searchsorted(found.first, at[i], "right") - 1)
+                    for item in index[int(own[i])]:
+                        best.setdefault(d, {}).setdefault(item, (1.0, int(at[i] - found.first[d])))
+            for d in sorted(best):
+                for item, (similarity, start) in sorted(best[d].items()):
+                    rows.append(a + d)
                     out.append((int(items.ids[item]), start, similarity))
-        ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["doc_id", "item_id", "first_word", "similarity"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=["key", "item_id", "first_word", "similarity"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, first_word and similarity of the best window.
 
     docs: doc_id long, text string; benchmark: item_id long, text string; other columns are ignored. Words are
-    lower-cased over A-Z. A window has as many words as the item; a shorter document is one window. A text with fewer than
-    `words` words is one shingle, so that so short an item matches documents that are equal to it, and no others. Null and empty texts, and items without an id, match nothing; a null doc_id is
+    lower-cased over A-Z. A window has as many words as the item; a shorter document is one window. An item with fewer than
+    `words` words matches wherever its words stand in a row, with similarity 1. Null and empty texts, and items without an id, match nothing; a null doc_id is
     returned as such. Rows that repeat a doc_id each give their matches. If several windows are equally similar, the
     first counts. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
-    docs = docs.select("doc_id", "text")
     wanted = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    found = spark.createDataFrame([], "doc_id long, item_id long, first_word long, similarity double")
-    n = wanted.where(n_words(F.col("text")) > 0).count()
-    counted = wanted.mapInArrow(partial(_shingles, words=words), "h long").groupBy("h").count().where("count > 1").toPandas()
-    keys, df = counted["h"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    for block in _blocks(wanted, scratch):
-        found = found.union(docs.mapInArrow(partial(_scan, items=Items(block, words, n, (keys[order], df[order])), least=least), found.schema))
-    return found
-
-
-def _blocks(items: DataFrame, scratch: Scratch) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ITEMS, each small enough for the driver and a broadcast."""
-    n = items.count()
-    parts = max(1, -(-2 * n // ITEMS))
-    numbered = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    if parts > 1:
-        numbered = scratch.table(numbered, "items")
-    for part in range(parts):
-        rows = [(r.item_id, r.text) for r in numbered.where(F.col("part") == part).orderBy("item_id", "text").toLocalIterator()]
-        for at in range(0, len(rows), ITEMS):
-            yield rows[at : at + ITEMS]
+    wanted = scratch.table(wanted.where(n_words(F.col("text")) > 0).withColumn("item", F.xxhash64("item_id", "text")), "items")
+    n = wanted.count()
+    grams = scratch.table(wanted.mapInArrow(partial(_shingles, words=words), "item long, item_id long, words long, h long, n long"), "grams")
+    df = scratch.table(grams.groupBy("h").agg(F.count("*").alias("df")), "df")
+    short = sorted(r.words for r in grams.where(F.col("words") < words).select("words").distinct().collect())  # fewer than `words` numbers
+
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).where("text is not null")
+    near = docs.mapInArrow(partial(_candidates, kept=_filter(df.select("h"), FILTER), words=words, short=short), "doc_id long, text string, key long, shared array<long>")
+    near = scratch.table(near, "near")
+    once = near.groupBy("key").agg(F.first("text").alias("text"), F.first("shared").alias("shared"))
+    once = scratch.table(once, "texts")
+    held = once.select("key", F.explode("shared").alias("h")).join(df, "h").groupBy("key").agg(F.collect_list("h").alias("h"), F.collect_list("df").alias("df"))
+    once = scratch.table(once.select("key", "text").join(held, "key"), "candidates")
+    scratch.drop("texts")
+
+    rows = grams.join(df, "h").groupBy("item", "item_id", "words").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n"), F.collect_list("df").alias("df"))
+    rows = scratch.table(rows, "index")
+    found = spark.createDataFrame([], "key long, item_id long, first_word long, similarity double")
+    for block in _blocks(rows):
+        found = found.union(once.mapInArrow(partial(_scan, items=Items(block, words, n), least=least), found.schema))
+    return near.select("key", "doc_id").join(scratch.table(found, "found"), "key").select("doc_id", "item_id", "first_word", "similarity")
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """The items in blocks of about BLOCK_WORDS words, or one longer item, each small enough for the driver and a broadcast."""
+    total = items.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    parts = max(1, -(-2 * total // BLOCK_WORDS))
+    for part in range(parts if total else 0):
+        block, held = [], 0
+        for r in items.where(F.pmod("item", F.lit(parts)) == part).orderBy("item_id", "item").toLocalIterator():
+            block.append((r.item_id, r.words, r.h, r.n, r.df))
+            held += r.words
+            if held >= BLOCK_WORDS:
+                yield block
+                block, held = [], 0
+        if block:
+            yield block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -125,26 +125,34 @@ def test_decontamination(spark):
         for i, own in good:
             for s in range(max(1, len(w) - len(own) + 1)):
                 window = w[s : s + len(own)]
-                if window and (len(own) >= 5 or len(w) == len(own)) and weighted(grams(own), grams(window), df, len(good)) >= 0.8:
+                if window and (len(own) >= 5 or window == own) and weighted(grams(own), grams(window), df, len(good)) >= 0.8:
                     want.add((d, i))
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.leaks(frame(spark, docs, item_id=3, similarity="x"), bench)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and 20 < len(want) < 32
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and 20 < len(want) < 33
     left = decontamination.decontaminate(frame(spark, docs, _x=1), bench)
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert (308, 91) in want and (309, 91) in want  # a short item, alone and within a text
     assert decontamination.leaks(frame(spark, []), bench).count() == 0 and decontamination.leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
+    """Neither how items fall into blocks nor a full filter changes what is found; over 2,048 items that share shingles."""
     rng = random.Random(11)
-    common = H.prose(rng, 8, 5000)
-    items = [(i, f"{common} {H.prose(rng, 14, 5000)}") for i in range(24)]
-    docs = [(i, f"{H.prose(rng, 9, 5000)} {' '.join(t.split()[:-1])} changed {H.prose(rng, 9, 5000)}") for i, t in items]
+    common = [H.prose(rng, 8, 5000) for _ in range(40)]
+    items = [(i, f"{common[i % 40]} {H.prose(rng, 14, 5000)}") for i in range(2400)]
+    docs = [(i, f"{H.prose(rng, 9, 5000)} {' '.join(t.split()[:-1])} changed {H.prose(rng, 9, 5000)}") for i, t in items[:60]] * 2
     bench, found = spark.createDataFrame(items, "item_id long, text string"), []
-    for most in (2048, 4):
-        monkeypatch.setattr(decontamination, "ITEMS", most)
+    for most, bits in ((1 << 20, 1 << 20), (20000, 64)):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", most)
+        monkeypatch.setattr(decontamination, "FILTER", bits)
         found.append(sorted(map(tuple, decontamination.leaks(frame(spark, docs), bench, least=0.6).collect())))
-    assert len(found[0]) >= 24 and found[0] == found[1]
+    assert len(found[0]) >= 120 and found[0] == found[1]
+    grams = lambda t: Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))
+    df = Counter(s for _, t in items for s in grams(t))
+    for d, i, at, similarity in found[0][:40]:
+        window = " ".join(dict(docs)[d].split()[at : at + 22])
+        assert similarity == pytest.approx(weighted(grams(items[i][1]), grams(window), df, len(items)))
 
 
 def test_pseudonyms(spark):
