@@ -1,19 +1,24 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas in idempotent batches.
 
-A rollup is a folder. Each batch of changes is summed to one row for each group and written as the Parquet table
-deltas/<batch>; the table's success marker is the commit. A batch that is sent again finds the marker and does nothing;
-a batch whose job died has no marker, isn't read, and is written afresh. Totals are sums over committed batches, so the
-order of batches doesn't matter. compact() folds the batches so far into one base table that lists them.
+A rollup is a folder. Each batch of changes is summed to one row for each group and written as a Parquet table in a
+folder of its own, which is then renamed to deltas/<batch>: the rename is the commit, and fails where that name is taken. So a
+batch that is sent again does nothing, of two writers of one batch one wins, and a batch whose job died was never there.
+Totals are sums over committed batches, so the order of batches doesn't matter. compact() folds the batches of one
+listing into a base, which names them and is committed by a rename too; what was committed meanwhile stays a delta.
+Renames must not replace a folder, as on HDFS and POSIX; an object store needs a committer that gives this.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,28 +31,46 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _names(self, folder: str) -> list[str]:
-        """Names in a folder that carry a success marker."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, name: str):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):  # noqa: ANN202
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str, marker: str) -> list[str]:
+        """Names in a folder that hold a marker."""
+        fs, path = self._fs(), self._path(folder)
         if not fs.exists(path):
             return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(p.getName() for p in found if fs.exists(make(p, "_SUCCESS")))
-
-    def _bases(self) -> list[tuple[int, list[str]]]:
-        """The newest base: its number and the batches in it."""
-        names = self._names("base")
-        if not names:
-            return []
-        last = max(int(n) for n in names)
-        rows = self.spark.read.parquet(f"{self.path}/base-batches/{last}").collect()
-        return [(last, [r.batch for r in rows])]
+        found = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(n for n in found if fs.exists(self._path(f"{folder}/{n}/{marker}")))
+
+    def _publish(self, work: str, name: str) -> bool:
+        """Rename a finished folder; False, and the folder goes, if the name is taken."""
+        jvm, fs = self.spark._jvm, self._fs()
+        fs.mkdirs(self._path(name).getParent())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._path(work), self._path(name), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(self._path(work), True)
+            return False
+        return True
+
+    def _bases(self) -> list[int]:
+        """Numbers of the bases, the newest last."""
+        return sorted(map(int, self._names("base", "totals/_SUCCESS")))
+
+    def _in_base(self, number: int) -> set[str]:
+        return {r.batch for r in self.spark.read.parquet(f"{self.path}/base/{number}/batches").collect()}
 
     def batches(self) -> set[str]:
         """Committed batches."""
-        return set(self._names("deltas")) | {b for _, own in self._bases() for b in own}
+        deltas, bases = self._names("deltas", "_SUCCESS"), self._bases()  # in this order: what leaves the deltas is in a base by then
+        return set(deltas) | (self._in_base(bases[-1]) if bases else set())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False if it was committed before.
@@ -66,41 +89,51 @@ class TokenRollup:
         new, old = F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.coalesce(F.col("old_tokens").cast("long"), F.lit(0))
         moved = F.when(F.col("action") == "revise", new - old).otherwise(sign * new)
         rows = changes.select(*GROUP, sign.cast("long").alias("d"), moved.alias("t")).groupBy(*GROUP).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        return True
+        work = f"work/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{work}")
+        return self._publish(work, f"deltas/{batch}")
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens of every group with documents or tokens left."""
-        bases = self._bases()
-        done = {b for _, own in bases for b in own}
-        paths = [f"{self.path}/base/{n}" for n, _ in bases] + [f"{self.path}/deltas/{b}" for b in self._names("deltas") if b not in done]
+    def _sum(self, deltas: list[str], bases: list[int]) -> DataFrame:
+        done = self._in_base(bases[-1]) if bases else set()
+        paths = [f"{self.path}/base/{n}/totals" for n in bases[-1:]] + [f"{self.path}/deltas/{b}" for b in deltas if b not in done]
         rows = self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
         summed = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all committed batches into a new base; only then are their tables deleted."""
-        bases, names = self._bases(), self._names("deltas")
-        number = bases[0][0] + 1 if bases else 0
-        done = sorted({b for _, own in bases for b in own} | set(names))
-        self.spark.createDataFrame([(b,) for b in done], "batch string").write.mode("overwrite").parquet(f"{self.path}/base-batches/{number}")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{number}")
-        for old in [*(f"deltas/{b}" for b in names), *(f"base/{n}" for n, _ in bases), *(f"base-batches/{n}" for n, _ in bases)]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens of every group with documents or tokens left."""
+        deltas = self._names("deltas", "_SUCCESS")
+        return self._sum(deltas, self._bases())
+
+    def compact(self) -> bool:
+        """Fold the batches committed so far into a new base; False if another compaction was faster.
+
+        Deltas and bases that only the base before the last needed are deleted, so that a reader that began before this
+        compaction still finds its files.
+        """
+        deltas = self._names("deltas", "_SUCCESS")
+        bases = self._bases()
+        before = self._in_base(bases[-1]) if bases else set()
+        work = f"work/{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(b,) for b in sorted(before | set(deltas))], "batch string").write.parquet(f"{self.path}/{work}/batches")
+        self._sum(deltas, bases).write.parquet(f"{self.path}/{work}/totals")
+        if not self._publish(work, f"base/{bases[-1] + 1 if bases else 0}"):
+            return False
+        for old in [*(f"deltas/{b}" for b in deltas if b in before), *(f"base/{n}" for n in bases[:-1])]:
+            self._fs().delete(self._path(old), True)
+        return True
 
 
 @lru_cache(1)
-def _encoding(path: str, pattern: str):  # noqa: ANN202
+def _encoding(ranks: bytes, pattern: str):  # noqa: ANN202
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    pairs = (line.split() for line in ranks.splitlines())
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    own = _encoding(path, pattern)
+def _tokens(batches: Iterator[pa.RecordBatch], ranks: Broadcast, pattern: str) -> Iterator[pa.RecordBatch]:
+    own = _encoding(ranks.value, pattern)
     for batch in batches:
         counts = [len(own.encode_ordinary(t.as_py() or "")) for t in batch.column("text")]
         rest = [c for c in batch.schema.names if c != "text"]
@@ -110,9 +143,11 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (text and any others) with tokens, the length of the whole text in tokens, in place of text.
 
-    path is a file of byte-pair ranks that every executor has, pattern how its tokenizer splits text. A null or empty
-    text has 0 tokens. A column named tokens is replaced; an empty table gives an empty one.
+    path is a file of byte-pair ranks on the driver, which is broadcast (a vocabulary: some megabytes); pattern says how its
+    tokenizer splits text. A null or empty text has 0 tokens. A column named tokens is replaced; an empty table gives an empty one.
     """
     docs = docs.drop("tokens")
+    with open(path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), T.StructField("tokens", T.LongType())])
-    return docs.mapInArrow(partial(_tokens, path=path, pattern=pattern), schema)
+    return docs.mapInArrow(partial(_tokens, ranks=ranks, pattern=pattern), schema)
