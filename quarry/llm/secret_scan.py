@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Scratch
+from quarry.llm.shared import Scratch, packed, unpacked
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A run of value characters (padding only at its end), and what follows it.
@@ -72,11 +72,11 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """doc_id, word_no (from 0), value, before (up to two words), after, name and path of every candidate in docs (doc_id, text).
+    """doc_id, text_hash, word_no (from 0), value, before (up to two words), after, name and path of every candidate in docs (doc_id, text).
 
     Null and empty texts have none. Rows that repeat a doc_id each give theirs.
     """
-    docs = docs.select("doc_id", "text", (F.col(path) if path else F.lit("")).cast("string").alias("path"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), (F.col(path) if path else F.lit("")).cast("string").alias("path"))
 
     def before(w: Column, i: Column) -> Column:
         return F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
@@ -92,8 +92,8 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     # The words are the variable of a lambda, so that they are split once and not for each use.
     words = F.split(F.coalesce("text", F.lit("")), SPACE)
     one_text = F.transform(F.array(words), lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: fits(w, i)), lambda i: around(w, i)))
-    found = docs.select("doc_id", "path", F.flatten(one_text).alias("c"))
-    one = found.select("doc_id", "path", F.explode("c").alias("c")).select("doc_id", "path", "c.*")
+    found = docs.select("doc_id", "text_hash", "path", F.flatten(one_text).alias("c"))
+    one = found.select("doc_id", "text_hash", "path", F.explode("c").alias("c")).select("doc_id", "text_hash", "path", "c.*")
 
     def values(names: Column, own: Column) -> Column:
         return F.transform(F.arrays_zip(names.alias("name"), own.alias("value")), lambda x: F.struct(x["value"].alias("value"), x["name"].alias("name")))
@@ -111,8 +111,8 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     trimmed = lambda a: F.transform(a, lambda x: F.struct(F.regexp_replace(x["value"], r"[.!?]+$", "").alias("value"), x["name"].alias("name")))
     one = one.withColumns({"_named": F.filter(trimmed("_named"), lambda x: F.length(x["value"]) >= 4), "_long": F.filter(trimmed(long), lambda x: (F.length(x["value"]) >= LONG) & x["value"].rlike("[A-Za-z]"))})
     rest = F.filter("_long", lambda x: ~F.exists("_named", lambda y: F.contains(y["value"], x["value"])))
-    one = one.select("doc_id", "word_no", "before", "after", "path", F.explode(F.array_distinct(F.concat("_named", rest))).alias("f"))
-    return one.select("doc_id", "word_no", "f.value", "before", "after", "f.name", "path")
+    one = one.select("doc_id", "text_hash", "word_no", "before", "after", "path", F.explode(F.array_distinct(F.concat("_named", rest))).alias("f"))
+    return one.select("doc_id", "text_hash", "word_no", "f.value", "before", "after", "f.name", "path")
 
 
 def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
@@ -173,7 +173,7 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, rows: int = FIND
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: str | None = "source", least: float = 0.5) -> DataFrame:
-    """doc_id, word_no, value, before, after, name, path, probability and is_secret (probability >= least) of every candidate.
+    """doc_id, text_hash, word_no, value, before, after, name, path, probability and is_secret (probability >= least) of every candidate.
 
     docs: doc_id long, text string, and the column that `path` names; others are ignored. Null and empty texts have no
     candidates; rows that repeat a doc_id each give theirs; an empty table gives an empty result.
@@ -185,10 +185,16 @@ def scan(docs: DataFrame, model: PipelineModel, path: str | None = "source", lea
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs (doc_id, text and any others) with each secret that found lists for its doc_id written as mark."""
-    own = found.where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values")).withColumnRenamed("doc_id", "_id")
-    df = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]), "left")
-    longest = F.array_sort("_values", lambda x, y: F.length(y) - F.length(x))
+    """docs (doc_id, text and any others) with each secret that found, a result of scan, lists for its text written as mark.
+
+    Rows are matched by doc_id and by a hash of the text, so that rows that repeat a doc_id, or have none, keep their own findings.
+    A null text stays null; an empty found, or an empty table, changes nothing.
+    """
+    own = found.where("is_secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("value").alias("_values"))
+    df = packed(docs, "doc_id", "text").withColumn("_own", F.xxhash64("text"))
+    df = df.join(own, df["doc_id"].eqNullSafe(own["_id"]) & (df["_own"] == own["_hash"]), "left")
+    # The longest first, as a short one may be part of it.
+    longest = F.array_sort("_values", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
 
     def without(t: Column, v: Column) -> Column:
         """A short value may be part of other words: only whole ones are replaced."""
@@ -196,4 +202,4 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
         return F.when(F.length(v) >= LONG, F.replace(t, v, F.lit(mark))).otherwise(F.regexp_replace(t, whole, F.lit(mark)))
 
     text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), without))
-    return df.withColumn("text", text).select(*docs.columns)
+    return df.withColumn("text", text).select(*unpacked(docs.columns, "doc_id", "text"))
