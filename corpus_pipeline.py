@@ -31,14 +31,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are redacted; n_chars follows the text."""
-    found = scan(docs, train(labelled_findings(spark)))
-    clean = redact(docs, found.select("doc_id", "value", "is_secret"))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Secrets are redacted; n_chars, where docs has it, follows the text. Without a source, the path of findings is empty."""
+    found = scan(docs, train(labelled_findings(spark)), "source" if "source" in docs.columns else None)
+    clean = redact(docs, found.select("doc_id", "text_hash", "value", "is_secret"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, with draw, shard and shuffle_key."""
+    """The documents as often as the mix takes them, with draw, shard and position, each shard in its random order."""
     return draw(docs)
 
 
