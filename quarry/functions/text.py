@@ -15,9 +15,15 @@ EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 ORDER_NUMBER = r"(?:订单号|订单编号|订单流水号|订单ID|订单\s*id)\s*[:：#为是]?\s*[A-Za-z0-9][A-Za-z0-9\-]{5,}"
 TRACKING_NUMBER = r"(?:运单号|快递单号|物流单号|包裹号|快递编号)\s*[:：#为是]?\s*[A-Za-z0-9][A-Za-z0-9\-]{5,}"
 PHONE = r"(?<![0-9A-Za-z])(?:\+?86[-\s]?|0086[-\s]?)?1[3-9][0-9](?:[-\s]?[0-9]{4}){2}(?![0-9A-Za-z])"
-# A place counts as an address only from the district, road or house number on.
-ADDRESS = r"[一-龥]{2,10}(?:省|市|自治区|自治州)(?:[一-龥]{2,8}(?:市|区|县|旗|镇))?(?:[一-龥A-Za-z0-9]{1,20}(?:路|街道|街|巷|弄|大道))?(?:\s*[0-9]{1,5}\s*号)?"
-PLACE = "区|县|旗|镇|街道|路|街|巷|弄|大道|号"
+# An address, what makes one of a match (a bare city stays), and the short form that is replaced after it.
+ADDRESS = r"(?:[一-龥]{2,8}(?:省|自治区|特别行政区))?[一-龥]{2,8}(?:市|自治州|地区|盟)(?:[一-龥]{2,8}(?:区|县|旗|市))?(?:[一-龥A-Za-z0-9]{1,20}(?:路|街|街道|巷|弄|大道))?(?:\s*[0-9]{1,5}\s*号)?(?:[一-龥A-Za-z0-9]{0,20}(?:小区|大厦|广场|公寓|花园|写字楼|号楼|栋|单元|室))?"
+PLACE = "区|县|镇|街道|路|街|巷|弄|大道|号|小区|大厦|广场|公寓|花园|号楼|栋|单元|室"
+SHORT_ADDRESS = r"[一-龥]{2,6}(?:市|省)[一-龥]{2,8}(?:区|县|镇|街道|路|街)"
+# Topic inputs: a label that stays, and what follows it.
+LABELLED = [
+    (r"((?:姓名|收件人|联系人|我叫)\s*[:：]?\s*)[一-鿿]{2,4}", "[姓名]"), (r"((?:账号|账户|银行卡号|支付宝|微信号)\s*[:：]?\s*)[A-Za-z0-9_@.\-]{3,}", "[账号]"),
+    (r"()(?<![A-Za-z0-9])[0-9]{10,}(?![A-Za-z0-9])", "[长编号]"), (r"((?:地址|住址|收货地址)\s*[:：]\s*)[^，。；\n]+", "[地址]"),
+]
 REDACTIONS = {"id_card": ID_CARD, "email": EMAIL, "order": ORDER_NUMBER, "tracking": TRACKING_NUMBER, "phone": PHONE}
 
 
@@ -30,16 +36,63 @@ def redact(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
     for kind, pattern in REDACTIONS.items():
         out = F.regexp_replace(out, pattern, mark(kind))
-    # A bare city stays: only a match that goes on to a place is replaced.
-    return F.regexp_replace(out, f"(?={ADDRESS}(?<={PLACE})){ADDRESS}(?<={PLACE})", mark("address"))
+    # Every match is put between two characters that no text has; those with a place in them are replaced, the others freed.
+    out = F.regexp_replace(out, f"({ADDRESS})", f"{_OPEN}$1{_SHUT}")
+    out = F.regexp_replace(out, f"{_OPEN}[^{_SHUT}]*(?:{PLACE})[^{_SHUT}]*{_SHUT}", mark("address"))
+    return F.regexp_replace(F.translate(out, _OPEN + _SHUT, ""), SHORT_ADDRESS, mark("address"))
+
+
+#: Noncharacters of Unicode.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
 
 
 def private_kinds(text: Column) -> Column:
     """Which kinds of private data a text holds, in the order of redaction."""
-    kinds = F.array(*(F.when(text.rlike(p), k) for k, p in REDACTIONS.items()))
+    kinds = F.array(*(F.when(text.rlike(p), k) for k, p in REDACTIONS.items()), F.when(F.contains(redact(text), F.lit(mark("address"))) & ~F.contains(text, F.lit(mark("address"))), "address"))
     return F.filter(kinds, lambda k: k.isNotNull())
 
 
+def topic_input(text: Column) -> Column:
+    """A question as the classifier gets it: redacted, with labelled names, accounts, long numbers and addresses as marks. Null if blank."""
+    out = redact(text)
+    for pattern, token in LABELLED:
+        out = F.regexp_replace(out, pattern, "$1" + token)
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.regexp_replace(out, r"^\s+|\s+$", ""))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """A JSON object with its keys in order and no spaces; nulls are written."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def numbered_list(text: Column, header: str) -> Column:
+    """The entries of a list under a header line, numbered 1, 2, 3, ... without a gap; null if anything else stands there, or one repeats."""
+    lines = F.split(text, "\n")
+    entries = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    names = F.transform(entries, lambda x: F.regexp_extract(x, r"^[0-9]+[.、] (.+)$", 1))
+    numbers = F.transform(entries, lambda x: F.regexp_extract(x, r"^([0-9]+)[.、] .+$", 1))
+    counted = F.transform(F.sequence(F.lit(1), F.size(entries)), lambda i: i.cast("string"))
+    fine = (F.get(lines, F.lit(0)) == header) & (F.size(entries) > 0)
+    sound = (numbers == counted) & (F.size(F.array_distinct(names)) == F.size(names)) & F.forall(names, lambda x: (F.length(x) <= 64) & (x == F.trim(x)) & ~x.rlike(r"[\x00-\x1f\u2028\u2029]"))
+    return F.when(fine & sound, names)
+
+
+def resolve_option(text: Column, options: Column, index: Column) -> Column:
+    """Which of the listed options a text means: the one that stands in it as a whole, in any case, if there is just one and the number given, if any, is its place; else the one at that number. Null if none or unclear."""
+    # An option is a whole word of the text if both, with borders around, are: identifiers have no borders inside.
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_#-]+", " "), F.lit(" "))
+    named = F.filter(options, lambda o: F.contains(words, F.concat(F.lit(" "), F.lower(o), F.lit(" "))))
+    listed = F.when((index >= 1) & (index <= F.size(options)), F.get(options, index - 1))
+    only = F.get(named, F.lit(0))
+    return F.when((F.size(named) == 1) & (index.isNull() | (only == listed)), only).when(F.size(named) == 0, listed)
+
+
+def covered(quote: Column, text: Column) -> Column:
+    """Whether a quote stands in a text, both in lower case and without white space and punctuation; a blank quote doesn't."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[\s\p{Punct}]+", ""))
+    return (plain(quote) != "") & F.contains(plain(text), plain(quote))
+
+
 def has_mark(text: Column) -> Column:
     return text.rlike(r"\[(?:" + "|".join(k.upper() for k in [*REDACTIONS, "address"]) + r")\]")
 
@@ -107,7 +160,7 @@ def sentences(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import re
 
     # Terminators, closers, what may stand before a full stop and after it.
-    end = re.compile(r"(?:[。！？；!?]+|…{2,}|\.{3,}|(?<=[A-Za-z0-9)\]\"'%])\.(?=[\"'”’）\]】》」』]*\s+[A-Z一-鿿]))[\"'”’）\]】》」』]*")
+    end = re.compile(r"(?:(?:[。！？；!?]|…{2,}|\.{3,})+|(?<=[A-Za-z0-9)\]\"'%])\.(?=[\"'”’）\]】》」』]*\s+[A-Z一-鿿]))[\"'”’）\]】》」』]*")
 
     def cut(text: str | None) -> list[str]:
         out = []

@@ -1,17 +1,24 @@
 """Retrieval: BM25, exact dense search, reciprocal-rank fusion, re-ranking and the check against valid chunks.
 
-Questions are a table, so a batch of them is one plan. Scores are joins on terms or blocks; every top k is a window whose
-limit Spark pushes below the shuffle.
+Questions are a table, so a batch of them is one plan. They are cut into blocks of fixed size; every block meets every
+batch of chunks once, as matrices inside a task, which gives back the best few of each question only. So no pair of a question and a
+chunk is ever a row, and no term's postings meet in one place. The rest is a window over these few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.arrays import dot
-
 K1, B, RRF = 1.2, 0.75, 60
+#: Questions in a block (of BM25, with about 8 terms each or fewer questions), vectors in a block, and chunks of a batch that are scored together.
+QUESTIONS, VECTORS, CHUNKS = 1024, 4096, 256
 
 
 def terms(text: Column) -> Column:
@@ -19,23 +26,82 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf and length of chunks (chunk_id, text)."""
-    words = chunks.select("chunk_id", terms(F.col("text")).alias("w"))
-    one = words.select("chunk_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return one.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+def _flat(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a column of word lists, and the row of each."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return words.flatten(), np.repeat(np.arange(len(words)), sizes)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: in how many chunks a term stands, and, for the term '', the chunks and words of the batch."""
+    for batch in batches:
+        words, row = _flat(batch.column("w"))
+        coded = words.dictionary_encode()
+        pairs = np.unique(row.astype(np.int64) * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.int64)
+        n = np.bincount(pairs % max(1, len(coded.dictionary)), minlength=len(coded.dictionary))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.array([""])]), pa.array(np.append(n, batch.num_rows)), pa.array(np.append(n * 0, len(words)))], names=["term", "n", "words"])
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, questions: np.ndarray, k: int) -> list[np.ndarray]:
+    """question, chunk and score of the k best columns of each row, none of -inf; ties to the smaller id, of which all at the border are kept."""
+    if scores.shape[1] > k:
+        border = np.partition(scores, -k, axis=1)[:, -k]
+        row, at = np.nonzero((scores >= border[:, None]) & (scores > -np.inf))
+    else:
+        row, at = np.nonzero(scores > -np.inf)
+    return [questions[row], ids[at], scores[row, at]]
+
+
+_FOUND = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+
+def _bm25(batches: Iterator[pa.RecordBatch], asked: list[tuple[int, str, float]], mean: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of each batch for each question of a block; asked: question, term and the term's weight."""
+    vocabulary, questions = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
+    term, number = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(questions)}
+    weight = np.zeros((len(vocabulary), len(questions)))
+    for q, t, w in asked:
+        weight[term[t], number[q]] = w
+    known, ids = pa.array(vocabulary, pa.string()), np.array(questions, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNKS):
+            part = batch.slice(at, CHUNKS)
+            words, row = _flat(part.column("w"))
+            code = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False)
+            length = np.bincount(row, minlength=part.num_rows)
+            tf = np.bincount(row[code >= 0] * len(vocabulary) + code[code >= 0], minlength=part.num_rows * len(vocabulary)).reshape(part.num_rows, -1).astype(float)
+            tf *= (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[:, None])
+            scores = np.round((tf @ weight).T, 9)
+            found = _best(part.column("chunk_id").to_numpy(zero_copy_only=False), np.where(scores > 0, scores, -np.inf), ids, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=_FOUND)
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
-    """The k best chunks of each question by BM25: question_id, chunk_id, score, rank (from 1); ties to the smaller id."""
-    index = postings(chunks)
-    size = chunks.agg(F.count("*").alias("n_chunks"), F.avg(F.size(terms(F.col("text")))).alias("mean_length"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    """The k best chunks of each question by BM25: question_id, chunk_id, score, rank (from 1); ties to the smaller id.
+
+    Chunks are read once for the counts of terms, and once for each block of questions.
+    """
+    words = chunks.select("chunk_id", terms(F.col("text")).alias("w"))
+    counts = words.select("w").mapInArrow(_term_counts, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words"))
     asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    hits = asked.join(df, "term").join(index, "term").crossJoin(F.broadcast(size))  # size is one row
-    return top(hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score")), k)
+    # With the row of the term '', which holds the totals, first.
+    rows = asked.unionByName(chunks.sparkSession.createDataFrame([(None, "")], "question_id long, term string")).join(counts, "term").orderBy(F.col("question_id").asc_nulls_first(), "term")
+    found, block, totals = chunks.sparkSession.createDataFrame([], "question_id long, chunk_id long, score double"), [], None
+    last, n = None, 0
+
+    def scored(block: list[tuple[int, str, float]]) -> DataFrame:
+        return words.mapInArrow(partial(_bm25, asked=block, mean=totals.words / totals.df, k=k), found.schema)
+
+    for r in rows.toLocalIterator():
+        if totals is None:
+            totals = r
+            continue
+        if r.question_id != last:
+            if n == QUESTIONS or len(block) >= 8 * QUESTIONS:
+                found, block, n = found.union(scored(block)), [], 0
+            last, n = r.question_id, n + 1
+        block.append((r.question_id, r.term, float(np.log(1 + (totals.df - r.df + 0.5) / (r.df + 0.5)))))
+    return top(found.union(scored(block)) if block else found, k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -43,24 +109,52 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _scored(questions: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
-    """Cosines of the question set, cut into blocks, with every vector; each block meets every vector once."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    asked = questions.where(dot(F.col("vector"), F.col("vector")) > 0).select("question_id", unit(F.col("vector")).alias("q"))
-    asked = asked.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(block)).alias("_block")).agg(F.collect_list(F.struct("question_id", "q")).alias("asked"))
-    held = vectors.where(dot(F.col("vector"), F.col("vector")) > 0).select("chunk_id", unit(F.col("vector")).alias("v"))
-    met = held.crossJoin(asked.drop("_block")).select("chunk_id", "v", F.explode("asked").alias("a"))
-    return met.select(F.col("a.question_id").alias("question_id"), "chunk_id", F.round(dot(F.col("a.q"), F.col("v")), 9).alias("score"))
+def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of up to `size` vectors of one length, scaled to length 1: ids and vectors as bytes. Zero vectors, and null ones, are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            ids, sizes = part.column("id").to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(part.column("v")), 0).to_numpy(zero_copy_only=False)
+            flat, first = part.column("v").flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+            for n in np.unique(sizes[sizes > 0]):
+                of = np.flatnonzero(sizes == n)
+                v = flat[first[of][:, None] + np.arange(n)].astype(float)
+                norm = np.sqrt((v * v).sum(axis=1))
+                fine = norm > 0
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[of][fine].astype(np.int64), v[fine] / norm[fine][:, None]))], names=["n", "ids", "v"])
+
+
+def _packed(vectors: DataFrame, name: str, size: int) -> DataFrame:
+    return vectors.select(F.col(name).alias("id"), F.col("vector").cast("array<double>").alias("v")).mapInArrow(partial(_pack, size=size), "n int, ids binary, v binary")
+
+
+def _cosines(batches: Iterator[pa.RecordBatch], k: int | None, least: float) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks: the k best for each question, or all that reach least."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            qids, q, ids, v = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("qids", np.int64), ("q", np.float64), ("ids", np.int64), ("v", np.float64)))
+            n = batch.column("n")[row].as_py()
+            q, v = q.reshape(-1, n), v.reshape(-1, n)
+            for at in range(0, len(q), 256):
+                scores = np.round(q[at : at + 256] @ v.T, 9)
+                found = _best(ids, np.where(scores >= least, scores, -np.inf), qids[at : at + 256], k or len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=_FOUND)
+
+
+def _scored(questions: DataFrame, vectors: DataFrame, k: int | None, least: float = -2.0) -> DataFrame:
+    """Each block of questions is set against each block of vectors of the same length, once."""
+    asked, held = _packed(questions, "question_id", QUESTIONS).select(F.col("n").alias("m"), F.col("ids").alias("qids"), F.col("v").alias("q")), _packed(vectors, "chunk_id", VECTORS)
+    return asked.crossJoin(held).where("m = n").mapInArrow(partial(_cosines, k=k, least=least), "question_id long, chunk_id long, score double")
 
 
-def dense(questions: DataFrame, vectors: DataFrame, k: int = 50, block: int = 256) -> DataFrame:
+def dense(questions: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:
     """The k chunks with the largest cosine for each question (question_id, vector) among vectors (chunk_id, vector), exactly."""
-    return top(_scored(questions, vectors, block), k)
+    return top(_scored(questions, vectors, k), k)
 
 
-def similar(questions: DataFrame, vectors: DataFrame, least: float, block: int = 256) -> DataFrame:
+def similar(questions: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """All pairs whose cosine reaches least."""
-    return _scored(questions, vectors, block).where(F.col("score") >= least)
+    return _scored(questions, vectors, None, least)
 
 
 def fuse(lists: list[DataFrame], k: int = 50) -> DataFrame:

@@ -52,10 +52,57 @@ def context(messages: DataFrame, most: int = 16, each: int = 2000, total: int =
     return rows.where((F.col("_n") <= most) & (F.col("_before") < total)).select("conv_id", "turn", F.least(F.col("_size"), F.lit(total) - F.col("_before")).cast("long").alias("taken"))
 
 
-def neighbours(rows: DataFrame, group: str, order: str, key: str) -> DataFrame:
-    """rows with the keys of the ones before and after."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumns({"previous_id": F.lag(key).over(w), "next_id": F.lead(key).over(w)})
+def by_range(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with _range: one of a number of equal parts of all values of order (numeric). Windows inside a part of a group stay small
+    where groups are few; what they need from the parts before and after is added from a row for each part."""
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = order.cast("double")
+    span = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    part = F.floor((value - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-9)) * parts)
+    return rows.crossJoin(F.broadcast(span)).withColumn("_range", F.least(F.coalesce(part, F.lit(0)), F.lit(parts - 1))).drop("_low", "_high")  # span is one row
+
+
+def _borders(rows: DataFrame, group: str, **columns: Column) -> DataFrame:
+    """A row for each part of each group, to be joined by _group and _part."""
+    return rows.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_part")).agg(*(c.alias(k) for k, c in columns.items()))
+
+
+def _with_borders(rows: DataFrame, borders: DataFrame, group: str) -> DataFrame:
+    return rows.join(borders, rows[group].eqNullSafe(borders["_group"]) & (rows["_range"] == borders["_part"]), "left").drop("_group", "_part", "_range")
+
+
+def neighbours(rows: DataFrame, group: str, order: str, key: str, position: Column | None = None) -> DataFrame:
+    """rows with previous_id and next_id, the keys of the ones before and after in their group. Equal values of order go by key.
+
+    position: a number that grows with order (order itself, if that is one). Groups are cut into ranges of it, so that a group of any size spreads over tasks.
+    """
+    rows = by_range(rows, F.col(order) if position is None else position)
+    own, every = Window.partitionBy(group, "_range").orderBy(order, key), Window.partitionBy("_group").orderBy("_part")
+    inside = rows.withColumns({"previous_id": F.lag(key).over(own), "next_id": F.lead(key).over(own)})
+    first, last = F.min_by(key, F.struct(order, key)), F.max_by(key, F.struct(order, key))
+    borders = _borders(rows, group, _first=first, _last=last).withColumns({"_before": F.lag("_last").over(every), "_after": F.lead("_first").over(every)})
+    found = _with_borders(inside, borders.drop("_first", "_last"), group)
+    return found.withColumns({"previous_id": F.coalesce("previous_id", "_before"), "next_id": F.coalesce("next_id", "_after")}).drop("_before", "_after")
+
+
+def numbered(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """rows with their number, from 0, in their group by order (numeric); ranges as in neighbours."""
+    rows = by_range(rows, F.col(order))
+    every = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn(name, F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1)
+    borders = _borders(rows, group, _n=F.count("*")).withColumn("_before", F.coalesce(F.sum("_n").over(every), F.lit(0)))
+    return _with_borders(inside, borders.drop("_n"), group).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_before")
+
+
+def carried(rows: DataFrame, group: str, position: Column, value: str, name: str, *order: Column) -> DataFrame:
+    """rows with the last value that isn't null up to and with each row, in its group by order, which grows with position (numeric); ranges as in neighbours."""
+    rows = by_range(rows, position)
+    own = Window.partitionBy(group, "_range").orderBy(*order)
+    every = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn(name, F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)))))
+    borders = _borders(rows, group, _last=latest).withColumn("_before", F.last("_last", ignorenulls=True).over(every))
+    return _with_borders(inside, borders.drop("_last"), group).withColumn(name, F.coalesce(name, "_before")).drop("_before")
 
 
 def current_and_latest(rows: DataFrame, source: str, is_current: Column, *order: Column) -> DataFrame:

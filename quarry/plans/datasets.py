@@ -11,6 +11,7 @@ from quarry.operators import candidates as C
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
 from quarry.operators.relational import first_n
+from quarry.operators.windows import numbered
 from quarry.plans.evaluation import CLASSES, _CASES, _COUNTS, _ROWS, _cases, _rows
 from quarry.plans.registry import query
 from quarry.plans.retrieval import _BM25, _DENSE, _FUSED, _parts
@@ -27,9 +28,8 @@ def bigram_candidates(t: Tables) -> DataFrame:
 
 @query("jon19_near_duplicate_pairs")
 def near_duplicate_pairs(t: Tables) -> DataFrame:
-    """Conversation texts that are nearly the same, by the ratio of their longest common runs."""
-    rows = t.conversations.groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    return C.near_pairs(rows.select("id", F.col("text")), n=24)
+    """Items of the evaluation set that are nearly the same, by the ratio of their longest common runs. SQL has no such ratio; tests/test_rules.py holds it against brute force."""
+    return C.near_pairs(t.benchmark.select(F.col("item_id").alias("id"), "text"))
 
 
 @query("jon22_similar_or_equal", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.88 UNION SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON b.label = a.label AND b.vec_id = a.vec_id + 1")
@@ -111,10 +111,8 @@ def source_turns(t: Tables) -> DataFrame:
 
 @query("cmp07_payloads", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS chunk_index, sha256(text) AS content_hash FROM documents")
 def payloads(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return t.documents.select("doc_id", index.alias("chunk_index"), F.sha2("text", 256).alias("content_hash"))
+    hashed = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("content_hash"))
+    return numbered(hashed, "source", "doc_id", "chunk_index").select("doc_id", "chunk_index", "content_hash")
 
 
 @query("cmp16_exploded_questions", "SELECT doc_id, q FROM (SELECT doc_id, unnest([source, lang, '']) AS q FROM documents) WHERE q <> ''")

@@ -37,10 +37,10 @@ def own(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
 
 
-@query("src20_owned_or_empty", "SELECT c_custkey, c_custkey IN (SELECT conv_id FROM conversations) AS has_messages FROM customer WHERE c_custkey < 60")
+@query("src20_owned_or_empty", "SELECT c_custkey, c_custkey IN (SELECT conv_id FROM conversations) AS has_messages FROM customer")
 def owned_or_empty(t: Tables) -> DataFrame:
     seen = t.conversations.select(F.col("conv_id").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
-    return t.customer.where("c_custkey < 60").join(seen, "c_custkey", "left").select("c_custkey", F.coalesce("has", F.lit(False)).alias("has_messages"))
+    return t.customer.join(seen, "c_custkey", "left").select("c_custkey", F.coalesce("has", F.lit(False)).alias("has_messages"))
 
 
 @query("snk06_cleaned_vectors", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2'))")
@@ -55,10 +55,14 @@ def migration(t: Tables) -> DataFrame:
     return joined.agg(F.count("vec_id").alias("copied"), F.count_if(F.col("vec_id").isNull()).alias("missing"))
 
 
-@query("snk07_reindex_complete", "SELECT lang, count(*) AS n, count(*) = (SELECT count(*) FROM documents d WHERE d.lang = o.lang) AS complete FROM documents o GROUP BY lang")
+@query("snk07_reindex_complete", """SELECT d.lang, count(*) AS expected, count(v.vec_id) AS indexed, count(*) = count(v.vec_id) AS complete
+FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings WHERE label <> 3) v ON v.vec_id = d.doc_id WHERE d.doc_id < (SELECT max(vec_id) FROM embeddings) GROUP BY 1""")
 def complete(t: Tables) -> DataFrame:
-    expected = t.documents.groupBy("lang").agg(F.count("*").alias("e"))
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n")).join(expected, "lang").select("lang", "n", (F.col("n") == F.col("e")).alias("complete"))
+    """What should be in the new index against what is, by language: vectors of label 3 failed."""
+    top = t.embeddings.agg(F.max("vec_id").alias("top"))
+    stored = t.embeddings.where("label <> 3").select("vec_id").distinct()
+    expected = t.documents.crossJoin(F.broadcast(top)).where("doc_id < top").join(stored, F.col("vec_id") == F.col("doc_id"), "left")  # one row is broadcast
+    return expected.groupBy("lang").agg(F.count("*").alias("expected"), F.count("vec_id").alias("indexed")).withColumn("complete", F.col("expected") == F.col("indexed"))
 
 
 @query("snk10_candidate_upsert", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE 'old' END AS version FROM documents")
@@ -122,11 +126,14 @@ def support_queue(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.when(last >= 6, "closed").when(last >= 3, "staff").otherwise("waiting").alias("status"))
 
 
-@query("flt14_current_predictions", "SELECT doc_id FROM documents WHERE md5(text) = CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE md5(text) END AND CASE WHEN doc_id % 5 = 0 THEN 'v0' ELSE 'v1' END = 'v1'")
+@query("flt14_current_predictions", """SELECT l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN documents o ON o.doc_id = l.doc_id - l.doc_id % 3
+WHERE sha256(d.text) = sha256(o.text) AND CASE WHEN l.toxic = 1 THEN 'v0' ELSE 'v1' END = 'v1'""")
 def current_predictions(t: Tables) -> DataFrame:
-    stored = F.when(F.col("doc_id") % 4 == 0, "old").otherwise(F.md5("text"))
-    version = F.when(F.col("doc_id") % 5 == 0, "v0").otherwise("v1")
-    return t.documents.where((F.md5("text") == stored) & (version == "v1")).select("doc_id")
+    """Labels as predictions, made on the text that stood under the next lower multiple of three: current where that is still the text, and the version is."""
+    made = t.documents.select(F.col("doc_id").alias("_made"), F.sha2("text", 256).alias("stored"))
+    rows = t.labels.join(t.documents.select("doc_id", F.sha2("text", 256).alias("now")), "doc_id").join(made, F.col("_made") == F.col("doc_id") - F.col("doc_id") % 3)
+    version = F.when(F.col("toxic") == 1, "v0").otherwise("v1")
+    return rows.where((F.col("now") == F.col("stored")) & (version == "v1")).select("doc_id")
 
 
 @query("flt17_result_filters", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'bad' END, 'unclassified') IN ('bad', 'unclassified') AND (toxic IS NULL OR toxic = 0)")
@@ -218,10 +225,14 @@ def identifiers(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", ((F.length(n) <= 64) & (n == F.trim(n)) & ~n.rlike(r"[\x00-\x1f]")).alias("valid"))
 
 
-@query("str40_refund_reason", "SELECT conv_id, turn, CASE WHEN contains(text, substr(text, 5, 20)) THEN substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 160) END AS reason FROM conversations WHERE role = 'user'")
+@query("str40_refund_reason", """WITH first AS (SELECT conv_id, substr(arg_min(text, turn), 1, 12) AS quote FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT conv_id, turn, CASE WHEN quote <> '' AND contains(text, quote) THEN substr(regexp_replace(quote, '\\s+', ' ', 'g'), 1, 160) END AS reason FROM conversations JOIN first USING (conv_id) WHERE role = 'user'""")
 def refund_reason(t: Tables) -> DataFrame:
-    quote = F.substring("text", 5, 20)
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", F.when(F.contains("text", quote), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 160)).alias("reason"))
+    """The reason quoted from a conversation's first message, where a message says it word for word."""
+    asked = t.conversations.where("role = 'user'")
+    first = asked.groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 12).alias("quote"))
+    reason = F.when((F.col("quote") != "") & F.contains("text", F.col("quote")), F.substring(F.regexp_replace("quote", r"\s+", " "), 1, 160))
+    return asked.join(first, "conv_id").select("conv_id", "turn", reason.alias("reason"))
 
 
 @query("mth07_threshold_labels", "SELECT doc_id, concat_ws(',', CASE WHEN n_chars / 5000.0 >= 0.5 THEN 'long' END, CASE WHEN (doc_id % 10) / 10.0 >= 0.7 THEN 'odd' END) AS labels FROM documents")

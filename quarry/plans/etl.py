@@ -32,9 +32,9 @@ def manifest(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("manifest"))
 
 
-@query("src04_active_faq", "SELECT doc_id FROM documents WHERE n_chars > 500 ORDER BY n_chars, doc_id LIMIT 200")
+@query("src04_active_faq", "SELECT doc_id FROM documents WHERE n_chars > 500")
 def active(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars > 500").orderBy("n_chars", "doc_id").limit(200).select("doc_id")
+    return t.documents.where("n_chars > 500").orderBy("n_chars", "doc_id").select("doc_id")
 
 
 @query("src06_eval_set_violations", "SELECT (SELECT count(*) - count(DISTINCT item_id) FROM benchmark) AS repeated_ids, (SELECT count(*) FROM (SELECT lang FROM documents GROUP BY lang HAVING count(DISTINCT doc_id % 2) > 1)) AS crossing_clusters")

@@ -90,15 +90,20 @@ cases AS (SELECT w.case_id, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS re
   FROM wanted w LEFT JOIN bm25 b ON b.question_id = w.case_id AND b.chunk_id = w.chunk_id GROUP BY 1)"""
 
 
-def _cases(t: Tables) -> DataFrame:
+def _wanted(t: Tables) -> DataFrame:
+    """case_id and chunk_id: the documents that hold each item."""
     asked, chunks, _ = _parts(t)
     # Which documents hold an item: they share all of its words, so one word of it is the key, and containment the residue.
     rare = asked.select("question_id", F.col("text").alias("_item"), F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term"))
-    index = R.postings(chunks).select("term", "chunk_id")
+    index = chunks.select("chunk_id", F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     key = rare.join(df, "term").groupBy("question_id", "_item").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    wanted = key.join(index, "term").join(chunks, "chunk_id").where(F.contains("text", F.col("_item"))).select(F.col("question_id").alias("case_id"), "chunk_id")
-    return M.retrieval_cases(wanted, R.bm25(asked, chunks).withColumnRenamed("question_id", "case_id"))
+    return key.join(index, "term").join(chunks, "chunk_id").where(F.contains("text", F.col("_item"))).select(F.col("question_id").alias("case_id"), "chunk_id")
+
+
+def _cases(t: Tables) -> DataFrame:
+    asked, chunks, _ = _parts(t)
+    return M.retrieval_cases(_wanted(t), R.bm25(asked, chunks).withColumnRenamed("question_id", "case_id"))
 
 
 @query("agg26_recall_and_mrr", _CASES + " SELECT case_id, round(recall_1, 9) AS recall_1, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(mrr, 9) AS mrr FROM cases")

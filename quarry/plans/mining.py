@@ -21,15 +21,17 @@ def turns(t: Tables) -> DataFrame:
     return W.build_turns(t.conversations).select("conv_id", "question", "answer")
 
 
-@query("win02_packed_batches", f"""WITH RECURSIVE {TURNS}, sized AS (SELECT conv_id, question, answer, length(question_text) + length(answer_text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY question) AS i FROM turns),
+PACKED = f"""WITH RECURSIVE {TURNS}, sized AS (SELECT conv_id, question, answer, length(question_text) + length(answer_text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY question) AS i FROM turns),
 fold(conv_id, question, answer, chars, i, batch, n, total) AS (
   SELECT conv_id, question, answer, chars, i, 0, 1, chars FROM sized WHERE i = 1
   UNION ALL SELECT s.conv_id, s.question, s.answer, s.chars, s.i,
     f.batch + CASE WHEN f.chars > 6000 OR f.n >= 8 OR f.total + s.chars > 6000 THEN 1 ELSE 0 END,
     CASE WHEN f.chars > 6000 OR f.n >= 8 OR f.total + s.chars > 6000 THEN 1 ELSE f.n + 1 END,
     CASE WHEN f.chars > 6000 OR f.n >= 8 OR f.total + s.chars > 6000 THEN s.chars ELSE f.total + s.chars END
-  FROM fold f JOIN sized s ON s.conv_id = f.conv_id AND s.i = f.i + 1)
-SELECT conv_id, question, answer, CAST(chars AS BIGINT) AS chars, CAST(batch AS BIGINT) AS batch FROM fold""")
+  FROM fold f JOIN sized s ON s.conv_id = f.conv_id AND s.i = f.i + 1)"""
+
+
+@query("win02_packed_batches", PACKED + " SELECT conv_id, question, answer, CAST(chars AS BIGINT) AS chars, CAST(batch AS BIGINT) AS batch FROM fold")
 def batches(t: Tables) -> DataFrame:
     return W.pack_turns(W.build_turns(t.conversations))
 
@@ -42,7 +44,7 @@ def window(t: Tables) -> DataFrame:
 
 @query("win04_neighbours", "SELECT doc_id, lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def neighbours(t: Tables) -> DataFrame:
-    return W.neighbours(t.documents, "source", "doc_id", "doc_id").select("doc_id", "previous_id", "next_id")
+    return W.neighbours(t.documents.select("doc_id", "source"), "source", "doc_id", "doc_id").select("doc_id", "previous_id", "next_id")
 
 
 @query("win06_current_and_latest", """SELECT user_id, l.event_id AS latest, c.event_id AS current FROM (SELECT DISTINCT user_id FROM events)

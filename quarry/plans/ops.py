@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import relational as R
+from quarry.operators.windows import carried
 from quarry.plans.registry import query
 from quarry.sources.tables import POLICIES, SHIPMENTS, Tables
 
@@ -189,8 +190,8 @@ def effective_policy(t: Tables) -> DataFrame:
     found by a window over both, and valid by how versions follow each other."""
     versions = t.policies().select("policy_type", F.col("effective_from").alias("at"), F.struct("policy_id", "effective_until", "is_active").alias("v"), F.lit(None).cast("long").alias("event_id"))
     moments = t.events.select(F.col("event_type").alias("policy_type"), F.expr("ts + INTERVAL 1 HOUR").alias("at"), F.lit(None).cast(versions.schema["v"].dataType).alias("v"), "event_id")
-    last = F.last("v", ignorenulls=True).over(Window.partitionBy("policy_type").orderBy("at", F.col("event_id").isNotNull(), F.col("v.policy_id")).rowsBetween(Window.unboundedPreceding, 0))
-    held = versions.unionByName(moments).withColumn("last", last).where("event_id IS NOT NULL")
+    both = versions.unionByName(moments)
+    held = carried(both, "policy_type", F.unix_micros(F.col("at").cast("timestamp")), "v", "last", F.col("at"), F.col("event_id").isNotNull(), F.col("v.policy_id")).where("event_id IS NOT NULL")
     good = F.col("last.is_active") & (F.col("last.effective_until").isNull() | (F.col("last.effective_until") > F.col("at")))
     return held.select("event_id", F.when(good, F.col("last.policy_id")).alias("policy_id"))
 

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quarry.plans import datasets, desk, etl, evaluation, mining, ops, retrieval, state, text, traces  # noqa: F401  registers
+    from quarry.plans import datasets, desk, etl, evaluation, mining, ops, retrieval, state, support, text, traces  # noqa: F401  registers
 
     return {name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir))) for name, (plan, _) in _plans.items()}
 

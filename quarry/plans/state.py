@@ -39,7 +39,7 @@ def counters(t: Tables) -> DataFrame:
 def linked(t: Tables) -> DataFrame:
     from quarry.operators.windows import neighbours
 
-    return neighbours(t.documents.where("n_chars > 100"), "source", "doc_id", "doc_id").select("doc_id", "previous_id", "next_id")
+    return neighbours(t.documents.where("n_chars > 100").select("doc_id", "source"), "source", "doc_id", "doc_id").select("doc_id", "previous_id", "next_id")
 
 
 @query("snk03_vectorized_pending", "SELECT doc_id, CASE WHEN vec_id IS NULL THEN 'pending' ELSE 'vectorized' END AS status FROM documents LEFT JOIN embeddings ON vec_id = doc_id")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.windows import neighbours
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -21,9 +23,10 @@ class Tables:
 
     def policies(self) -> DataFrame:
         """Versions with a half-open validity: each event of a type holds until the next; purchases aren't active."""
-        w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-        until = F.lead("ts").over(w).alias("effective_until")
-        return self.events.select(F.col("event_id").alias("policy_id"), F.col("event_type").alias("policy_type"), F.col("ts").alias("effective_from"), until, (F.col("event_type") != "purchase").alias("is_active"))
+        events = self.events.withColumn("_at", F.struct("ts", "event_id"))
+        events = neighbours(events, "event_type", "ts", "_at", F.unix_micros(F.col("ts").cast("timestamp")))
+        until = F.col("next_id.ts").alias("effective_until")
+        return events.select(F.col("event_id").alias("policy_id"), F.col("event_type").alias("policy_type"), F.col("ts").alias("effective_from"), until, (F.col("event_type") != "purchase").alias("is_active"))
 
     def shipments(self) -> DataFrame:
         """One shipment for each order and carrier, from its first ship date."""
