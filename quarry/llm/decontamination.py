@@ -29,7 +29,7 @@ from quarry.llm.shared import Scratch, Words, constants, mix, n_words, shingles,
 BITS, BLOCKS, ERRORS = 64, 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
 #: Words of the items in one broadcast block, about; 64-bit words of the filter, at most.
-BLOCK_WORDS, FILTER = 1 << 20, 1 << 20
+BLOCK_WORDS, FILTER = 1 << 20, 1 << 22
 _VARIANTS = np.array([0, *(sum(1 << b for b in c) for n in range(1, ERRORS + 1) for c in combinations(range(BITS // BLOCKS), n))], np.uint64)
 
 
@@ -151,16 +151,19 @@ def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def _masks(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the filter keeps a shingle: the word, and two bits of it."""
-    one = np.uint64(1)
-    return (h & np.uint64(size - 1)).astype(np.int64), (one << (h >> np.uint64(58))) | (one << ((h >> np.uint64(52)) & np.uint64(63)))
+    """Where the filter keeps a shingle: the word, and four bits of it."""
+    one, low = np.uint64(1), np.uint64(63)
+    mask = one << (h >> np.uint64(58))
+    for shift in (52, 46, 40):
+        mask = mask | (one << ((h >> np.uint64(shift)) & low))
+    return (h & np.uint64(size - 1)).astype(np.int64), mask
 
 
 def _filter(h: DataFrame, most: int) -> np.ndarray:
     """A bit filter of all shingles, of at most `most` words."""
-    size = 1 << min(most.bit_length() - 1, max(6, (h.count() // 4).bit_length()))
-    two = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)) | shiftleft(1L, cast(shiftrightunsigned(h, 52) & 63 as int))")
-    masks = h.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("w"), two.alias("m"))
+    size = 1 << min(most.bit_length() - 1, max(6, (2 * h.count()).bit_length()))
+    four = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 as int))" for k in (58, 52, 46, 40)))
+    masks = h.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("w"), four.alias("m"))
     rows = masks.groupBy("w").agg(F.bit_or("m").alias("bits")).toPandas()  # a row for each word of the filter
     out = np.zeros(size, np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
