@@ -16,11 +16,6 @@ def coverage(column: str) -> Column:
     return F.when(F.count(column) == 0, "none").when(F.count(column) == F.count("*"), "complete").otherwise("partial")
 
 
-def quantiles(column: str, *points: float) -> list[Column]:
-    """Exact quantiles by linear interpolation."""
-    return [F.expr(f"percentile({column}, {p}D)").alias(f"p{round(p * 100)}") for p in points]
-
-
 def duration_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two times; null if one is missing or the end comes first."""
     ms = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000.0

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +26,31 @@ def build_turns(messages: DataFrame) -> DataFrame:
     return found.select("conv_id", F.col("q.turn").alias("question"), F.col("a.turn").alias("answer"), F.col("q.text").alias("question_text"), F.col("a.text").alias("answer_text"))
 
 
-def pack_turns(turns: DataFrame, most_turns: int = 8, most_chars: int = 6000) -> DataFrame:
-    """turns with their batch, from 0 in each conversation. A batch is closed before a turn that it has no room for, and
-    after one that is too large by itself. Order decides, so a conversation is folded in one piece."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("question")
-        batch, n, chars, out = 0, 0, 0, []
-        for size in rows["chars"]:
+def _fold_batches(batches: Iterator[pa.RecordBatch], most_turns: int, most_chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of conversations and questions; only the open batch's sums pass from one Arrow batch to the next."""
+    conv, batch, n, chars = object(), 0, 0, 0
+    for rows in batches:
+        out = []
+        for own, size in zip(rows.column("conv_id").to_pylist(), rows.column("chars").to_pylist()):
+            size = size or 0
+            if own != conv:
+                conv, batch, n, chars = own, 0, 0, 0
             if n and (n >= most_turns or chars + size > most_chars):
                 batch, n, chars = batch + 1, 0, 0
             out.append(batch)
             n, chars = n + 1, chars + size
             if size > most_chars:
                 batch, n, chars = batch + 1, 0, 0
-        return rows.assign(batch=out)[["conv_id", "question", "answer", "chars", "batch"]]
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
+
 
+def pack_turns(turns: DataFrame, most_turns: int = 8, most_chars: int = 6000) -> DataFrame:
+    """turns with their batch, from 0 in each conversation. A batch is closed before a turn that it has no room for, and
+    after one that is too large by itself. Order decides, so a conversation is read by one task, but as a sorted stream: no task holds one whole."""
     sized = turns.select("conv_id", "question", "answer", (F.length("question_text") + F.length("answer_text")).cast("long").alias("chars"))
-    return sized.groupBy("conv_id").applyInPandas(fold, "conv_id long, question long, answer long, chars long, batch long")
+    sized = sized.select(*(F.col(c).cast("long") for c in sized.columns)).repartition("conv_id").sortWithinPartitions("conv_id", "question")
+    fold = partial(_fold_batches, most_turns=most_turns, most_chars=most_chars)
+    return sized.mapInArrow(fold, "conv_id long, question long, answer long, chars long, batch long")
 
 
 def context(messages: DataFrame, most: int = 16, each: int = 2000, total: int = 12000) -> DataFrame:
@@ -105,6 +115,27 @@ def carried(rows: DataFrame, group: str, position: Column, value: str, name: str
     return _with_borders(inside, borders.drop("_last"), group).withColumn(name, F.coalesce(name, "_before")).drop("_before")
 
 
+def quantiles(rows: DataFrame, group: str, column: str, **points: float) -> DataFrame:
+    """group and, for each name of points, the exact quantile of column (numeric, nulls left out) by linear interpolation; null where a group has no value.
+
+    Equal values are counted first, and the counts summed up in ranges as in neighbours, so no task holds the values of a group.
+    """
+    counts = by_range(rows.select(group, F.col(column).alias("_v")).where("_v IS NOT NULL"), F.col("_v")).groupBy(group, "_range", "_v").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(group, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    borders = _borders(counts, group, _n=F.sum("_n")).withColumns({"_before": before, "_all": F.sum("_n").over(every)}).drop("_n")
+    placed = _with_borders(counts.withColumn("_upto", F.sum("_n").over(own)), borders, group).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    found, value = [], F.col("_v")
+    for name, p in points.items():
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = F.min(F.when(F.col("_upto") > F.floor(at), value)), F.min(F.when(F.col("_upto") > F.ceil(at), value))
+        found.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    met = placed.groupBy(F.col(group).alias("_group")).agg(*found)
+    groups = rows.select(group).distinct()
+    return groups.join(met, groups[group].eqNullSafe(met["_group"]), "left").drop("_group")
+
+
 def current_and_latest(rows: DataFrame, source: str, is_current: Column, *order: Column) -> DataFrame:
     """Each source's latest row, and the latest of those that are current (null without one), as structs."""
     w = Window.partitionBy(source).orderBy(*order)

@@ -109,9 +109,8 @@ def dedupe(t: Tables) -> DataFrame:
 
 @query("cmp14_candidate_drafts", f"WITH {TURNS} SELECT conv_id, question, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY (length(answer_text) < 200)::INT, question) - 1 AS INTEGER) AS draft FROM turns")
 def drafts(t: Tables) -> DataFrame:
-    c = W.build_turns(t.conversations)
-    listed = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct((F.length("answer_text") < 200).cast("int").alias("bad"), "question"))).alias("a"))
-    return listed.select("conv_id", F.posexplode("a").alias("draft", "e")).select("conv_id", F.col("e.question").alias("question"), "draft")
+    order = Window.partitionBy("conv_id").orderBy((F.length("answer_text") < 200).cast("int"), "question")
+    return W.build_turns(t.conversations).select("conv_id", "question", (F.row_number().over(order) - 1).alias("draft"))
 
 
 @query("agg32_pipeline_counters", f"""WITH {TURNS}, c AS (SELECT CASE WHEN length(answer_text) < 8 THEN 'rejected' WHEN length(answer_text) > 800 THEN 'conflict' ELSE 'promoted' END AS s FROM turns)

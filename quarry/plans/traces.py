@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import traces as X
 from quarry.operators.relational import first_n, ordered_top
+from quarry.operators.windows import quantiles
 from quarry.plans.registry import query
 from quarry.sources.tables import OBSERVATIONS, Tables
 
@@ -28,8 +29,9 @@ def cost(t: Tables) -> DataFrame:
 
 @query("agg15_exact_percentiles", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def percentiles(t: Tables) -> DataFrame:
-    half, most = X.quantiles("value", 0.5, 0.95)
-    found = t.events.groupBy("event_type").agg(F.avg("value").alias("mean"), half, most)
+    means = t.events.groupBy(F.col("event_type").alias("_type")).agg(F.avg("value").alias("mean"))
+    found = quantiles(t.events, "event_type", "value", p50=0.5, p95=0.95)
+    found = found.join(means, found["event_type"].eqNullSafe(means["_type"]))
     return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")))
 
 

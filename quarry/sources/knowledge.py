@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -145,21 +146,36 @@ def _pack(units: list[tuple[str, str, int]], budget: Budget) -> list[tuple[str,
     return out
 
 
-def chunks(blocks: DataFrame, budget: Budget) -> DataFrame:
-    """path, section_path, title, category, chunk_index, kind, text, flagged, content_hash, chunk_key of the sections' blocks."""
-    cut = blocks.withColumn("units", F.when(F.col("kind") == "text", sentences("text")).otherwise(F.array("text")))
+CHUNKS = "path string, section_path string, title string, category string, chunk_index int, kind string, text string, flagged boolean"
+
+
+def _fold(batches: Iterator[pd.DataFrame], budget: Budget) -> Iterator[pd.DataFrame]:
+    """Chunks of blocks in the order of sections; only the open section's units pass from one batch to the next."""
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    section: tuple | None = None
+    units: list[tuple[str, str, int]] = []
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        units = []
-        for r in rows.sort_values("block_no").itertuples():
+    def packed() -> list[tuple]:
+        return [(*section, i, kind, text, flagged) for i, (text, kind, flagged) in enumerate(_pack(units, budget))] if section else []
+
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.itertuples(index=False):
+            if section is None or (r.path, r.section_path) != section[:2]:
+                out += packed()
+                section, units = (r.path, r.section_path, r.title, r.category), []
             for u in r.units:
                 parts = split_table(u, budget.text) if r.kind == "table" else [(u, False)]
                 units += [(p, r.kind, max(1, int(len(p) / 1.1 + 0.999))) for p, _ in parts]
-        done = _pack(units, budget)
-        first = rows.iloc[0]
-        return pd.DataFrame([(first["path"], first["section_path"], first["title"], first["category"], i, k, t, f) for i, (t, k, f) in enumerate(done)], columns=["path", "section_path", "title", "category", "chunk_index", "kind", "text", "flagged"])
+        yield pd.DataFrame(out, columns=names)
+    yield pd.DataFrame(packed(), columns=names)
+
 
-    found = cut.groupBy("path", "section_path").applyInPandas(fold, "path string, section_path string, title string, category string, chunk_index int, kind string, text string, flagged boolean")
+def chunks(blocks: DataFrame, budget: Budget) -> DataFrame:
+    """path, section_path, title, category, chunk_index, kind, text, flagged, content_hash, chunk_key of the sections' blocks."""
+    cut = blocks.withColumn("units", F.when(F.col("kind") == "text", sentences("text")).otherwise(F.array("text"))).drop("text")
+    ordered = cut.repartition("path", "section_path").sortWithinPartitions("path", "section_path", "block_no")
+    found = ordered.mapInPandas(partial(_fold, budget=budget), CHUNKS)
     hashed = found.withColumn("content_hash", F.sha2("text", 256))
     return hashed.withColumns({"tokens": token_estimate(F.col("text")), "chunk_key": digest(F.col("path"), F.concat_ws("#", "section_path", F.col("chunk_index").cast("string")), F.col("content_hash"))})
 

@@ -152,3 +152,29 @@ def test_streams(spark, tmp_path):
     write(events.limit(10), 0)
     write(events.limit(12), 1)
     assert spark.read.parquet(sink).count() == 12
+
+
+def test_quantiles_over_ranges(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 1, 9, 1000)] + [("b", None), (None, 2.0), (None, 4.0), ("c", 7.0), ("c", None)]
+    found = windows.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", half=0.5, most=0.95)
+    got = {r.g: (r.half, None if r.most is None else round(r.most, 9)) for r in found.collect()}
+    assert got == {"a": (3.0, 752.25), "b": (None, None), None: (3.0, 3.9), "c": (7.0, 7.0)}
+    empty = spark.createDataFrame([], "g string, v double")
+    assert windows.quantiles(empty, "g", "v", half=0.5).columns == ["g", "half"] and not windows.quantiles(empty, "g", "v", half=0.5).collect()
+
+
+def test_streams_go_on_over_arrow_batches(spark):
+    """Batches of three rows cut conversations and sections anywhere; the results are those of one batch."""
+    turns = [(c, q, q + 1, "x" * (50 + 13 * c), "y" * (700 if q % 5 else 7000)) for c in range(4) for q in range(0, 40, 2)]
+    turns = spark.createDataFrame(turns, "conv_id long, question long, answer long, question_text string, answer_text string")
+    text = "# A\n" + "Some words of a sentence. " * 60 + "\n\n| a | b |\n|-|-|\n" + "| 1 | 2 |\n" * 30 + "\n## B\n" + "More words stand here. " * 70
+    files = spark.createDataFrame([(f"f{i}", text * (i + 1)) for i in range(3)], "path string, text string")
+    both = lambda: (sorted(windows.pack_turns(turns).collect()), sorted(K.chunks(K.sections(files), K.Budget.of(512)).select("path", "section_path", "chunk_index", "content_hash").collect()))
+    whole, key = both(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        assert both() == whole
+    finally:
+        spark.conf.set(key, before)
+    assert len(whole[0]) == 80 and max(r.batch for r in whole[0]) > 4 and len(whole[1]) > 12
