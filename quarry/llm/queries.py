@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.decontamination import leaks
+from quarry.llm.hard_negatives import hard_negatives
 from quarry.llm.mixing import mix_digest
 from quarry.llm.near_duplicates import near_duplicates
 from quarry.llm.pseudonyms import pseudonymise
@@ -15,6 +16,7 @@ from quarry.llm.resampling import resample
 from quarry.llm.secret_scan import labelled_findings, scan, train
 from quarry.llm.shared import Scratch
 from quarry.llm.substrings import substring_digest
+from quarry.llm.target_resampling import resample as resample_to_target
 from quarry.llm.token_rollups import TokenRollup, count_tokens
 from quarry.llm.url_filter import judge, labelled_pages, mine
 from quarry.llm.vectors import nearest
@@ -97,6 +99,17 @@ def op10_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, k=10, lowest=30, highest=90, scale=256)
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return resample_to_target(docs, target, longest=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op8_suffix_tree_dedup, op9_simhash_decontamination, op10_hypergeometric_mix)
+    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op8_suffix_tree_dedup, op9_simhash_decontamination, op10_hypergeometric_mix, op11_hard_negatives, op13_target_resampling)
     return {f.__name__: f for f in own}
