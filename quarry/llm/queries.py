@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.decontamination import leaks
+from quarry.llm.fingerprints import fingerprints
 from quarry.llm.hard_negatives import hard_negatives
 from quarry.llm.mixing import mix_digest
 from quarry.llm.near_duplicates import near_duplicates
@@ -105,11 +106,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, k=10, lowest=30, highest=90, scale=256)
 
 
+def op12_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"), share=4)
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return resample_to_target(docs, target, longest=1, buckets=10_000, least_words=20, percent=10, seed=2024)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op8_suffix_tree_dedup, op9_simhash_decontamination, op10_hypergeometric_mix, op11_hard_negatives, op13_target_resampling)
+    own = (op1_feistel_pseudonyms, op2_forest_secret_scan, op3_additive_quantisation, op4_association_url_filter, op5_minhash_near_duplicates, op6_importance_resampling, op7_token_rollups, op8_suffix_tree_dedup, op9_simhash_decontamination, op10_hypergeometric_mix, op11_hard_negatives, op12_syncmer_fingerprints, op13_target_resampling)
     return {f.__name__: f for f in own}
