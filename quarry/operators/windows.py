@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,13 +64,20 @@ def context(messages: DataFrame, most: int = 16, each: int = 2000, total: int =
 
 
 def by_range(rows: DataFrame, order: Column) -> DataFrame:
-    """rows with _range: one of a number of equal parts of all values of order (numeric). Windows inside a part of a group stay small
-    where groups are few; what they need from the parts before and after is added from a row for each part."""
+    """rows with _range: one of a number of ranges of order (numeric) that hold about as many rows each, however the values lie; nulls are in the first. Windows
+    inside a range of a group stay small where groups are few; what they need from the ranges before and after is added from a row for each range.
+
+    Borders are approximate percentiles, found in one pass; equal values are in one range. A row's range is found in two steps, among
+    every so many borders and then among those between two of them.
+    """
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    value = order.cast("double")
-    span = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    part = F.floor((value - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-9)) * parts)
-    return rows.crossJoin(F.broadcast(span)).withColumn("_range", F.least(F.coalesce(part, F.lit(0)), F.lit(parts - 1))).drop("_low", "_high")  # span is one row
+    value, step = order.cast("double"), isqrt(parts)
+    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: (i + 1) % step == 0))
+    upto = lambda borders: F.size(F.filter(borders, lambda b: b <= value))
+    found = rows.crossJoin(F.broadcast(cuts)).withColumn("_at", upto("_coarse") * step)  # one row
+    fine = F.col("_at") + upto(F.slice("_cuts", F.col("_at") + 1, step))
+    return found.withColumn("_range", F.coalesce(F.greatest(fine, F.lit(0)), F.lit(0))).drop("_cuts", "_coarse", "_at")
 
 
 def _borders(rows: DataFrame, group: str, **columns: Column) -> DataFrame:
