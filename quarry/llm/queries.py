@@ -84,7 +84,7 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     delete = counted.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("action"), "source", "lang", tokenizer, "tokens", F.lit(None).cast("long").alias("old_tokens"))
     for batch, changes in (("load", insert), ("exact", revise), ("takedown", delete), ("takedown", delete)):
-        rollup.commit(batch, changes)
+        rollup.commit(batch, changes, strict=True)
     return rollup.totals()
 
 

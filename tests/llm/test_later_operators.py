@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, hard_negatives, oracle, queries, target_resampling
+from quarry.llm import fingerprints, hard_negatives, oracle, queries, target_resampling, token_rollups
 from tests.llm import helpers as H
 
 SMALL = "/root/testdata/sf0.001"
@@ -229,3 +229,42 @@ def test_crc32():
     parts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 2, 7, 64, 65, 300)]
     data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
     assert target_resampling.crc32(data, ends - [len(p) for p in parts], ends).tolist() == [zlib.crc32(p) for p in parts]
+
+
+# ---------------------------------------------------------------- op7
+
+
+def test_long_runs(spark):
+    P = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    other = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    rng, n = random.Random(2), token_rollups.LONG_RUN
+    white = ["".join(rng.choice(" \n\t\u3000\xa0") for _ in range(m)) for m in (n - 1, n, n + 1, 3 * n)]
+    texts = [f"{a}{w}{b}" for w in white for a in ("", "left.", "x ") for b in ("", "right", "\u3000\x1c?", "'s")] + ["".join(f"w{i}{w}" for i, w in enumerate(white)), " " * n + "a" + " " * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.tokens for r in token_rollups.count_tokens(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got == {i: len(other.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    huge = spark.createDataFrame([(i, c) for i, c in enumerate((" ", "a", "7", "-", "日"))], "doc_id long, c string").selectExpr("doc_id", "repeat(c, 3000000) AS text")
+    got = {r.doc_id: r.tokens for r in token_rollups.count_tokens(huge, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got[0] == len(other.encode(" " * 3000, add_special_tokens=False).ids) * 1000 and all(got.values())
+
+
+def test_batch_of_another_content(spark, tmp_path, monkeypatch):
+    r = token_rollups.TokenRollup(spark, f"file://{tmp_path}/r")
+    change = lambda n: spark.createDataFrame([("insert", "s", "en", "t", n, None)], "action string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    assert r.commit("a", change(3), strict=True) and not r.commit("a", change(3), strict=True)
+    for _ in range(2):
+        with pytest.raises(ValueError, match="other content"):
+            r.commit("a", change(4), strict=True)
+        with pytest.warns(UserWarning, match="other content"):
+            assert not r.commit("a", change(4))
+        r.compact()  # the digest stays, in the base
+    assert r.compact() and not r.commit("a", change(3), strict=True)
+    # Two writers, both past the look: the second finds the name taken.
+    seen = r._digest_of
+    answers = iter([None])
+    monkeypatch.setattr(r, "_digest_of", lambda batch: next(answers) if batch == "b" and r.__dict__.setdefault("late", []) == [] and not r.late.append(1) else seen(batch))
+    token_rollups.TokenRollup(spark, r.path).commit("b", change(5))
+    assert not r.commit("b", change(5), strict=True)
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "t", 2, 8)]
