@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.scratch import Scratch
+
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each of nodes (id) reaches over edges (a, b).
@@ -15,20 +14,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of that label, which halves chains. Rounds are
     written to the folder that the session names in spark.checkpoint.dir, so that lineage doesn't grow.
     """
-    spark = nodes.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
+    written = Scratch(nodes.sparkSession, "components").table
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels, turn = written(nodes.select("id", F.col("id").alias("label")), "0"), 0
     while True:
@@ -40,3 +26,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if step.where("old <> label").isEmpty():
             return step.select("id", F.col("label").alias("component"))
         labels = step.select("id", "label")
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, into) for nodes (id), as if they came in order of id: a node whose smaller neighbours over edges (a, b) are all merged is kept, and is
+    its own into; any other is merged into the smallest kept one of them. Not transitive: what is merged attracts nothing.
+
+    Each round keeps the nodes that have no undecided smaller neighbour and merges their neighbours, until no edge joins two
+    undecided nodes. Rounds are as many as the longest falling chain of undecided nodes; each is written. Loops, repeated and reversed edges, and edges of unknown nodes do no harm.
+    """
+    scratch = Scratch(nodes.sparkSession, "independent")
+    ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    known = scratch.table(nodes.select("id").where("id IS NOT NULL").distinct(), "nodes")
+    for end in ("a", "b"):
+        ordered = ordered.join(known, ordered[end] == known["id"], "left_semi")
+    every = scratch.table(ordered, "edges")
+    left, turn, gone = every, 0, known.limit(0).withColumnRenamed("id", "b")
+    while not left.isEmpty():
+        turn += 1
+        later = left.select(F.col("b").alias("_b")).distinct()
+        kept = left.join(later, left["a"] == later["_b"], "left_anti")
+        merged = scratch.table(kept.select("b").distinct(), f"merged/{turn}")
+        gone = gone.union(merged)
+        out = merged.withColumnRenamed("b", "_gone")
+        left = left.join(out, left["a"] == out["_gone"], "left_anti")
+        left = scratch.table(left.join(kept.select(F.col("a").alias("_kept")).distinct(), F.col("a") == F.col("_kept"), "left_anti").join(out, left["b"] == out["_gone"], "left_anti"), f"left/{turn}")
+    lost = gone.withColumnRenamed("b", "_gone")
+    to = every.join(lost, every["a"] == lost["_gone"], "left_anti").join(lost.withColumnRenamed("_gone", "_b"), F.col("b") == F.col("_b"), "left_semi")
+    to = to.groupBy(F.col("b").alias("_b")).agg(F.min("a").alias("into"))
+    return known.join(to, known["id"] == to["_b"], "left").select("id", F.coalesce("into", "id").alias("into"))

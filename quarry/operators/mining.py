@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from quarry.operators.graph import first_independent
+from quarry.operators.scratch import Scratch
+from quarry.operators.similarity import Cells
 
 
 def question_key(text: Column) -> Column:
@@ -53,26 +57,34 @@ def decide(fresh: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("question_key", decision.alias("decision"))
 
 
-def merge_similar(items: DataFrame, block: str, least_question: float = 0.88, least_answer: float = 0.95) -> DataFrame:
-    """items (key string, question_vec, answer_vec, and the block column) with into: the first earlier item, in the order of
-    keys, that asks and answers alike; else the item itself. Merging isn't transitive.
+def merge_similar(items: DataFrame, block: str | None = None, least_question: float = 0.88, least_answer: float = 0.95) -> DataFrame:
+    """(key, into) for items (key, question_vec, answer_vec, and if there are such question_key and answer_key): in the order of keys, each item goes into the
+    first kept one that asks and answers alike, or is kept itself. Merging isn't transitive: an item is compared with what is kept, not with what was merged into it.
 
-    The order decides, so each block is folded in one piece; blocks must be small, and items of different blocks never
-    merge, which is where this can merge less than one pass over everything.
+    Two questions, or answers, are alike if their keys are equal or the cosine of their vectors reaches the threshold; a null key
+    or vector is like no other. A question's or answer's key has one vector, that of the first item that has one. So items of equal keys are one item, and no group of
+    them is spread out into pairs. The pairs come from threshold joins over all items, so nothing is cut into blocks and no group is folded in one place. With block,
+    only items of one block are alike. Keys other than numbers stand behind a 64-bit hash in these joins.
     """
-
-    def cosine(a: list[float], b: list[float]) -> float:
-        dot, n, m = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) ** 0.5, sum(y * y for y in b) ** 0.5
-        return dot / (n * m) if n and m else 0.0
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        into = []
-        for r in rows.sort_values("key").itertuples():
-            same = next((k for k, q, a in kept if cosine(q, r.question_vec) >= least_question and cosine(a, r.answer_vec) >= least_answer), None)
-            if same is None:
-                kept.append((r.key, r.question_vec, r.answer_vec))
-            into.append((r.key, same or r.key))
-        return pd.DataFrame(into, columns=["key", "into"])
-
-    return items.groupBy(block).applyInPandas(fold, "key string, into string")
+    scratch = Scratch(items.sparkSession, "merge")
+    number = F.col("key") if isinstance(items.schema["key"].dataType, LongType) else F.xxhash64("key")
+    there = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
+    items = items.select("key", number.alias("id"), (F.col(block) if block else F.lit(0)).alias("block"), there("question_key").alias("question_key"), "question_vec", there("answer_key").alias("answer_key"), "answer_vec")
+    for name in ("question", "answer"):
+        key, vector = f"{name}_key", f"{name}_vec"
+        known = items.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(vector, "key").alias("_vec"))
+        own = F.when(F.col(key).isNull(), F.col(vector)).otherwise(F.col("_vec"))
+        items = items.join(known, items[key] == known["_key"], "left").withColumn(vector, own).drop("_key", "_vec")
+    items = scratch.table(items, "items")
+    one = items.where("question_key IS NOT NULL AND answer_key IS NOT NULL").groupBy(*(F.col(c).alias(f"_{c}") for c in ("block", "question_key", "answer_key"))).agg(F.min("key").alias("_of"))
+    same = F.col("block").eqNullSafe(F.col("_block")) & (F.col("question_key") == F.col("_question_key")) & (F.col("answer_key") == F.col("_answer_key"))
+    rows = scratch.table(items.join(one, same, "left").withColumn("of", F.coalesce("_of", "key")).drop("_block", "_question_key", "_answer_key", "_of"), "classes")
+    firsts = rows.where("key = of")
+    asked, said = (Cells(firsts, "id", f"{name}_vec").pairs(t).select("a", "b") for name, t in (("question", least_question), ("answer", least_answer)))
+    both = asked.intersect(said).withColumns({"asked": F.lit(True), "said": F.lit(True)})
+    pairs = both.unionByName(asked.withColumns({"asked": F.lit(True), "said": F.lit(False)})).unionByName(said.withColumns({"asked": F.lit(False), "said": F.lit(True)}))
+    end = lambda x: firsts.select(F.col("id").alias(x), F.struct("key", "block", "question_key", "answer_key").alias(f"_{x}"))
+    alike = (F.col("asked") | (F.col("_a.question_key") == F.col("_b.question_key"))) & (F.col("said") | (F.col("_a.answer_key") == F.col("_b.answer_key")))
+    edges = pairs.join(end("a"), "a").join(end("b"), "b").where(alike & F.col("_a.block").eqNullSafe(F.col("_b.block"))).select(F.col("_a.key").alias("a"), F.col("_b.key").alias("b"))
+    into = first_independent(firsts.select(F.col("key").alias("id")), edges).withColumnRenamed("id", "_id")
+    return rows.join(into, rows["of"] == into["_id"]).select("key", "into")

@@ -1,7 +1,7 @@
 """Retrieval: BM25, exact dense search, reciprocal-rank fusion, re-ranking and the check against valid chunks.
 
-Questions are a table, so a batch of them is one plan. They are cut into blocks of fixed size; every block meets every
-batch of chunks once, as matrices inside a task, which gives back the best few of each question only. So no pair of a question and a
+Questions are a table, so a batch of them is one plan. Words are looked up in an index of postings; vectors meet in blocks of
+fixed size, as matrices inside a task, which gives back the best few of each question only. So no pair of a question and a
 chunk is ever a row, and no term's postings meet in one place. The rest is a window over these few.
 """
 
@@ -13,12 +13,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.scratch import Scratch
+
 K1, B, RRF = 1.2, 0.75, 60
-#: Questions in a block (of BM25, with about 8 terms each or fewer questions), vectors in a block, and chunks of a batch that are scored together.
-QUESTIONS, VECTORS, CHUNKS = 1024, 4096, 256
+#: Questions and vectors in a block, chunks in a shard of the index, and shards that a question looks into before it knows what to leave out.
+QUESTIONS, VECTORS, CHUNKS, FIRST = 1024, 4096, 4096, 4
 
 
 def terms(text: Column) -> Column:
@@ -32,16 +35,6 @@ def _flat(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.flatten(), np.repeat(np.arange(len(words)), sizes)
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: in how many chunks a term stands, and, for the term '', the chunks and words of the batch."""
-    for batch in batches:
-        words, row = _flat(batch.column("w"))
-        coded = words.dictionary_encode()
-        pairs = np.unique(row.astype(np.int64) * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.int64)
-        n = np.bincount(pairs % max(1, len(coded.dictionary)), minlength=len(coded.dictionary))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.array([""])]), pa.array(np.append(n, batch.num_rows)), pa.array(np.append(n * 0, len(words)))], names=["term", "n", "words"])
-
-
 def _best(ids: np.ndarray, scores: np.ndarray, questions: np.ndarray, k: int) -> list[np.ndarray]:
     """question, chunk and score of the k best columns of each row, none of -inf; ties to the smaller id, of which all at the border are kept."""
     if scores.shape[1] > k:
@@ -55,53 +48,114 @@ def _best(ids: np.ndarray, scores: np.ndarray, questions: np.ndarray, k: int) ->
 _FOUND = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
-def _bm25(batches: Iterator[pa.RecordBatch], asked: list[tuple[int, str, float]], mean: float, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best chunks of each batch for each question of a block; asked: question, term and the term's weight."""
-    vocabulary, questions = sorted({t for _, t, _ in asked}), sorted({q for q, _, _ in asked})
-    term, number = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(questions)}
-    weight = np.zeros((len(vocabulary), len(questions)))
-    for q, t, w in asked:
-        weight[term[t], number[q]] = w
-    known, ids = pa.array(vocabulary, pa.string()), np.array(questions, np.int64)
+def _index(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Shards of up to `size` chunks: a row for each term, with the chunks that have it, how often, and their lengths; and a row
+    for the term '' with the number of chunks and of words."""
+    shard = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNKS):
-            part = batch.slice(at, CHUNKS)
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
             words, row = _flat(part.column("w"))
-            code = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False)
-            length = np.bincount(row, minlength=part.num_rows)
-            tf = np.bincount(row[code >= 0] * len(vocabulary) + code[code >= 0], minlength=part.num_rows * len(vocabulary)).reshape(part.num_rows, -1).astype(float)
-            tf *= (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[:, None])
-            scores = np.round((tf @ weight).T, 9)
-            found = _best(part.column("chunk_id").to_numpy(zero_copy_only=False), np.where(scores > 0, scores, -np.inf), ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=_FOUND)
+            coded = words.dictionary_encode()
+            n, code = len(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, tf = np.unique(code * part.num_rows + row, return_counts=True)
+            first = np.searchsorted(pairs, np.arange(n + 1) * part.num_rows)
+            of = pairs % part.num_rows
+            ids, lengths = part.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)[of], np.bincount(row, minlength=part.num_rows)[of]
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.append(first, first[-1]).astype(np.int32)), pa.array(x, t))  # noqa: E731, B023
+            counts = np.append(np.diff(first), part.num_rows)
+            total = np.append(np.zeros(n, np.int64), len(words))
+            columns = [pa.array(np.full(n + 1, shard)), pa.concat_arrays([coded.dictionary, pa.array([""])]), lists(ids, pa.int64()), lists(tf, pa.int32()), lists(lengths, pa.int32()), pa.array(counts), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, names=_POSTINGS.replace(",", "").split()[::2])
+            shard += 1
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
-    """The k best chunks of each question by BM25: question_id, chunk_id, score, rank (from 1); ties to the smaller id.
+_POSTINGS = "shard long, term string, ids array<long>, tf array<int>, lengths array<int>, n long, words long"
+
 
-    Chunks are read once for the counts of terms, and once for each block of questions.
+def _impact(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _bounds(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """The largest impact of each term in each shard."""
+    for batch in batches:
+        tf, lengths = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tf", "lengths"))
+        sizes = pc.list_value_length(batch.column("tf")).to_numpy(zero_copy_only=False)
+        first = np.cumsum(sizes) - sizes
+        best = np.maximum.reduceat(_impact(tf.astype(float), lengths, mean), first) if len(sizes) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "term", "n")), pa.array(best)], names=["shard", "term", "n", "most"])
+
+
+def _score(asked: pa.Table, postings: pa.Table, mean: float, k: int) -> pa.Table:
+    """The k best chunks of a shard for each question."""
+    terms, ids, tf, lengths = postings["term"].to_pylist(), *(postings[c].combine_chunks() for c in ("ids", "tf", "lengths"))
+    offsets = ids.offsets.to_numpy()
+    every, place = np.unique(ids.values.to_numpy(zero_copy_only=False), return_inverse=True)
+    impact = _impact(tf.values.to_numpy(zero_copy_only=False).astype(float), lengths.values.to_numpy(zero_copy_only=False), mean)
+    of = {t: slice(offsets[i], offsets[i + 1]) for i, t in enumerate(terms)}
+    questions: dict[int, list[tuple[str, float]]] = {}
+    for q, t, w in zip(asked["question_id"].to_pylist(), asked["term"].to_pylist(), asked["weight"].to_pylist()):
+        if t in of:
+            questions.setdefault(q, []).append((t, w))
+    out: list[list[np.ndarray]] = [[], [], []]
+    for q, own in questions.items():
+        own.sort()
+        at = np.concatenate([place[of[t]] for t, _ in own])
+        scores = np.round(np.bincount(at, np.concatenate([impact[of[t]] * w for t, w in own]), len(every)), 9)
+        some = np.flatnonzero(scores > 0)
+        best = some[np.lexsort((every[some], -scores[some]))[:k]]
+        for column, found in zip(out, (np.full(len(best), q), every[best], scores[best])):
+            column.append(found)
+    return pa.table([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, _FOUND)], schema=_FOUND)
+
+
+class Bm25Index:
+    """An inverted index of chunks (chunk_id, text), which are read once; questions are answered from its tables.
+
+    Chunks are cut into shards of bounded size. A posting is a row for a term and a shard, so a term that most chunks have is spread over as many
+    rows as there are shards. Each has a bound, the largest impact of the term in the shard.
     """
-    words = chunks.select("chunk_id", terms(F.col("text")).alias("w"))
-    counts = words.select("w").mapInArrow(_term_counts, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    # With the row of the term '', which holds the totals, first.
-    rows = asked.unionByName(chunks.sparkSession.createDataFrame([(None, "")], "question_id long, term string")).join(counts, "term").orderBy(F.col("question_id").asc_nulls_first(), "term")
-    found, block, totals = chunks.sparkSession.createDataFrame([], "question_id long, chunk_id long, score double"), [], None
-    last, n = None, 0
-
-    def scored(block: list[tuple[int, str, float]]) -> DataFrame:
-        return words.mapInArrow(partial(_bm25, asked=block, mean=totals.words / totals.df, k=k), found.schema)
-
-    for r in rows.toLocalIterator():
-        if totals is None:
-            totals = r
-            continue
-        if r.question_id != last:
-            if n == QUESTIONS or len(block) >= 8 * QUESTIONS:
-                found, block, n = found.union(scored(block)), [], 0
-            last, n = r.question_id, n + 1
-        block.append((r.question_id, r.term, float(np.log(1 + (totals.df - r.df + 0.5) / (r.df + 0.5)))))
-    return top(found.union(scored(block)) if block else found, k)
+
+    def __init__(self, chunks: DataFrame) -> None:
+        self.scratch = Scratch(chunks.sparkSession, "bm25")
+        words = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), terms(F.col("text")).alias("w"))
+        self.postings = self.scratch.table(words.mapInArrow(partial(_index, size=CHUNKS), _POSTINGS), "postings")
+        all_ = self.postings.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+        self.n, self.mean = all_.n, max(all_.words, 1) / max(all_.n, 1)
+        self.postings = self.postings.where("term <> ''").select("shard", "term", "ids", "tf", "lengths", "n")
+        self.bounds = self.scratch.table(self.postings.select("shard", "term", "tf", "lengths", "n").mapInArrow(partial(_bounds, mean=self.mean), "shard long, term string, n long, most double"), "bounds")
+
+    def search(self, questions: DataFrame, k: int = 50) -> DataFrame:
+        """The k best chunks of each question (question_id, text): question_id, chunk_id, score, rank (from 1); ties to the smaller id. Exact.
+
+        The bounds tell how much a shard's chunks can score for a question at most. The FIRST shards with the largest bounds are scored; of the
+        others only those whose bound reaches the k-th best score that these give.
+        """
+        scratch = Scratch(questions.sparkSession, "questions")
+        df = self.bounds.groupBy("term").agg(F.sum("n").alias("df"))
+        asked = questions.select(F.col("question_id").cast("long").alias("question_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+        asked = scratch.table(asked.join(df, "term").select("question_id", "term", F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight")), "asked")
+        limit = asked.join(self.bounds, "term").groupBy("question_id", "shard").agg(F.sum(F.col("weight") * F.col("most")).alias("limit"))
+        number = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("limit"), "shard"))
+        limit = scratch.table(limit.withColumn("number", number), "limits")
+        decks = max(1, -(-asked.select("question_id").distinct().count() // QUESTIONS))
+        first = scratch.table(self._scored(asked, limit.where(F.col("number") <= FIRST), decks, k), "first")
+        enough = top(first, k).where(F.col("rank") == k).select(F.col("question_id").alias("_q"), F.col("score").alias("_least"))
+        rest = limit.where(F.col("number") > FIRST).join(enough, F.col("question_id") == F.col("_q"), "left").where(F.col("limit") + 1e-8 >= F.coalesce("_least", F.lit(0.0)))
+        return top(first.union(self._scored(asked, rest, decks, k)), k)
+
+    def _scored(self, asked: DataFrame, pairs: DataFrame, decks: int, k: int) -> DataFrame:
+        """Pairs of question and shard, in decks of about QUESTIONS questions for each shard."""
+        wanted = pairs.select("question_id", "shard").join(asked, "question_id").withColumn("deck", F.pmod(F.xxhash64("question_id"), F.lit(decks)))
+        held = wanted.select("shard", "deck", "term").distinct().join(self.postings, ["shard", "term"])
+        held = held.select(*(F.col(c).alias(c) for c in ("shard", "deck", "term", "ids", "tf", "lengths")))  # columns of their own, as both sides come from `wanted`
+        return wanted.groupBy("shard", "deck").cogroup(held.groupBy("shard", "deck")).applyInArrow(partial(_score, mean=self.mean, k=k), "question_id long, chunk_id long, score double")
+
+
+def bm25(questions: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
+    """The k best chunks of each question by BM25, from an index that is built for them."""
+    return Bm25Index(chunks).search(questions, k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -134,6 +188,8 @@ def _cosines(batches: Iterator[pa.RecordBatch], k: int | None, least: float) ->
         for row in range(batch.num_rows):
             qids, q, ids, v = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("qids", np.int64), ("q", np.float64), ("ids", np.int64), ("v", np.float64)))
             n = batch.column("n")[row].as_py()
+            if batch.column("m")[row].as_py() != n:
+                continue
             q, v = q.reshape(-1, n), v.reshape(-1, n)
             for at in range(0, len(q), 256):
                 scores = np.round(q[at : at + 256] @ v.T, 9)
@@ -142,9 +198,10 @@ def _cosines(batches: Iterator[pa.RecordBatch], k: int | None, least: float) ->
 
 
 def _scored(questions: DataFrame, vectors: DataFrame, k: int | None, least: float = -2.0) -> DataFrame:
-    """Each block of questions is set against each block of vectors of the same length, once."""
+    """Each block of questions is set against each block of vectors, once; those of another length find nothing. (As a join on the length,
+    all blocks would meet in one task.)"""
     asked, held = _packed(questions, "question_id", QUESTIONS).select(F.col("n").alias("m"), F.col("ids").alias("qids"), F.col("v").alias("q")), _packed(vectors, "chunk_id", VECTORS)
-    return asked.crossJoin(held).where("m = n").mapInArrow(partial(_cosines, k=k, least=least), "question_id long, chunk_id long, score double")
+    return asked.crossJoin(held).mapInArrow(partial(_cosines, k=k, least=least), "question_id long, chunk_id long, score double")
 
 
 def dense(questions: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:

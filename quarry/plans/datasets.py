@@ -10,7 +10,9 @@ from quarry.functions import text as X
 from quarry.operators import candidates as C
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
+from quarry.operators.mining import merge_similar
 from quarry.operators.relational import first_n
+from quarry.operators.similarity import Cells, equivalent
 from quarry.operators.windows import numbered
 from quarry.plans.evaluation import CLASSES, _CASES, _COUNTS, _ROWS, _cases, _rows
 from quarry.plans.registry import query
@@ -34,15 +36,48 @@ def near_duplicate_pairs(t: Tables) -> DataFrame:
 
 @query("jon22_similar_or_equal", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.88 UNION SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON b.label = a.label AND b.vec_id = a.vec_id + 1")
 def similar(t: Tables) -> DataFrame:
-    """All vectors are the stated queries, in blocks, against all; the branch of equal keys is an equality join."""
-    old = t.embeddings.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
-    new = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    close = R.similar(old, new, 0.88).where("question_id < chunk_id").select(F.col("question_id").alias("a"), F.col("chunk_id").alias("b"))
+    """A threshold join of all vectors with one another; the branch of equal keys is an equality join."""
+    close = Cells(t.embeddings, "vec_id", "embedding").pairs(0.88).select("a", "b")
     keyed = t.embeddings.select(F.col("vec_id").alias("a"), "label", (F.col("vec_id") + 1).alias("b"))
     same = keyed.join(t.embeddings.select(F.col("vec_id").alias("b"), "label"), ["b", "label"]).select("a", "b")
     return close.union(same).distinct()
 
 
+#: Documents with the vector of the same number, where there is one.
+_TEXT_VECTORS = "items AS (SELECT doc_id AS id, lower(trim(substr(text, 1, 300))) AS key, lang, embedding AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
+
+
+def _text_vectors(t: Tables) -> DataFrame:
+    vectors = t.embeddings.select("vec_id", "embedding")
+    key = F.lower(F.trim(F.substring("text", 1, 300))).alias("key")
+    return t.documents.join(vectors, F.col("vec_id") == F.col("doc_id"), "left").select(F.col("doc_id").alias("id"), key, "lang", F.col("embedding").alias("vector"))
+
+
+@query("udf04_equivalent_texts", f"""WITH {_TEXT_VECTORS}, held AS (SELECT *, min(id) OVER (PARTITION BY key) AS first FROM items), firsts AS (SELECT id, v FROM held WHERE id = first)
+SELECT first AS a, id AS b, 'text' AS by, NULL AS note FROM held WHERE id <> first
+UNION ALL SELECT x.id, y.id, 'vector', NULL FROM firsts x JOIN firsts y ON x.id < y.id WHERE x.v IS NOT NULL AND y.v IS NOT NULL AND round(list_cosine_similarity(x.v::DOUBLE[], y.v::DOUBLE[]), 9) >= 0.35
+UNION ALL SELECT id, NULL, 'text', 'no vector: compared by text only' FROM firsts WHERE v IS NULL""")
+def equivalent_texts(t: Tables) -> DataFrame:
+    """Documents that begin alike, or whose vectors are near; those without a vector are compared by text only, and say so."""
+    return equivalent(_text_vectors(t).select("id", "key", "vector"), 0.35)
+
+
+@query("cmp18_merged_items", f"""WITH RECURSIVE {_TEXT_VECTORS.replace("items AS", "raw AS")},
+items AS (SELECT id, key, lang, first_value(v IGNORE NULLS) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM raw),
+edges AS (SELECT x.id AS a, y.id AS b FROM items x JOIN items y ON x.id < y.id AND x.lang = y.lang AND x.v IS NOT NULL AND y.v IS NOT NULL AND round(list_cosine_similarity(x.v::DOUBLE[], y.v::DOUBLE[]), 9) >= 0.3
+  UNION SELECT x.id, y.id FROM items x JOIN items y ON x.key = y.key AND x.lang = y.lang AND x.id < y.id),
+later AS (SELECT b, list(a ORDER BY a) AS before, row_number() OVER (ORDER BY b) AS n FROM edges GROUP BY b),
+folded(n, merged, into_) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT later.n, CASE WHEN len(kept) > 0 THEN list_append(merged, b) ELSE merged END, CASE WHEN len(kept) > 0 THEN list_append(into_, kept[1]) ELSE into_ END
+  FROM (SELECT folded.*, list_filter(before, lambda x: NOT list_contains(merged, x)) AS kept, b, later.n AS n_next FROM folded JOIN later ON later.n = folded.n + 1) AS s JOIN later USING (b)),
+last AS (SELECT merged, into_ FROM folded ORDER BY n DESC LIMIT 1)
+SELECT id, coalesce(into_[list_position(merged, id)], id) AS "into" FROM items, last""")
+def merged_items(t: Tables) -> DataFrame:
+    """Documents as items: the beginning and the vector are the question, the language is the answer."""
+    items = _text_vectors(t).select(F.col("id").alias("key"), F.col("key").alias("question_key"), F.col("vector").alias("question_vec"), F.col("lang").alias("answer_key"), F.lit(None).cast("array<double>").alias("answer_vec"))
+    return merge_similar(items, least_question=0.3, least_answer=0.95).withColumnRenamed("key", "id")
+
+
 @query("jon27_label_hits", "SELECT page_id, count(doc_id) AS n FROM pages LEFT JOIN documents ON doc_id = try_cast(regexp_extract(url, '/[a-z]+/([0-9]+)', 1) AS BIGINT) AND contains(url, lang) GROUP BY 1")
 def label_hits(t: Tables) -> DataFrame:
     number = F.expr("try_cast(regexp_extract(url, '/[a-z]+/([0-9]+)', 1) AS BIGINT)")

@@ -9,6 +9,7 @@ from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
 from quarry.operators.graph import components
 from quarry.operators.relational import first_n
+from quarry.operators.splits import stratified_groups
 from quarry.plans.registry import query
 from quarry.plans.retrieval import _BM25, _parts
 from quarry.sources.tables import Tables
@@ -186,3 +187,27 @@ def workflow(t: Tables) -> DataFrame:
 def overlay(t: Tables) -> DataFrame:
     manual = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad")
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce(manual, F.when(F.col("n_chars") > 1000, "good").otherwise("bad")).alias("verdict"))
+
+
+_TRAITS = {"question": "[?]", "long": "^.{700}", "short": "^.{0,60}$", "german": " der ", "english": " the ", "spanish": " los ", "french": " les ", "lines": "\\n"}
+_TRAIT_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}', 's') THEN '{k}' END" for k, p in _TRAITS.items())
+
+
+@query("win10_stratified_groups", f"""WITH RECURSIVE domain AS (SELECT [{", ".join(f"'{k}'" for k in sorted(_TRAITS))}] AS d),
+own AS (SELECT conv_id, list_distinct(flatten(list([{_TRAIT_SQL}]))) AS labels, sha256('seed' || CAST(conv_id AS VARCHAR)) AS place FROM conversations WHERE role = 'user' GROUP BY 1),
+grp AS (SELECT conv_id, place, list_transform(d, lambda x: CASE WHEN list_contains(labels, x) THEN 1 ELSE 0 END) AS bits FROM own, domain),
+totals AS (SELECT greatest(1, (SELECT count(*) FROM own) // 10) AS need, d FROM domain),
+picks(step, picked, covered, counts) AS (
+  SELECT 0, []::BIGINT[], list_transform(d, lambda x: 0), (SELECT list(n ORDER BY i) FROM (SELECT i, CAST(sum(bits[i]) AS BIGINT) AS n FROM grp, (SELECT unnest(range(1, len(d) + 1)) AS i FROM domain) GROUP BY i)) FROM domain
+  UNION ALL
+  SELECT step + 1, list_append(picked, conv_id), CASE WHEN step + 1 = need THEN list_transform(d, lambda x: 0) ELSE list_transform(range(1, len(d) + 1), lambda i: greatest(covered[i], bits[i])) END, list_transform(range(1, len(d) + 1), lambda i: counts[i] - bits[i])
+  FROM picks, totals JOIN grp ON true WHERE step < 2 * need AND NOT list_contains(picked, conv_id)
+  QUALIFY row_number() OVER (ORDER BY len(list_filter(range(1, len(d) + 1), lambda i: bits[i] = 1 AND counts[i] <= 1)) = 0 DESC,
+    list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN bits[i] = 1 AND covered[i] = 0 THEN 1000000000000 // counts[i] ELSE 0 END)) DESC, place) = 1
+), last AS (SELECT picked, need FROM picks, totals WHERE step = 2 * need)
+SELECT conv_id, CASE WHEN NOT list_contains(picked, conv_id) THEN 'train' WHEN list_position(picked, conv_id) <= need THEN 'test' ELSE 'validation' END AS split FROM own, last""")
+def stratified(t: Tables) -> DataFrame:
+    """Conversations by the traits of their user messages: no conversation in two parts, and rare traits in each part that they suffice for."""
+    traits = F.array_compact(F.array(*(F.when(F.col("text").rlike(f"(?s){p}"), k) for k, p in _TRAITS.items())))
+    rows = t.conversations.where("role = 'user'").select("conv_id", traits.alias("labels"))
+    return stratified_groups(rows, "conv_id", "labels").withColumnRenamed("group", "conv_id")
