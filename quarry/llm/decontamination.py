@@ -1,12 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle check.
 
 Items and windows are compared as multisets of word shingles, weighted by how rare a shingle is among all items. An
-item's SimHash has 64 bits. In each document, windows of as many words as the item has slide over every place that
-shares a shingle with an item of that size (a window that shares none has similarity 0). The 64 bits are cut into 8
-blocks; fingerprints within 23 bits of each other have a block with at most 2 different bits (8 blocks with 3 each
-make 24), and the items are indexed under all 37 values that each block can so take. No pair within the radius is
-lost. A pair at similarity 0.8 lies beyond 23 bits with a probability of about 0.00001. All pairs within the radius are
-then compared exactly. Items shorter than a shingle are found as phrases: their words in a row.
+item's SimHash has 64 bits. In each document, windows of as many words as the item has slide over the places that hold one of
+the item's telling shingles: the rarest, up to just more weight than a similar window may lack, so that a window without any of them
+isn't similar. The 64 bits are cut into 8 blocks; fingerprints within 23 bits of each other have a block with at most 2 different bits (8
+blocks with 3 each make 24), and an item is listed under all 37 values that each block can so take. Blocks of 8 bits alone would leave seven
+in ten pairs of any window and item; so a window looks up its blocks in the lists of those items only whose telling shingles are near, and where it shares
+enough weight with them. No similar pair within the radius is lost. A pair at similarity 0.8 lies beyond 23 bits with a probability of about 0.00001. What
+is left is compared exactly. Items shorter than a shingle are found as phrases: their words in a row.
 
 The documents are read once, against a bit filter of the items' shingles whose size is bounded; what passes, distinct
 texts only, is written with the number of items that hold each of its shingles, by a join. Only these candidates then meet the items,
@@ -16,7 +17,7 @@ which are broadcast in blocks of bounded size. No similarity depends on how item
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,8 @@ BITS, BLOCKS, ERRORS = 64, 8, 2
 RADIUS = BLOCKS * (ERRORS + 1) - 1
 #: Words of the items in one broadcast block, about; 64-bit words of the filter, at most.
 BLOCK_WORDS, FILTER = 1 << 20, 1 << 22
+#: Windows of a document that are looked at together.
+STARTS = 4096
 _VARIANTS = np.array([0, *(sum(1 << b for b in c) for n in range(1, ERRORS + 1) for c in combinations(range(BITS // BLOCKS), n))], np.uint64)
 
 
@@ -57,49 +60,48 @@ def runs(found: Words, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """An index of items: by shingle, and by blocks of the fingerprints of each size. rows: item_id, words, shingles, how often each, in how many items each."""
+    """An index of items: by their rarest shingles, and by blocks of their fingerprints. rows: item_id, words, shingles, how often each, in how many items each."""
 
-    def __init__(self, rows: list[tuple], words: int, n: int) -> None:
-        """n: of all items, in whatever block."""
+    def __init__(self, rows: list[tuple], words: int, n: int, least: float) -> None:
+        """n: of all items, in whatever block; least: the similarity that counts."""
         self.words, self.n = words, n
         self.rare = float(np.log1p(n))  # of a shingle of one item or none
         self.ids = np.array([r[0] for r in rows], np.int64)
-        sizes = np.array([r[1] for r in rows], np.int64)
+        self.lengths = np.array([r[1] for r in rows], np.int64)
         self.sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for _, _, h, c, df in rows:
             order = np.argsort(np.array(h, np.int64).view(np.uint64))
             self.sets.append((np.array(h, np.int64).view(np.uint64)[order], np.array(c, np.int64)[order], np.log1p(n / np.array(df, np.float64)[order])))
         self.short: dict[int, dict[int, list[int]]] = {}
-        for i in np.flatnonzero(sizes < words):
-            self.short.setdefault(int(sizes[i]), {}).setdefault(int(self.sets[i][0][0]), []).append(int(i))
-        self.by_size: dict[int, tuple] = {}
-        members: list[np.ndarray] = []
-        for size in np.unique(sizes[sizes >= words]):
-            of = np.flatnonzero(sizes == size)
-            prints = fingerprints(np.stack([(signs(s) * (c * w)[:, None]).sum(axis=0) for s, c, w in (self.sets[i] for i in of)]))
-            blocks = []
-            for k in range(BLOCKS):
-                part = (prints >> np.uint64(8 * k)) & np.uint64(0xFF)
-                key = (part[:, None] ^ _VARIANTS[None, :]).astype(np.int64)
-                table = np.zeros((256, len(of)), bool)
-                table[key, np.arange(len(of))[:, None]] = True
-                blocks.append(table)
-            self.by_size[int(size)] = (of, prints, blocks)
-            own = np.unique(np.concatenate([self.sets[i][0] for i in of]))
-            members.append(np.stack([own, np.full(len(own), size, np.uint64)], axis=1))
-        pairs = np.concatenate(members) if members else np.zeros((0, 2), np.uint64)
+        for i in np.flatnonzero(self.lengths < words):
+            self.short.setdefault(int(self.lengths[i]), {}).setdefault(int(self.sets[i][0][0]), []).append(int(i))
+        self.total, self.prints = np.zeros(len(rows)), np.zeros(len(rows), np.uint64)
+        self.keys = np.zeros((len(rows), BLOCKS * len(_VARIANTS)), np.int64)
+        marks: list[np.ndarray] = []
+        for i in np.flatnonzero(self.lengths >= words):
+            s, c, w = self.sets[i]
+            self.total[i] = (c * w).sum()
+            self.prints[i] = fingerprints((signs(s) * (c * w)[:, None]).sum(axis=0)[None, :])[0]
+            self.keys[i] = np.sort((_block_keys(self.prints[i : i + 1])[0][:, None] ^ _VARIANTS.astype(np.int64)[None, :]).ravel())
+            # A window without these, the rarest, lacks more of the item's weight than it may.
+            order = np.lexsort((s, -w))
+            telling = order[: int(np.searchsorted(np.cumsum((c * w)[order]), (1 - least) * self.total[i] + 1e-9, "right")) + 1]
+            marks.append(np.stack([s[telling], np.full(len(telling), i, np.uint64)], axis=1))
+        pairs = np.concatenate(marks) if marks else np.zeros((0, 2), np.uint64)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        # Sizes of the items that hold a shingle: sizes[upto[i] : upto[i + 1]] for known[i].
+        # Items that known[k] tells of: members[upto[k] : upto[k + 1]].
         self.known, first = np.unique(pairs[:, 0], return_index=True)
-        self.sizes, self.upto = pairs[:, 1].astype(np.int64), np.append(first, len(pairs))
+        self.members, self.upto = pairs[:, 1].astype(np.int64), np.append(first, len(pairs))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in h that hold a shingle of some item, and its number."""
+        """Places in h that hold a telling shingle of an item, and the item; one for each of both."""
         if not len(self.known) or not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         places = np.flatnonzero(self.known[at] == h)
-        return places, at[places]
+        first, n = self.upto[at[places]], self.upto[at[places] + 1] - self.upto[at[places]]
+        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        return np.repeat(places, n), self.members[each]
 
     def similarity(self, item: int, window: np.ndarray, weight: np.ndarray) -> float:
         """Weighted Jaccard of the two multisets; weight: of each shingle of the window."""
@@ -110,34 +112,57 @@ class Items:
         total = float((c * own).sum() + (n * weight[at]).sum())
         return both / (total - both) if total > both else 1.0
 
-    def matches(self, h: np.ndarray, weight: np.ndarray, places: np.ndarray, known: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
-        """Items that a document holds: similarity and first word of the best window. places and known as of find()."""
-        wanted: dict[int, list[int]] = {}
-        for place, k in zip(places, known):
-            for n in self.sizes[self.upto[k] : self.upto[k + 1]]:
-                wanted.setdefault(int(n), []).append(int(place))
+    def near(self, item: int, prints: np.ndarray) -> np.ndarray:
+        """Which fingerprints lie within the radius: one of their blocks is among those that the item is listed under, and all bits bear it out."""
+        keys = self.keys[item]
+        blocks = _block_keys(prints)
+        at = np.minimum(np.searchsorted(keys, blocks), len(keys) - 1)
+        return (keys[at] == blocks).any(axis=1) & (np.bitwise_count(prints ^ self.prints[item]) <= RADIUS)
+
+    def best_window(self, item: int, h: np.ndarray, weight: np.ndarray, low: int, high: int, least: float) -> tuple[float, int] | None:
+        """The similarity and the first word of the best window that begins at low to high, the first of equals."""
+        size = int(self.lengths[item]) - self.words + 1  # shingles in a window
+        s, found = self.sets[item][0], None
+        for at in range(low, high + 1, STARTS):
+            starts = np.arange(at, min(at + STARTS, high + 1))
+            own, worth = h[at : starts[-1] + size], weight[at : starts[-1] + size]
+            shared = np.where(s[np.minimum(np.searchsorted(s, own), len(s) - 1)] == own, worth, 0.0)
+            begin, end = starts - at, np.minimum(starts - at + size, len(own))
+            both, all_ = (x[end] - x[begin] for x in (np.concatenate([[0.0], np.cumsum(y)]) for y in (shared, worth)))
+            fit = np.flatnonzero(both >= least * (self.total[item] + all_ - both) - 1e-9)  # at least as much as they share
+            if not len(fit):
+                continue
+            a, b = begin[fit[0]], end[fit[-1]]
+            sums = np.zeros((b - a + 1, BITS))
+            np.cumsum(signs(own[a:b]) * worth[a:b, None], axis=0, out=sums[1:])
+            for k in fit[self.near(item, fingerprints(sums[end[fit] - a] - sums[begin[fit] - a]))]:
+                window = slice(begin[k], end[k])
+                got = self.similarity(item, own[window], worth[window])
+                if got >= least and (found is None or got > found[0]):
+                    found = (got, int(starts[k]))
+        return found
+
+    def matches(self, h: np.ndarray, weight: np.ndarray, places: np.ndarray, items: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
+        """Items that a document holds: similarity and first word of the best window. places and items as of find()."""
         best: dict[int, tuple[float, int]] = {}
-        for n, at in wanted.items():
-            size = n - self.words + 1  # shingles in a window
-            last = max(0, len(h) - size)
-            starts = np.unique(np.concatenate([np.arange(max(0, p - size + 1), min(p, last) + 1) for p in at] + [np.array([last])]))
-            low = int(starts[0])
-            own = h[low : int(starts[-1]) + size]
-            sums = np.zeros((len(own) + 1, BITS))
-            np.cumsum(signs(own) * weight[low : low + len(own)][:, None], axis=0, out=sums[1:])
-            prints = fingerprints(sums[np.minimum(starts - low + size, len(own))] - sums[starts - low])
-            of, items, blocks = self.by_size[n]
-            met = reduce(lambda p, q: p | q, (blocks[k][((prints >> np.uint64(8 * k)) & np.uint64(0xFF)).astype(np.int64)] for k in range(BLOCKS)))
-            w, i = np.nonzero(met)
-            near = np.bitwise_count(prints[w] ^ items[i]) <= RADIUS
-            for a, b in zip(w[near], i[near]):
-                item, at_ = int(of[b]), slice(starts[a], starts[a] + size)
-                got = self.similarity(item, h[at_], weight[at_])
-                if got >= least and (item not in best or got > best[item][0]):
-                    best[item] = (got, int(starts[a]))
+        order = np.lexsort((places, items))
+        places, items = places[order], items[order]
+        for own in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1) if len(items) else []:
+            item = int(items[own[0]])
+            size = int(self.lengths[item]) - self.words + 1
+            last, at = max(0, len(h) - size), places[own]
+            for part in np.split(at, np.flatnonzero(np.diff(at) > size) + 1):
+                found = self.best_window(item, h, weight, min(last, max(0, int(part[0]) - size + 1)), min(last, int(part[-1])), least)
+                if found and (item not in best or found[0] > best[item][0]):
+                    best[item] = found
         return best
 
 
+def _block_keys(prints: np.ndarray) -> np.ndarray:
+    """The blocks of each fingerprint, each with its number above it."""
+    return np.stack([((prints >> np.uint64(8 * k)) & np.uint64(0xFF)).astype(np.int64) | (k << 8) for k in range(BLOCKS)], axis=1)
+
+
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The distinct shingles of each item, and how often it has each."""
     for batch in batches:
@@ -210,11 +235,11 @@ def _scan(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iter
                 at = np.minimum(np.searchsorted(known, h[own]), max(0, len(known) - 1))
                 if len(known):
                     weight[own] = np.where(known[at] == h[own], np.log1p(items.n / df[at]), items.rare)
-            places, known = items.find(h)
+            places, members = items.find(h)
             best: dict[int, dict[int, tuple[float, int]]] = {}
             for d in np.unique(of[places]):
                 own = of[places] == d
-                best[int(d)] = items.matches(h[first[d] : first[d + 1]], weight[first[d] : first[d + 1]], places[own] - first[d], known[own], least)
+                best[int(d)] = items.matches(h[first[d] : first[d + 1]], weight[first[d] : first[d + 1]], places[own] - first[d], members[own], least)
             for m, index in items.short.items():
                 own, at = runs(found, m)
                 some = np.flatnonzero(np.isin(own, np.array(sorted(index), np.uint64)))
@@ -260,7 +285,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float =
     rows = scratch.table(rows, "index")
     found = spark.createDataFrame([], "key long, item_id long, first_word long, similarity double")
     for block in _blocks(rows):
-        found = found.union(once.mapInArrow(partial(_scan, items=Items(block, words, n), least=least), found.schema))
+        found = found.union(once.mapInArrow(partial(_scan, items=Items(block, words, n, least), least=least), found.schema))
     return near.select("key", "doc_id").join(scratch.table(found, "found"), "key").select("doc_id", "item_id", "first_word", "similarity")
 
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, hard_negatives, oracle, queries, target_resampling, token_rollups
+from quarry.llm import decontamination, fingerprints, hard_negatives, oracle, queries, target_resampling, token_rollups
 from tests.llm import helpers as H
 
 SMALL = "/root/testdata/sf0.001"
@@ -268,3 +268,39 @@ def test_batch_of_another_content(spark, tmp_path, monkeypatch):
     token_rollups.TokenRollup(spark, r.path).commit("b", change(5))
     assert not r.commit("b", change(5), strict=True)
     assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "t", 2, 8)]
+
+
+# ---------------------------------------------------------------- op9
+
+
+def test_many_planted_items(spark):
+    """One text made of items, against thousands of them: work follows what is near, not windows times items."""
+    rng = random.Random(1)
+    items = [(i, H.prose(rng, 50, 20_000)) for i in range(1500)]
+    planted = rng.sample(range(1500), 60)
+    text = " ".join(f"{items[i][1]} {H.prose(rng, 5, 20_000)}" for i in planted)
+    same = "boiler plate that stands in all of these items and in no other text at all"
+    items += [(2000 + i, f"{same} {H.prose(rng, 30, 20_000)}") for i in range(200)]
+    docs = spark.createDataFrame([(1, text), (2, f"{same} {H.prose(rng, 100, 20_000)}"), (3, items[1500][1])], "doc_id long, text string")
+    found = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, i) for i in planted} | {(3, 2000)}
+
+
+def test_telling_shingles():
+    """No pair that is similar enough lacks all telling shingles of its item."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        h = rng.choice(200, 20, replace=False)
+        rows.append((i, 24, h.astype(np.int64), rng.integers(1, 3, 20), 1 + h % 7))
+    index = decontamination.Items(rows, 5, 40, 0.7)
+    met = 0
+    for _, _, h, _, _ in rows:
+        for drop in range(1, 9):
+            window = np.concatenate([h[drop:], 1000 + np.arange(drop)]).astype(np.uint64)
+            weight = np.where(window < 1000, np.log1p(40 / (1 + window % 7)), index.rare)
+            for item in range(40):
+                if index.similarity(item, window, weight) >= 0.7:
+                    met += 1
+                    assert item in index.find(window)[1]
+    assert met > 40
