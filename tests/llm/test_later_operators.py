@@ -292,7 +292,7 @@ def test_telling_shingles():
     rows = []
     for i in range(40):
         h = rng.choice(200, 20, replace=False)
-        rows.append((i, 24, h.astype(np.int64), rng.integers(1, 3, 20), 1 + h % 7))
+        rows.append((i, 24, h.astype(np.int64), 1 + (rng.random(20) < 0.1), 1 + h % 7))
     index = decontamination.Items(rows, 5, 40, 0.7)
     met = 0
     for _, _, h, _, _ in rows:
