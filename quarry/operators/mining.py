@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from quarry.operators.candidates import bigrams, similar_sets
 from quarry.operators.graph import first_independent
 from quarry.operators.scratch import Scratch
 from quarry.operators.similarity import Cells
@@ -88,3 +89,29 @@ def merge_similar(items: DataFrame, block: str | None = None, least_question: fl
     edges = pairs.join(end("a"), "a").join(end("b"), "b").where(alike & F.col("_a.block").eqNullSafe(F.col("_b.block"))).select(F.col("_a.key").alias("a"), F.col("_b.key").alias("b"))
     into = first_independent(firsts.select(F.col("key").alias("id")), edges).withColumnRenamed("id", "_id")
     return rows.join(into, rows["of"] == into["_id"]).select("key", "into")
+
+
+def organise(originals: DataFrame, least: float = 0.5, longest: int = 4000) -> DataFrame:
+    """(id, outcome, review) for originals (id, text) in the order of ids: a question that resembles none of the reviews before it opens a review of its own
+    (created, review = id); any other goes into the review that it resembles most (merged), ties to the smaller id. Blank and too long texts are failed, with a null review.
+
+    Texts resemble each other if the Jaccard similarity of their bigrams reaches least; equal texts without bigrams do too. The similarity is taken with
+    what a review was opened with, so a review doesn't drift as it grows.
+    """
+    scratch = Scratch(originals.sparkSession, "organise")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    fine = (F.length(text) > 0) & (F.length(text) <= longest)
+    # Questions of the same bigrams are one, whatever their number.
+    rows = scratch.table(originals.select("id", fine.alias("fine"), F.when(fine, F.array_sort(bigrams(text))).alias("grams"), F.when(fine, F.lower(F.regexp_replace(text, r"\s+", ""))).alias("short")), "rows")
+    same = F.when(F.size("grams") > 0, F.sha2(F.array_join("grams", "\n"), 256)).otherwise(F.concat(F.lit("short "), "short"))
+    rows = scratch.table(rows.withColumn("same", same).drop("short"), "keyed")
+    first = rows.where("fine").groupBy("same").agg(F.min("id").alias("first"))
+    near = scratch.table(similar_sets(rows.where("fine").join(first, "same").where("id = first").select("id", "grams"), least), "near")
+    into = first_independent(first.select(F.col("first").alias("id")), near).withColumn("opens", F.col("id") == F.col("into"))
+    into = scratch.table(into, "into")
+    opened = into.where("opens").select(F.col("id").alias("_open"))
+    to = near.join(opened, F.col("a") == F.col("_open"), "left_semi").groupBy(F.col("b").alias("_b")).agg(F.min_by("a", F.struct(-F.col("jaccard"), F.col("a"))).alias("best"))
+    review = into.join(to, into["id"] == to["_b"], "left").select(F.col("id").alias("_first"), F.when(F.col("opens"), F.col("id")).otherwise(F.col("best")).alias("review"))
+    placed = rows.join(first, "same", "left").join(review, F.col("first") == F.col("_first"), "left")
+    outcome = F.when(~F.col("fine"), "failed").when(F.col("id") == F.col("review"), "created").otherwise("merged")
+    return placed.select("id", outcome.alias("outcome"), F.when(F.col("fine"), F.col("review")).alias("review"))

@@ -85,3 +85,46 @@ def stratified_groups(rows: DataFrame, group: str, labels: str, may_hold_out: Co
             taken = F.col("fine") & taken
             split = F.when(taken, part) if split is None else split.when(taken, part)
     return groups.select("group", F.coalesce(split, F.lit("train")).alias("split"))
+
+
+def quotas(total: int, shares: dict[int, float]) -> dict[int, int]:
+    """total cut by shares, by largest remainders; ties to the smaller key."""
+    whole = sum(shares.values())
+    exact = {k: total * s / whole for k, s in shares.items()}
+    out = {k: int(x) for k, x in exact.items()}
+    for k in sorted(shares, key=lambda k: (out[k] - exact[k], k))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def assemble(rows: DataFrame, total: int, shares: dict[int, float], cap: int = 5, cover: int = 100, seed: str = "seed") -> DataFrame:
+    """(id, n_labels, chosen, reason) for rows (id, group, key, labels, mandatory): a dataset of at most `total` rows, of which each number of labels gets its share.
+
+    * Of rows with the same key, the first by mandatory and id stays (else duplicate); a null key is unlike all others.
+    * Of a group, `cap` rows stay, mandatory ones first, then in the order of ids (else cap).
+    * Of the rows of each number of labels, as many are chosen as its quota says (else quota; unwanted, if there is no share for it): mandatory ones first; then, among rows of a single
+      label, the first of each group for up to `cover` groups of that label, so that every label comes from many groups; then the rest, in the order of a hash of seed and id.
+
+    Quotas are largest remainders of the shares. A quota that can't be filled isn't moved to another number of labels. Null labels count as none.
+    """
+    place = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
+    labels, needed = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("labels", F.array().cast("array<string>"))))), F.coalesce(F.col("mandatory"), F.lit(False))
+    own = rows.select("id", "group", F.coalesce(F.col("key").cast("string"), F.concat(F.lit("\0"), F.col("id").cast("string"))).alias("key"), labels.alias("labels"), needed.alias("mandatory"), place.alias("place"))
+    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mandatory"), "id"))
+    keep = own.groupBy("key").agg(F.min(F.struct(~F.col("mandatory"), F.col("id"))).alias("_first")).select(F.col("key").alias("_key"), F.col("_first.id").alias("_kept"))
+    own = own.join(keep, F.col("key") == F.col("_key")).withColumn("repeated", F.col("id") != F.col("_kept"))
+    first = own.where("NOT repeated").select(F.col("id").alias("_id"), number("group").alias("_in_group"))
+    own = Scratch(rows.sparkSession, "assemble").table(own.join(first, F.col("id") == F.col("_id"), "left").withColumn("reason", F.when(F.col("repeated"), "duplicate").when(F.col("_in_group") > cap, "cap")).select("id", "group", "labels", "mandatory", "place", "reason"), "capped")
+    left = own.where("reason IS NULL").withColumn("n_labels", F.size("labels"))
+    # One row for each group and single label, by place; mandatory rows cover their groups already.
+    single = left.where("n_labels = 1").groupBy(F.col("labels")[0].alias("label"), "group").agg(F.min(F.struct(~F.col("mandatory"), F.col("place"), F.col("id"))).alias("_r"))
+    by_label = Window.partitionBy("label").orderBy("_r")
+    covering = single.withColumn("_n", F.row_number().over(by_label)).where(F.col("_n") <= cover).select(F.col("_r.id").alias("_cover"))
+    ranked = left.join(covering, F.col("id") == F.col("_cover"), "left")
+    order = Window.partitionBy("n_labels").orderBy(F.desc("mandatory"), F.col("_cover").isNull(), "place", "id")
+    share = F.create_map(*(F.lit(x) for pair in quotas(total, shares).items() for x in pair))[F.col("n_labels")]
+    # Only the first rows of each number of labels are numbered, as many as the largest quota.
+    chosen = ranked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.lit(total)).where(F.col("_n") <= share).select(F.col("id").alias("_chosen"))
+    done = own.join(chosen, F.col("id") == F.col("_chosen"), "left").withColumn("n_labels", F.size("labels"))
+    reason = F.coalesce("reason", F.when(F.col("_chosen").isNull(), F.when(F.col("n_labels").isin(list(shares)), "quota").otherwise("unwanted")))
+    return done.select("id", "n_labels", F.col("_chosen").isNotNull().alias("chosen"), reason.alias("reason"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.scratch import Scratch
 from quarry.plans.registry import query
 from quarry.sources import knowledge as K
+from quarry.sources.jsonl import parse_lines
 from quarry.sources.tables import Tables
+from quarry.streaming.events import MESSAGES, read
+from quarry.streaming.runs import ScheduledJob
 
 
 @query("cmp05_packed_chunks")
@@ -47,3 +51,24 @@ def violations(t: Tables) -> DataFrame:
 @query("src08_trusted_messages", "SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'assistant') AND turn > 0 ORDER BY conv_id, turn LIMIT 2000")
 def trusted(t: Tables) -> DataFrame:
     return t.conversations.where("role IN ('user', 'assistant') AND turn > 0").orderBy("conv_id", "turn").limit(2000).select("conv_id", "turn")
+
+
+@query("src05_json_lines", """WITH lines AS (SELECT 'event' AS origin, props AS line FROM events UNION ALL SELECT 'message', text FROM conversations UNION ALL SELECT 'short', substr(text, 1, 2) FROM documents),
+typed AS (SELECT origin, CASE WHEN json_valid(line) THEN CASE WHEN json_type(line) = 'OBJECT' THEN 'object' ELSE 'other' END ELSE 'bad' END AS status, CASE WHEN json_valid(line) THEN CAST(json_extract_string(line, '$.k') AS BIGINT) END AS k FROM lines WHERE regexp_matches(line, '\\S'))
+SELECT origin, status, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM typed GROUP BY 1, 2""")
+def json_lines(t: Tables) -> DataFrame:
+    """Properties as lines of JSON, in fences, among texts that aren't; how many can be read, and what they hold."""
+    lines = t.events.select(F.lit("event").alias("origin"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")).alias("line"))
+    lines = lines.union(t.conversations.select(F.lit("message"), "text")).union(t.documents.select(F.lit("short"), F.substring("text", 1, 2)))
+    k = F.try_variant_get("value", "$.k", "bigint")
+    return parse_lines(lines, "line").groupBy("origin", "status").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+
+
+@query("stm02_scheduled_runs", """SELECT 1::BIGINT AS run, count(*) AS rows_in, count(*) FILTER (role = 'user') AS rows_out, (SELECT count(*) FROM conversations WHERE role = 'user') AS kept FROM conversations
+UNION ALL SELECT 2, 0, 0, (SELECT count(*) FROM conversations WHERE role = 'user')""")
+def scheduled_runs(t: Tables) -> DataFrame:
+    """Two runs of a job over the messages as a stream: the first takes all, the second finds nothing new."""
+    job = ScheduledJob(t.spark, Scratch(t.spark, "runs").root, lambda rows: rows.where("role = 'user'"))
+    for number in (1, 2):  # a pattern, as the table may be a file or a folder
+        job.run(read(t.spark, f"{t.folder}/conversation[s].parquet", MESSAGES, files=8), number)
+    return job.runs().select("run", "rows_in", "rows_out").crossJoin(job.output().agg(F.count("*").alias("kept")))

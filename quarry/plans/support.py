@@ -11,9 +11,11 @@ from quarry.functions import arrays as A
 from quarry.functions import text as X
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
-from quarry.operators.candidates import near_pairs
+from quarry.operators.candidates import best_matches, near_pairs
 from quarry.operators.graph import components
+from quarry.operators.mining import organise
 from quarry.operators.relational import first_n
+from quarry.operators.splits import assemble
 from quarry.operators.windows import build_turns, pack_turns
 from quarry.plans.evaluation import _wanted
 from quarry.plans.mining import PACKED, TURNS
@@ -330,6 +332,55 @@ def organised(t: Tables) -> DataFrame:
     return found.select(F.sha2("key", 256).alias("review"), "occurrences", "first", "conversations")
 
 
+_GRAMS = "list_distinct(list_transform(range(1, length(short)), lambda i: substr(short, i, 2)))"
+
+
+@query("cmp21_review_outcomes", f"""WITH RECURSIVE m AS (SELECT conv_id * 1000 + turn AS id, trim({_sql_redacted('text')}) AS r FROM conversations WHERE role = 'user'),
+t AS (SELECT id, length(r) BETWEEN 1 AND 4000 AS fine, lower(regexp_replace(r, '\\s+', '', 'g')) AS short FROM m),
+g AS MATERIALIZED (SELECT id, {_GRAMS} AS grams, CASE WHEN length(short) > 1 THEN sha256(array_to_string(list_sort({_GRAMS}), chr(10))) ELSE 'short ' || short END AS same FROM t WHERE fine),
+firsts AS MATERIALIZED (SELECT id, grams FROM (SELECT *, min(id) OVER (PARTITION BY same) AS first FROM g) WHERE id = first),
+near AS MATERIALIZED (SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.grams, y.grams)) / CAST(len(list_distinct(list_concat(x.grams, y.grams))) AS DOUBLE), 9) AS j FROM firsts x JOIN firsts y ON x.id < y.id AND len(x.grams) > 0 AND len(y.grams) > 0) WHERE j >= 0.5),
+later AS MATERIALIZED (SELECT b, list(a ORDER BY j DESC, a) AS before, row_number() OVER (ORDER BY b) AS n FROM near GROUP BY b),
+folded(n, merged, into_) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT n, CASE WHEN len(kept) > 0 THEN list_append(merged, b) ELSE merged END, CASE WHEN len(kept) > 0 THEN list_append(into_, kept[1]) ELSE into_ END
+  FROM (SELECT later.n, merged, into_, b, list_filter(before, lambda x: NOT list_contains(merged, x)) AS kept FROM folded JOIN later ON later.n = folded.n + 1)),
+last AS (SELECT merged, into_ FROM folded ORDER BY n DESC LIMIT 1),
+placed AS (SELECT t.id, fine, min(g.id) OVER (PARTITION BY g.same) AS first FROM t LEFT JOIN g ON g.id = t.id)
+SELECT id, CASE WHEN NOT fine THEN 'failed' WHEN id = coalesce(into_[list_position(merged, first)], first) THEN 'created' ELSE 'merged' END AS outcome, CASE WHEN fine THEN coalesce(into_[list_position(merged, first)], first) END AS review FROM placed, last""")
+def review_outcomes(t: Tables) -> DataFrame:
+    """User messages, redacted, put into reviews one after the other: each opens one, goes into the one it resembles most, or fails."""
+    rows = t.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.trim(X.redact(F.col("text"))).alias("text"))
+    return organise(rows, 0.5)
+
+
+@query("cmp21_best_matches", f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, lower(regexp_replace(text, '\\s+', '', 'g')) AS short FROM conversations WHERE role = 'user'), g AS (SELECT id, {_GRAMS} AS grams FROM t),
+near AS (SELECT * FROM (SELECT x.id AS other, y.id, round(len(list_intersect(x.grams, y.grams)) / CAST(len(list_distinct(list_concat(x.grams, y.grams))) AS DOUBLE), 9) AS jaccard FROM g x JOIN g y ON x.id < y.id AND len(x.grams) > 0 AND len(y.grams) > 0) WHERE jaccard >= 0.5)
+SELECT id, other, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, other) AS n FROM near) WHERE n <= 12""")
+def best_matches_of(t: Tables) -> DataFrame:
+    """The 12 earlier messages that each one resembles most. The ratio that orders them further has no SQL; tests/test_reviews.py holds it against brute force."""
+    rows = t.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return best_matches(rows, 0.5).select("id", "other", "jaccard")
+
+
+@query("cmp45_assembled_dataset", """WITH own AS (SELECT doc_id AS id, source || '/' || lang || '/' || (n_chars // 500) AS grp, lower(regexp_replace(text, '\\s+', '', 'g')) AS key, n_chars > 5000 AS mandatory, sha256('seed' || doc_id) AS place,
+  list_sort(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars > 1000 THEN 'long' END], lambda x: x IS NOT NULL)) AS labels FROM documents LEFT JOIN (SELECT doc_id AS d, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) ON d = doc_id),
+marked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY mandatory DESC, id) > 1 AS repeated FROM own),
+capped AS (SELECT *, CASE WHEN repeated THEN 'duplicate' WHEN row_number() OVER (PARTITION BY grp, repeated ORDER BY mandatory DESC, id) > 5 THEN 'cap' END AS reason FROM marked),
+single AS (SELECT id, row_number() OVER (PARTITION BY labels[1], grp ORDER BY mandatory DESC, place, id) AS g, labels[1] AS label, mandatory, place FROM capped WHERE reason IS NULL AND len(labels) = 1),
+covering AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY label ORDER BY mandatory DESC, place, id) AS n FROM single WHERE g = 1) WHERE n <= 100),
+ranked AS (SELECT id, row_number() OVER (PARTITION BY len(labels) ORDER BY mandatory DESC, id NOT IN (SELECT id FROM covering), place, id) AS n, len(labels) AS k FROM capped WHERE reason IS NULL)
+SELECT capped.id, CAST(len(labels) AS INTEGER) AS n_labels, n <= CASE k WHEN 1 THEN 65 WHEN 2 THEN 30 WHEN 3 THEN 5 END IS TRUE AS chosen,
+  coalesce(reason, CASE WHEN n <= CASE k WHEN 1 THEN 65 WHEN 2 THEN 30 WHEN 3 THEN 5 END IS TRUE THEN NULL WHEN k BETWEEN 1 AND 3 THEN 'quota' ELSE 'unwanted' END) AS reason FROM capped LEFT JOIN ranked USING (id)""")
+def assembled(t: Tables) -> DataFrame:
+    """A dataset of 100 documents: at most five of a group, 65, 30 and 5 of one, two and three labels, and each label from many groups."""
+    seen = t.labels.groupBy(F.col("doc_id").alias("_d")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    labels = F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("n_chars") > 1000, "long"))
+    group = F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 500).cast("string"))
+    rows = t.documents.join(seen, F.col("_d") == F.col("doc_id"), "left")
+    rows = rows.select(F.col("doc_id").alias("id"), group.alias("group"), F.lower(F.regexp_replace("text", r"\s+", "")).alias("key"), labels.alias("labels"), (F.col("n_chars") > 5000).alias("mandatory"))
+    return assemble(rows, 100, {1: 0.65, 2: 0.30, 3: 0.05})
+
+
 @query("snk31_synced_faq", """SELECT d.doc_id, CASE WHEN l.quality IS NULL OR l.quality = 0 THEN 'not approved' WHEN d.doc_id % 9 = 0 THEN 'leased' WHEN v.vec_id IS NULL THEN 'indexed' ELSE 'ready' END AS status, CASE WHEN l.quality = 1 AND d.doc_id % 9 <> 0 THEN sha256(d.text) END AS content_hash
 FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON v.vec_id = d.doc_id""")
 def synced_faq(t: Tables) -> DataFrame:

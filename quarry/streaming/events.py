@@ -62,17 +62,23 @@ def turns(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, question long, answer long", "question long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, *keys: str):  # noqa: ANN201
-    """A foreachBatch writer that appends each batch's new keys once; a replayed batch finds its own and adds nothing."""
+def upsert_sink(path: str, *keys: str, parts: int = 64):  # noqa: ANN201
+    """A foreachBatch writer that appends each batch's new keys once; a replayed batch finds its own and adds nothing.
+
+    Keys are dealt into `parts` folders by their hash, and only the folders that a batch has keys for are read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = batch.dropDuplicates(list(keys))
+        own = batch.dropDuplicates(list(keys)).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
         probe = spark._jvm.org.apache.hadoop.fs.Path(path)
+        new = own
         if probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe):
-            others = spark.read.parquet(path).where(F.col("batch") != number).select(*keys)
-            own = own.join(others, list(keys), "left_anti")
-        # A batch overwrites only its own partition.
-        own.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+            needed = [r.part for r in own.select("part").distinct().collect()]  # `parts` numbers at most
+            others = spark.read.parquet(path).where(F.col("part").isin(needed) & (F.col("batch") != number)).select("part", *keys)
+            new = own.join(others, ["part", *keys], "left_anti")
+        # A batch overwrites only its own partitions.
+        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
+        own.unpersist()
 
     return write
