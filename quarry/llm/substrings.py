@@ -7,10 +7,10 @@ copies; an anchor that occurs once has none. About one word in eight is an ancho
 
 The windows around one occurrence of an anchor form its context. Equal contexts stand for each other: all but the first
 are repeats throughout. The different contexts of one anchor are where repeats begin and end; their suffixes form the
-subtree below the anchor as a prefix. Subtrees of up to GROUP contexts are built inside tasks as sorted suffixes with
-their common prefix lengths, whose runs are the tree's internal nodes; below a node at depth n or more, all leaves but
-the earliest are repeats. A larger group has its prefixes lengthened to n words: then the prefix itself is the deep node, and
-an aggregate finds its earliest leaf. No task holds more than one group of bounded size.
+subtree below the anchor as a prefix. Subtrees of up to GROUP contexts are built inside tasks: all suffixes of the contexts, sorted, and the
+number of words that neighbours share. Stretches that share n words or more are the deep internal nodes, and the least that a stretch shares is its node's
+depth; all leaves below it but the earliest repeat as many words. A larger group has its prefixes lengthened to n words: then the prefix itself is the
+deep node, and an aggregate finds its earliest leaf. No task holds more than one group of bounded size.
 
 Runs of such windows are the maximal repeats; they are removed word by word.
 """
@@ -109,23 +109,51 @@ def _suffixes(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.lib.stride_tricks.sliding_window_view(flat, n)[begin[of] + place], of, place
 
 
+def suffix_array(anchor: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of n or more words of some contexts, sorted below their anchors: the context of each, its place in it, and how many words it shares with
+    the one before (0 for the first, and where the anchor changes)."""
+    lengths = np.array([len(w) // 8 for w in words])
+    sizes, longest = lengths - n + 1, int(lengths.max())
+    flat = np.concatenate([np.frombuffer(b"".join(words), np.uint64), np.zeros(longest, np.uint64)])
+    begin = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rest = lengths[of] - place  # words of each suffix
+    keys = np.empty((len(of), longest + 1), np.uint64)
+    keys[:, 0] = anchor[of].astype(np.int64).view(np.uint64)
+    keys[:, 1:] = np.lib.stride_tricks.sliding_window_view(flat, longest)[begin[of] + place]
+    keys[:, 1:][np.arange(longest)[None, :] >= rest[:, None]] = 0
+    order = np.argsort(keys.view(np.dtype((np.void, keys.shape[1] * 8)))[:, 0], kind="stable")
+    common = np.zeros(len(of), np.int64)
+    for k in range(1, len(order), 1 << 16):  # in pieces, as this compares all words
+        a, b = order[k - 1 : k - 1 + (1 << 16)], order[k : k + (1 << 16)]
+        a = a[: len(b)]
+        other = np.concatenate([keys[a] != keys[b], np.ones((len(b), 1), bool)], axis=1).argmax(axis=1)
+        common[k : k + len(b)] = np.minimum(np.maximum(other - 1, 0), np.minimum(rest[a], rest[b]))
+    return of[order], place[order], common
+
+
 def _later_leaves(anchor: np.ndarray, doc: np.ndarray, low: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffix trees below some anchors: runs (doc_id, start, number) of the leaves below nodes of depth n that aren't the earliest there."""
-    rows, of, place = _suffixes(words, n)
-    start = low[of] + place
-    keys = np.concatenate([signed(anchor[of].astype(np.int64).view(np.uint64))[:, None].view(np.uint64), rows], axis=1)
-    flat = np.ascontiguousarray(keys).view(np.dtype((np.void, keys.shape[1] * 8)))[:, 0]
-    order = np.argsort(flat, kind="stable")
-    ordered = keys[order]
-    # Words that each suffix shares with the one before: where all n (and the anchor) agree, both lie below one deep node.
-    common = (ordered[1:] == ordered[:-1]).all(axis=1)
-    node = np.concatenate([[0], np.cumsum(~common)])
-    rank = np.lexsort((start[order], doc[of][order], node))
-    node, leaf = node[rank], order[rank]
-    first = np.concatenate([[True], node[1:] != node[:-1]])
-    head = leaf[first][node]
-    later = (doc[of[head]] != doc[of[leaf]]) | (start[head] != start[leaf])
-    return _runs(doc[of[leaf[later]]], start[leaf[later]])
+    """The suffix trees below some anchors: runs (doc_id, start, number) of windows of the leaves below deep internal nodes that aren't the earliest there.
+
+    A stretch of the sorted suffixes whose neighbours share n words or more is what lies below one node; the least that they share is its depth d. All but its
+    earliest leaf repeat d words, which are d - n + 1 windows.
+    """
+    of, place, common = suffix_array(anchor, words, n)
+    start, doc = low[of] + place, doc[of]
+    first = np.flatnonzero(common < n)  # of each node, or single leaf
+    size = np.diff(np.append(first, len(of)))
+    within = np.where(common < n, np.iinfo(np.int64).max, common)
+    depth = np.minimum.reduceat(within, first)
+    node = np.repeat(np.arange(len(first)), size)
+    rank = np.lexsort((start, doc, node))
+    head = rank[first][node[rank]]
+    later = (doc[head] != doc[rank]) | (start[head] != start[rank])
+    leaf = rank[later]
+    number = depth[node[leaf]] - n + 1
+    each = np.repeat(np.arange(len(leaf)), number)
+    inside = np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)
+    return _runs(doc[leaf][each], start[leaf][each] + inside)
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, fingerprints, hard_negatives, oracle, queries, target_resampling, token_rollups
+from quarry.llm import decontamination, fingerprints, hard_negatives, oracle, queries, substrings, target_resampling, token_rollups
 from tests.llm import helpers as H
 
 SMALL = "/root/testdata/sf0.001"
@@ -304,3 +304,23 @@ def test_telling_shingles():
                     met += 1
                     assert item in index.find(window)[1]
     assert met > 40
+
+
+# ---------------------------------------------------------------- op8
+
+
+def test_suffix_array():
+    """Sorted suffixes, and the words that neighbours share, against a sort of tuples."""
+    rng, n = random.Random(6), 3
+    contexts = [(rng.randrange(3), [rng.randrange(1, 4) for _ in range(rng.randrange(n, 12))]) for _ in range(60)]
+    words = [np.array(w, np.uint64).tobytes() for _, w in contexts]
+    anchor = np.array([a for a, _ in contexts], np.int64)
+    of, place, common = substrings.suffix_array(anchor, words, n)
+    suffixes = [(contexts[c][0], *contexts[c][1][p:]) for c, p in zip(of.tolist(), place.tolist())]
+    assert sorted(zip(of.tolist(), place.tolist())) == [(c, p) for c, (_, w) in enumerate(contexts) for p in range(len(w) - n + 1)]
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common.tolist() == [0] + [max(0, shared(a, b) - 1) for a, b in zip(suffixes, suffixes[1:])]
+    # What shares n words stands together, so each such run is in one stretch.
+    seen = Counter(s[: n + 1] for s in suffixes)
+    stretches = np.split(np.arange(len(of)), np.flatnonzero(common < n)[1:])
+    assert sorted(map(len, stretches)) == sorted(seen.values())
