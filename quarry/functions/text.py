@@ -138,6 +138,24 @@ def citations(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
 
 
+#: A marker, in either kind of brackets, with the blanks before it; fixed values.
+BARE_MARKER = r"[ \t]*(?:\[[0-9]+\]|［[0-9]+］)"
+
+
+def checked_citations(answer: Column, permitted: Column) -> Column:
+    """What becomes of an answer that may cite the numbers of `permitted` (array of int): verdict, used and text.
+
+    Without any permitted number the markers stand for nothing and are taken out (plain). Else the numbers that it uses, in order and once each, must be some and all
+    be permitted (cited); an answer that cites nothing, or something else, is refused, and has no text. A null answer, or permitted, counts as empty.
+    """
+    text, allowed = F.coalesce(answer, F.lit("")), F.coalesce(permitted, F.array().cast("array<int>"))
+    # Markers of more digits than an int has are permitted by nothing.
+    used = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1))))
+    verdict = F.when(F.size(allowed) == 0, "plain").when((F.size(used) > 0) & (F.size(F.array_except(used, allowed)) == 0), "cited").otherwise("refused")
+    kept = F.when(verdict == "plain", F.regexp_replace(text, BARE_MARKER, "")).when(verdict == "cited", text)
+    return F.struct(verdict.alias("verdict"), F.when(verdict == "cited", used).otherwise(F.array().cast("array<int>")).alias("used"), kept.alias("text"))
+
+
 def embedding_text(category: Column, questions: Column, answer: Column) -> Column:
     """The text that a chunk's vector stands for; blank parts are left out."""
     asked = F.array_join(F.filter(questions, lambda q: F.trim(q) != ""), " / ")

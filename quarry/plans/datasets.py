@@ -34,6 +34,25 @@ def near_duplicate_pairs(t: Tables) -> DataFrame:
     return C.near_pairs(t.benchmark.select(F.col("item_id").alias("id"), "text"))
 
 
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(2, len(w) - 2)), lambda i: array_to_string(w[i:i + 3], ' ')))"
+
+
+@query("jon19_near_copies", f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT min(doc_id) AS id, count(*) AS copies, w FROM t WHERE len(w) > 0 GROUP BY w), g AS (SELECT id, copies, {_SHINGLES} AS s FROM c), e AS (SELECT id, unnest(s) AS gram FROM g),
+n AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM e x JOIN e y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, p.copies AS copies_a, q.copies AS copies_b, round(n / CAST(len(p.s) + len(q.s) - n AS DOUBLE), 9) AS jaccard FROM n JOIN g p ON p.id = a JOIN g q ON q.id = b WHERE round(n / CAST(len(p.s) + len(q.s) - n AS DOUBLE), 9) >= 0.7""")
+def near_copies(t: Tables) -> DataFrame:
+    """Documents of nearly the same runs of four words: pairs of distinct texts, each with the number of its copies, so that copies aren't spread out into pairs."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
+    texts = t.documents.select("doc_id", words.alias("w")).where(F.size("w") > 0).withColumn("key", F.sha2(F.array_join("w", " "), 256))
+    one = texts.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.concat_ws(" ", *(F.get("w", i + k) for k in range(-1, 3)))))
+    firsts = texts.join(one, "key").where("doc_id = id")
+    pairs = C.similar_sets(firsts.select("id", runs.alias("grams")), 0.7)
+    a, b = (one.select(F.col("id").alias(x), F.col("copies").alias(f"copies_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "copies_a", "copies_b", "jaccard")
+
+
 @query("jon22_similar_or_equal", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.88 UNION SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON b.label = a.label AND b.vec_id = a.vec_id + 1")
 def similar(t: Tables) -> DataFrame:
     """A threshold join of all vectors with one another; the branch of equal keys is an equality join."""

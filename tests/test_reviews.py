@@ -8,6 +8,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text as X
 from quarry.operators import candidates, mining, splits, windows
 from quarry.sources import jsonl
 from quarry.streaming import events as S
@@ -136,6 +137,14 @@ def test_parse_lines(spark):
     assert rows == {0: ("object", 1), 1: ("object", 2), 2: ("other", None), 6: ("bad", None), 7: ("bad", None), 8: ("other", None), 9: ("bad", None), 10: ("other", None)}
 
 
+def test_checked_citations(spark):
+    cases = [("a [1] b [2] [1]", [1, 2, 3]), ("a [4]", [1]), ("none", [1]), ("x [7] y［8］\t[9].", []), ("x", None), (None, [1]), (None, None), ("[99999999999]", [1]), ("[1] [99999999999]", [1])]
+    df = spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(cases)], "i int, a string, p array<int>").select("i", X.checked_citations(F.col("a"), F.col("p")).alias("c"))
+    got = [tuple(r.c) for r in df.orderBy("i").collect()]
+    refused = ("refused", [], None)
+    assert got == [("cited", [1, 2], cases[0][0]), refused, refused, ("plain", [], "x y."), ("plain", [], "x"), refused, ("plain", [], ""), refused, refused]
+
+
 # ---------------------------------------------------------------- scheduled runs and keyed sinks
 
 
