@@ -72,12 +72,12 @@ def by_range(rows: DataFrame, order: Column) -> DataFrame:
     """
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value, step = order.cast("double"), isqrt(parts)
-    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
-    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: (i + 1) % step == 0))
+    cuts = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_range_cuts"))
+    cuts = cuts.withColumn("_range_coarse", F.filter("_range_cuts", lambda _, i: (i + 1) % step == 0))
     upto = lambda borders: F.size(F.filter(borders, lambda b: b <= value))
-    found = rows.crossJoin(F.broadcast(cuts)).withColumn("_at", upto("_coarse") * step)  # one row
-    fine = F.col("_at") + upto(F.slice("_cuts", F.col("_at") + 1, step))
-    return found.withColumn("_range", F.coalesce(F.greatest(fine, F.lit(0)), F.lit(0))).drop("_cuts", "_coarse", "_at")
+    found = rows.crossJoin(F.broadcast(cuts)).withColumn("_range_at", upto("_range_coarse") * step)  # one row
+    fine = F.col("_range_at") + upto(F.slice("_range_cuts", F.col("_range_at") + 1, step))
+    return found.withColumn("_range", F.coalesce(F.greatest(fine, F.lit(0)), F.lit(0))).drop("_range_cuts", "_range_coarse", "_range_at")
 
 
 def _borders(rows: DataFrame, group: str, **columns: Column) -> DataFrame:
