@@ -13,10 +13,11 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = queries.queries()[name](spark, FOLDER)
     want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({oracle.oracle_sql()[name]})").fetchall()
-    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)  # a rank may be null
 
 
 def test_stages(spark):
