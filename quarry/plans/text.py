@@ -156,32 +156,29 @@ def cited(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(X.citations(bracketed)).cast("long").alias("n"))
 
 
-#: The answers of a conversation, in which numbers are taken for citations, and how many questions there are to cite.
-_ANSWERS = """asked AS (SELECT conv_id, CAST(count(*) FILTER (regexp_matches(text, '[0-9]')) AS INTEGER) * 100 AS n, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1),
-answers AS (SELECT c.conv_id, turn, regexp_replace(text, '([0-9]{1,3})[0-9]*', '[\\1]', 'g') AS reply, coalesce(n, 0) AS n, question FROM conversations c LEFT JOIN asked USING (conv_id) WHERE role = 'assistant'),
+#: Documents as answers, in which numbers are taken for citations; there is a number to cite for each 50 characters.
+_ANSWERS = """answers AS (SELECT doc_id, source, regexp_replace(text, '([0-9]{1,3})[0-9]*', '[\\1]', 'g') AS reply, CAST(n_chars // 50 AS INTEGER) AS n FROM documents),
 used AS (SELECT *, list_distinct(list_transform(regexp_extract_all(reply, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INTEGER))) AS u FROM answers),
 judged AS (SELECT *, CASE WHEN n = 0 THEN 'plain' WHEN len(u) > 0 AND len(list_filter(u, lambda x: NOT x BETWEEN 1 AND n)) = 0 THEN 'cited' ELSE 'refused' END AS verdict FROM used)"""
 
 
 def _answers(t: Tables) -> DataFrame:
-    asked = t.conversations.where("role = 'user'").groupBy("conv_id").agg((F.count_if(F.col("text").rlike("[0-9]")) * 100).cast("int").alias("n"), F.min_by("text", "turn").alias("question"))
-    rows = t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace("text", "([0-9]{1,3})[0-9]*", "[$1]").alias("reply"))
-    n = F.coalesce("n", F.lit(0))
+    n = F.floor(F.col("n_chars") / 50).cast("int")
     permitted = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return rows.join(asked, "conv_id", "left").withColumn("checked", X.checked_citations(F.col("reply"), permitted))
+    return t.documents.select("doc_id", "source", X.checked_citations(F.regexp_replace("text", "([0-9]{1,3})[0-9]*", "[$1]"), permitted).alias("checked"))
 
 
-@query("str36_checked_citations", f"WITH {_ANSWERS} SELECT conv_id, turn, verdict, CASE WHEN verdict = 'cited' THEN len(u) ELSE 0 END AS n_used, sha256(CASE verdict WHEN 'plain' THEN regexp_replace(reply, '[ \\t]*(?:\\[[0-9]+\\]|［[0-9]+］)', '', 'g') WHEN 'cited' THEN reply END) AS text_sha256 FROM judged")
+@query("str36_checked_citations", f"WITH {_ANSWERS} SELECT doc_id, verdict, CASE WHEN verdict = 'cited' THEN len(u) ELSE 0 END AS n_used, sha256(CASE verdict WHEN 'plain' THEN regexp_replace(reply, '[ \\t]*(?:\\[[0-9]+\\]|［[0-9]+］)', '', 'g') WHEN 'cited' THEN reply END) AS text_sha256 FROM judged")
 def checked(t: Tables) -> DataFrame:
-    """Answers that may cite 100 numbers for each question with a number in it: cited, refused, or rid of their markers where there is nothing to cite."""
-    return _answers(t).select("conv_id", "turn", "checked.verdict", F.size("checked.used").cast("long").alias("n_used"), F.sha2(F.col("checked.text"), 256).alias("text_sha256"))
+    """Answers by what they cite: cited, refused, or rid of their markers where there is nothing to cite."""
+    return _answers(t).select("doc_id", "checked.verdict", F.size("checked.used").cast("long").alias("n_used"), F.sha2(F.col("checked.text"), 256).alias("text_sha256"))
 
 
-@query("snk25_missing_citations", f"WITH {_ANSWERS} SELECT conv_id, turn, sha256(trim(question)) AS question_sha256, 'generation_missing_citation' AS entrypoint FROM judged WHERE verdict = 'refused'")
+@query("snk25_missing_citations", f"WITH {_ANSWERS} SELECT source, 'generation_missing_citation' AS entrypoint, count(*) AS n, min(doc_id) AS first FROM judged WHERE verdict = 'refused' GROUP BY 1")
 def missing_citations(t: Tables) -> DataFrame:
-    """A row for review for each answer that was refused for its citations, with the conversation's first question."""
-    found = _answers(t).where("checked.verdict = 'refused'")
-    return found.select("conv_id", "turn", F.sha2(F.trim("question"), 256).alias("question_sha256"), F.lit("generation_missing_citation").alias("entrypoint"))
+    """What is put up for review of each source, as its answers cite nothing or something that isn't there."""
+    found = _answers(t).where("checked.verdict = 'refused'").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return found.withColumn("entrypoint", F.lit("generation_missing_citation"))
 
 
 @query("str38_preview", "SELECT doc_id, substr(text, 1, 120) AS preview FROM documents")
