@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,34 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     to = every.join(lost, every["a"] == lost["_gone"], "left_anti").join(lost.withColumnRenamed("_gone", "_b"), F.col("b") == F.col("_b"), "left_semi")
     to = to.groupBy(F.col("b").alias("_b")).agg(F.min("a").alias("into"))
     return known.join(to, known["id"] == to["_b"], "left").select("id", F.coalesce("into", "id").alias("into"))
+
+
+#: Nodes in the first batch of first_in_order, and in any.
+FIRST, MOST = 4096, 131072
+
+
+def first_in_order(nodes: DataFrame, near: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(id, into) as first_independent, for edges that are looked up when they are needed: near(later, earlier) gives all edges (a, b) between rows b of the one and a of
+    the other part of nodes (id, ...; ids distinct and not null), where at least those with a < b count.
+
+    Batches of the smallest undecided ids are decided among themselves; what is near a kept one is then merged into it and met no more. So the edges of merged nodes, most of all
+    where groups are large, are never written: a table holds those within one batch of at most MOST nodes, or those of one batch's kept nodes. The batches double, so rounds are few.
+    """
+    scratch = Scratch(nodes.sparkSession, "in-order")
+    left, size, turn, done = scratch.table(nodes, "0"), FIRST, 0, nodes.select("id", F.col("id").alias("into")).limit(0)
+    while not left.isEmpty():
+        turn += 1
+        end = left.select("id").orderBy("id").offset(size).limit(1).collect()  # one id, behind the batch
+        batch = left.where(F.col("id") < end[0].id) if end else left
+        among = near(batch, batch).select("a", "b").where("a < b")
+        found = scratch.table(first_independent(batch.select("id"), among), f"batch/{turn}")
+        done = done.union(found)
+        if not end:
+            break
+        kept = batch.join(found.where("id = into").select(F.col("id").alias("_kept")), F.col("id") == F.col("_kept"), "left_semi")
+        rest = left.where(F.col("id") >= end[0].id)
+        merged = scratch.table(near(rest, kept).where("a < b").groupBy("b").agg(F.min("a").alias("into")), f"merged/{turn}")
+        done = done.union(merged.select(F.col("b").alias("id"), "into"))
+        left = scratch.table(rest.join(merged.select("b"), F.col("id") == F.col("b"), "left_anti"), str(turn))
+        size = min(2 * size, MOST)
+    return done

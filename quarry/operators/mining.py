@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from quarry.operators.blocks import SmallSets, vocabulary
 from quarry.operators.candidates import bigrams, similar_sets
-from quarry.operators.graph import first_independent
+from quarry.operators.graph import first_in_order, first_independent
 from quarry.operators.scratch import Scratch
 from quarry.operators.similarity import Cells
 
@@ -106,10 +107,18 @@ def organise(originals: DataFrame, least: float = 0.5, longest: int = 4000) -> D
     same = F.when(F.size("grams") > 0, F.sha2(F.array_join("grams", "\n"), 256)).otherwise(F.concat(F.lit("short "), "short"))
     rows = scratch.table(rows.withColumn("same", same).drop("short"), "keyed")
     first = rows.where("fine").groupBy("same").agg(F.min("id").alias("first"))
-    near = scratch.table(similar_sets(rows.where("fine").join(first, "same").where("id = first").select("id", "grams"), least), "near")
-    into = first_independent(first.select(F.col("first").alias("id")), near).withColumn("opens", F.col("id") == F.col("into"))
-    into = scratch.table(into, "into")
+    sets = scratch.table(rows.where("fine").join(first, "same").where("id = first").select("id", "grams"), "sets")
+    words = vocabulary(sets)
+    if words is None:
+        near = scratch.table(similar_sets(sets, least), "near")
+        into = first_independent(sets.select("id"), near)
+    else:  # of an alphabet: too many pairs are near, so they are looked up for what opens a review only
+        small = SmallSets(scratch, words)
+        into = first_in_order(sets, lambda later, earlier: small.near(later, earlier, least))
+    into = scratch.table(into.withColumn("opens", F.col("id") == F.col("into")), "into")
     opened = into.where("opens").select(F.col("id").alias("_open"))
+    if words is not None:
+        near = small.near(sets, sets.join(opened, F.col("id") == F.col("_open"), "left_semi"), least, 1)
     to = near.join(opened, F.col("a") == F.col("_open"), "left_semi").groupBy(F.col("b").alias("_b")).agg(F.min_by("a", F.struct(-F.col("jaccard"), F.col("a"))).alias("best"))
     review = into.join(to, into["id"] == to["_b"], "left").select(F.col("id").alias("_first"), F.when(F.col("opens"), F.col("id")).otherwise(F.col("best")).alias("review"))
     placed = rows.join(first, "same", "left").join(review, F.col("first") == F.col("_first"), "left")
