@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
 from quarry.operators import candidates
 from quarry.plans import datasets
 from quarry.sources.tables import Tables
@@ -29,3 +32,22 @@ def test_similar_sets_joins_hashes_of_prefixes_only(spark):
     assert not any("gram" in line and "string" in line for line in found._jdf.queryExecution().logical().toString().splitlines())
     files = [f for f in found.inputFiles() if "/ordered/" in f]
     assert files and spark.read.parquet(*files).schema["grams"].dataType.simpleString() == "array<bigint>"
+
+
+PRIVATE = ["", None, "nothing here", "a.b+c@d-e.org x@y", "id 11010519900307123X and 110105199003071234", "订单号: AB-123456", "订单流水号是ZX-99999 订单", "包裹号：SF-1234567", "快递编号 K1234567", "运单号:YT12345678",
+           "call +86 138-1234-5678 or 13812345678", "138 1234", "住在上海市浦东新区世纪大道100号", "北京市", "广东省深圳市南山区", "内蒙古锡林郭勒盟正蓝旗", "﷐ kept ﷑", "姓名：王小明", "我叫李雷", "账号: abc_123", "x 1234567890 y", "12345678901234567",
+           "地址：某处三楼，好", "收货地址: 甲乙丙", "[ADDRESS] 上海市浦东新区", "  padded  ", "微信号 wx_1"]
+
+
+def test_texts_without_what_patterns_need_skip_them(spark):
+    """The same as all patterns on every text, which only texts that may match are put through."""
+    df = spark.createDataFrame([(t,) for t in PRIVATE] + [(f"{a} {b}",) for a in PRIVATE[2:] for b in PRIVATE[2:9]], "t string")
+    t = F.col("t")
+    topic = X._redacted(t)
+    for pattern, token in X.LABELLED:
+        topic = F.regexp_replace(topic, pattern, "$1" + token)
+    topic = F.when(F.trim(F.coalesce(t, F.lit(""))) != "", F.regexp_replace(topic, r"^\s+|\s+$", ""))
+    kinds = F.filter(F.array(*(F.when(t.rlike(p), k) for k, p in X.REDACTIONS.items()), F.when(F.contains(X._redacted(t), F.lit("[ADDRESS]")) & ~F.contains(t, F.lit("[ADDRESS]")), "address")), lambda k: k.isNotNull())
+    got = df.select("t", X.redact(t).alias("r"), X._redacted(t).alias("r0"), X.topic_input(t).alias("i"), topic.alias("i0"), X.private_kinds(t).alias("k"), kinds.alias("k0"), X._may_match(t, X.NEEDED, X.DIGITS).alias("m")).collect()
+    assert all((x.r, x.i, x.k) == (x.r0, x.i0, x.k0) for x in got) and {k for x in got for k in x.k} == {*X.REDACTIONS, "address"}
+    assert [x.m for x in got if x.t in ("nothing here", "138 1234")] == [False, True]
