@@ -9,6 +9,7 @@ from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
 from quarry.operators.graph import components
 from quarry.operators.relational import first_n
+from quarry.operators.scratch import Scratch
 from quarry.operators.splits import stratified_groups
 from quarry.plans.registry import query
 from quarry.plans.retrieval import _BM25, _parts
@@ -99,7 +100,9 @@ def _wanted(t: Tables) -> DataFrame:
     index = chunks.select("chunk_id", F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     key = rare.join(df, "term").groupBy("question_id", "_item").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    return key.join(index, "term").join(chunks, "chunk_id").where(F.contains("text", F.col("_item"))).select(F.col("question_id").alias("case_id"), "chunk_id")
+    # Written, so that their number is known before texts are dealt out for them: where they are few, they go to the texts.
+    met = Scratch(t.spark, "wanted").table(key.join(index, "term").select("question_id", "_item", F.col("chunk_id").alias("_chunk")), "met")
+    return chunks.join(met, F.col("chunk_id") == F.col("_chunk")).where(F.contains("text", F.col("_item"))).select(F.col("question_id").alias("case_id"), "chunk_id")
 
 
 def _cases(t: Tables) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import candidates
-from quarry.plans import datasets
+from quarry.plans import datasets, evaluation
 from quarry.sources.tables import Tables
 
 
@@ -51,3 +51,12 @@ def test_texts_without_what_patterns_need_skip_them(spark):
     got = df.select("t", X.redact(t).alias("r"), X._redacted(t).alias("r0"), X.topic_input(t).alias("i"), topic.alias("i0"), X.private_kinds(t).alias("k"), kinds.alias("k0"), X._may_match(t, X.NEEDED, X.DIGITS).alias("m")).collect()
     assert all((x.r, x.i, x.k) == (x.r0, x.i0, x.k0) for x in got) and {k for x in got for k in x.k} == {*X.REDACTIONS, "address"}
     assert [x.m for x in got if x.t in ("nothing here", "138 1234")] == [False, True]
+
+
+def test_wanted_is_met_before_texts_travel(spark, tmp_path):
+    spark.createDataFrame([(1, "red fox"), (2, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "a red fox ran"), (8, "fox red"), (9, "red")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = evaluation._wanted(Tables(spark, str(tmp_path)))
+    assert [tuple(r) for r in found.collect()] == [(1, 7)]
+    assert not any("Aggregate" in line or "Generate" in line for line in _plan(found))
