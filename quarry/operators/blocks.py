@@ -1,4 +1,4 @@
-"""Jaccard similarity of sets over a small vocabulary, block by block.
+"""Comparisons block by block: Jaccard similarity of sets over a small vocabulary, and items that ask and answer alike.
 
 Where the whole vocabulary has a few thousand members, such as the bigrams of an alphabet, any two sets share frequent ones, so an inverted index brings nearly all pairs together,
 each many times. Here sets are rows of a matrix: two blocks of bounded size meet once, in a task that gives back only what is near. No pair is a row before that.
@@ -92,3 +92,75 @@ class SmallSets:
         met = x.repartition(parts).crossJoin(y).where("y_low < x_high")
         found = met.mapInArrow(partial(_compare, n=len(self.words), least=least, most=most), _NEAR)
         return found.select("a", "b", F.round(F.col("both") / F.col("union"), 9).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+#: Items in a block, and decimal places that cosines are rounded to before they are compared.
+ITEMS, PLACES = 4096, 9
+_SIDES = ("question", "answer")
+
+
+def _pack_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ITEMS items whose vectors have the same lengths (0: none), scaled to length 1."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ITEMS):
+            part = batch.slice(at, ITEMS)
+            n = np.stack([pc.fill_null(pc.list_value_length(part.column(f"{s}_vec")), 0).to_numpy(zero_copy_only=False) for s in _SIDES], axis=1)
+            for own in np.unique(n, axis=0):
+                of = np.flatnonzero((n == own).all(axis=1))
+                some = part.take(pa.array(of))
+                columns = [some.column("block").to_numpy(zero_copy_only=False).astype(np.int64)]
+                for side in _SIDES:
+                    key = some.column(f"{side}_key")
+                    columns += [pc.fill_null(key, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(key).to_numpy(zero_copy_only=False)]
+                for side, width in zip(_SIDES, own):
+                    v = some.column(f"{side}_vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(of), width) if width else np.zeros((len(of), 0))
+                    columns.append(v / np.linalg.norm(v, axis=1, keepdims=True) if width else v)
+                ids = some.column("id")
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), ids), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=_ITEM_COLUMNS)
+
+
+_ITEM_COLUMNS = ["ids", "block", "question_key", "question_known", "answer_key", "answer_known", "question_vec", "answer_vec"]
+_TYPES = dict(zip(_ITEM_COLUMNS[1:], (np.int64, np.int64, bool, np.int64, bool, float, float)))
+
+
+def _compare_items(batches: Iterator[pa.RecordBatch], least: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks: items of x with the smaller ones of y that are like them."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            x, y = ({c: np.frombuffer(batch.column(side + c)[row].as_buffer(), t) for c, t in _TYPES.items()} for side in ("x_", "y_"))
+            xi, yi = batch.column("x_ids")[row].values, batch.column("y_ids")[row].values
+            order = np.unique(np.array([*xi.to_pylist(), *yi.to_pylist()]), return_inverse=True)[1]
+            xo, yo = order[: len(xi)], order[len(xi) :]
+            vectors = {s: (x[f"{s}_vec"].reshape(len(xi), -1), y[f"{s}_vec"].reshape(len(yi), -1)) for s in _SIDES}
+            for at in range(0, len(xi), 512):
+                part = slice(at, at + 512)
+                alike = (x["block"][part, None] == y["block"][None, :]) & (yo[None, :] < xo[part, None])
+                for side, t in zip(_SIDES, least):
+                    same = (x[f"{side}_key"][part, None] == y[f"{side}_key"][None, :]) & x[f"{side}_known"][part, None] & y[f"{side}_known"][None, :]
+                    v, w = vectors[side]
+                    alike &= same | (np.round(v[part] @ w.T, PLACES) >= t) if v.shape[1] == w.shape[1] > 0 else same
+                i, j = np.nonzero(alike)
+                yield pa.RecordBatch.from_arrays([yi.take(pa.array(j)), xi.take(pa.array(i + at))], names=["a", "b"])
+
+
+class Alike:
+    """Comparisons of items (id, block, question_key, answer_key: longs or null, question_vec, answer_vec: null, or finite and not zero): two are alike if their blocks are equal and
+    both their questions and their answers are: by equal keys, or a cosine that reaches its threshold. Null keys and vectors, and those of another length, are like no other."""
+
+    def __init__(self, scratch: Scratch, least_question: float, least_answer: float) -> None:
+        self.scratch, self.least, self.n = scratch, (least_question, least_answer), 0
+
+    def _packed(self, items: DataFrame, side: str) -> tuple[DataFrame, int]:
+        some = items.select("id", "block", "question_key", "answer_key", "question_vec", "answer_vec")
+        parts = max(1, -(-some.count() // ITEMS))
+        schema = f"ids array<{items.schema['id'].dataType.simpleString()}>, " + ", ".join(f"{c} binary" for c in _ITEM_COLUMNS[1:])
+        self.n += 1
+        rows = self.scratch.table(some.repartition(parts, F.xxhash64("id")).mapInArrow(_pack_items, schema), f"packed/{self.n}")
+        return rows.select(*(F.col(c).alias(side + c) for c in rows.columns)), parts
+
+    def near(self, later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """(a, b): the items a of `earlier` that are like an item b of `later` and have a smaller id."""
+        x, parts = self._packed(later, "x_")
+        y, _ = self._packed(earlier, "y_")
+        typ = later.schema["id"].dataType.simpleString()
+        return x.repartition(parts).crossJoin(y).mapInArrow(partial(_compare_items, least=self.least), f"a {typ}, b {typ}")

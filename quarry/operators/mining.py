@@ -7,13 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from quarry.operators.blocks import SmallSets, vocabulary
+from quarry.operators.blocks import Alike, SmallSets, vocabulary
 from quarry.operators.candidates import bigrams, similar_sets
 from quarry.operators.graph import first_in_order, first_independent
 from quarry.operators.scratch import Scratch
-from quarry.operators.similarity import Cells
+from quarry.operators.similarity import usable
 
 
 def question_key(text: Column) -> Column:
@@ -65,13 +64,12 @@ def merge_similar(items: DataFrame, block: str | None = None, least_question: fl
 
     Two questions, or answers, are alike if their keys are equal or the cosine of their vectors reaches the threshold; a null key
     or vector is like no other. A question's or answer's key has one vector, that of the first item that has one. So items of equal keys are one item, and no group of
-    them is spread out into pairs. The pairs come from threshold joins over all items, so nothing is cut into blocks and no group is folded in one place. With block,
-    only items of one block are alike. Keys other than numbers stand behind a 64-bit hash in these joins.
+    them is spread out into pairs. Items are taken in batches (first_in_order) and compared as matrices (blocks.Alike), with all that is kept, so nothing is cut and no group is folded in one place. With block,
+    only items of one block are alike. The keys of questions and answers stand behind 64-bit hashes there.
     """
     scratch = Scratch(items.sparkSession, "merge")
-    number = F.col("key") if isinstance(items.schema["key"].dataType, LongType) else F.xxhash64("key")
     there = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
-    items = items.select("key", number.alias("id"), (F.col(block) if block else F.lit(0)).alias("block"), there("question_key").alias("question_key"), "question_vec", there("answer_key").alias("answer_key"), "answer_vec")
+    items = items.where("key IS NOT NULL").select("key", (F.col(block) if block else F.lit(0)).alias("block"), there("question_key").alias("question_key"), "question_vec", there("answer_key").alias("answer_key"), "answer_vec")
     for name in ("question", "answer"):
         key, vector = f"{name}_key", f"{name}_vec"
         known = items.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(vector, "key").alias("_vec"))
@@ -81,15 +79,13 @@ def merge_similar(items: DataFrame, block: str | None = None, least_question: fl
     one = items.where("question_key IS NOT NULL AND answer_key IS NOT NULL").groupBy(*(F.col(c).alias(f"_{c}") for c in ("block", "question_key", "answer_key"))).agg(F.min("key").alias("_of"))
     same = F.col("block").eqNullSafe(F.col("_block")) & (F.col("question_key") == F.col("_question_key")) & (F.col("answer_key") == F.col("_answer_key"))
     rows = scratch.table(items.join(one, same, "left").withColumn("of", F.coalesce("_of", "key")).drop("_block", "_question_key", "_answer_key", "_of"), "classes")
-    firsts = rows.where("key = of")
-    asked, said = (Cells(firsts, "id", f"{name}_vec").pairs(t).select("a", "b") for name, t in (("question", least_question), ("answer", least_answer)))
-    both = asked.intersect(said).withColumns({"asked": F.lit(True), "said": F.lit(True)})
-    pairs = both.unionByName(asked.withColumns({"asked": F.lit(True), "said": F.lit(False)})).unionByName(said.withColumns({"asked": F.lit(False), "said": F.lit(True)}))
-    end = lambda x: firsts.select(F.col("id").alias(x), F.struct("key", "block", "question_key", "answer_key").alias(f"_{x}"))
-    alike = (F.col("asked") | (F.col("_a.question_key") == F.col("_b.question_key"))) & (F.col("said") | (F.col("_a.answer_key") == F.col("_b.answer_key")))
-    edges = pairs.join(end("a"), "a").join(end("b"), "b").where(alike & F.col("_a.block").eqNullSafe(F.col("_b.block"))).select(F.col("_a.key").alias("a"), F.col("_b.key").alias("b"))
-    into = first_independent(firsts.select(F.col("key").alias("id")), edges).withColumnRenamed("id", "_id")
-    return rows.join(into, rows["of"] == into["_id"]).select("key", "into")
+    # Edges are looked up for what is kept only: where the thresholds are low, they are a share of all pairs.
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
+    firsts = rows.where("key = of").select(F.col("key").alias("id"), F.xxhash64("block").alias("block"), *(hashed(f"{n}_key") for n in ("question", "answer")), *(usable(f"{n}_vec").alias(f"{n}_vec") for n in ("question", "answer")))
+    met = firsts.where("question_vec IS NOT NULL OR answer_vec IS NOT NULL")  # the others are like no other: equal keys were taken together
+    alike = Alike(scratch, least_question, least_answer)
+    into = first_in_order(met, alike.near).select(F.col("id").alias("_id"), "into")
+    return rows.join(into, rows["of"] == into["_id"], "left").select("key", F.coalesce("into", "of").alias("into"))
 
 
 def organise(originals: DataFrame, least: float = 0.5, longest: int = 4000) -> DataFrame:

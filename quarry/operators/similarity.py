@@ -27,11 +27,15 @@ _PLACED = "id long, cell int, near double, v array<double>"
 _PAIRS = "a long, b long, score double"
 
 
+def usable(column: str) -> Column:
+    """A vector of doubles; null if it is empty, zero, or partly null or not finite."""
+    v = F.col(column).cast("array<double>")
+    return F.when(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), v)
+
+
 def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     """(id, v): vectors that aren't null, empty, zero or partly null or not finite; of rows that repeat an id, the smallest vector."""
-    v = F.col(column).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), usable(column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 

@@ -69,7 +69,8 @@ _TEXT_VECTORS = "items AS (SELECT doc_id AS id, lower(trim(substr(text, 1, 300))
 def _text_vectors(t: Tables) -> DataFrame:
     vectors = t.embeddings.select("vec_id", "embedding")
     key = F.lower(F.trim(F.substring("text", 1, 300))).alias("key")
-    return t.documents.join(vectors, F.col("vec_id") == F.col("doc_id"), "left").select(F.col("doc_id").alias("id"), key, "lang", F.col("embedding").alias("vector"))
+    begun = t.documents.select(F.col("doc_id").alias("id"), key, "lang")  # before the join, which would deal out whole texts
+    return begun.join(vectors, F.col("vec_id") == F.col("id"), "left").select("id", "key", "lang", F.col("embedding").alias("vector"))
 
 
 @query("udf04_equivalent_texts", f"""WITH {_TEXT_VECTORS}, held AS (SELECT *, min(id) OVER (PARTITION BY key) AS first FROM items), firsts AS (SELECT id, v FROM held WHERE id = first)
