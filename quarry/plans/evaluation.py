@@ -92,22 +92,35 @@ cases AS (SELECT w.case_id, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS re
   FROM wanted w LEFT JOIN bm25 b ON b.question_id = w.case_id AND b.chunk_id = w.chunk_id GROUP BY 1)"""
 
 
-def _wanted(t: Tables) -> DataFrame:
-    """case_id and chunk_id: the documents that hold each item."""
+#: Words of an item that a document must have before its text is looked at.
+_KEYS = 3
+
+
+def _wanted(t: Tables, index: R.Bm25Index | None = None) -> DataFrame:
+    """case_id and chunk_id: the documents that hold each item. They have all words of it that don't touch its ends, so the rarest of these are looked up in the index, and containment is the residue.
+    An item without such words is sought in all texts."""
     asked, chunks, _ = _parts(t)
-    # Which documents hold an item: they share all of its words, so one word of it is the key, and containment the residue.
-    rare = asked.select("question_id", F.col("text").alias("_item"), F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term"))
-    index = chunks.select("chunk_id", F.explode(F.array_distinct(R.terms(F.col("text")))).alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    key = rare.join(df, "term").groupBy("question_id", "_item").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    index = index or R.Bm25Index(chunks, asked)
+    scratch = Scratch(t.spark, "wanted")
+    inner = F.regexp_replace("text", r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", "")
+    items = scratch.table(asked.where("text IS NOT NULL").select(F.col("question_id").alias("case_id"), F.col("text").alias("_item"), F.array_distinct(R.terms(inner)).alias("words")), "items")
+    words = scratch.table(items.select("case_id", F.explode("words").alias("term")), "words")
+    df = scratch.table(index.of(words).groupBy("term").agg(F.sum("n").alias("df")), "df")
+    keys = first_n(words.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))), _KEYS, ["case_id"], F.col("df"), F.col("term"))
+    keys = scratch.table(keys.withColumn("n", F.count("*").over(Window.partitionBy("case_id"))).select("case_id", "term", "n"), "keys")
     # Written, so that their number is known before texts are dealt out for them: where they are few, they go to the texts.
-    met = Scratch(t.spark, "wanted").table(key.join(index, "term").select("question_id", "_item", F.col("chunk_id").alias("_chunk")), "met")
-    return chunks.join(met, F.col("chunk_id") == F.col("_chunk")).where(F.contains("text", F.col("_item"))).select(F.col("question_id").alias("case_id"), "chunk_id")
+    met = index.postings.join(keys, "term").select("case_id", keys["n"], F.explode(F.array_distinct("ids")).alias("_chunk"))
+    met = scratch.table(met.groupBy("case_id", "_chunk").agg(F.count("*").alias("found"), F.first("n").alias("n")).where("found >= n").select("case_id", "_chunk"), "met")
+    near = chunks.join(met, F.col("chunk_id") == F.col("_chunk")).join(items.select("case_id", "_item"), "case_id")
+    found = near.where(F.contains("text", F.col("_item"))).select("case_id", "chunk_id")
+    short = items.where(F.size("words") == 0).select("case_id", "_item")
+    return found if short.isEmpty() else found.union(chunks.join(short, F.contains("text", F.col("_item"))).select("case_id", "chunk_id"))
 
 
 def _cases(t: Tables) -> DataFrame:
     asked, chunks, _ = _parts(t)
-    return M.retrieval_cases(_wanted(t), R.bm25(asked, chunks).withColumnRenamed("question_id", "case_id"))
+    index = R.Bm25Index(chunks, asked)
+    return M.retrieval_cases(_wanted(t, index), index.search(asked).withColumnRenamed("question_id", "case_id"))
 
 
 @query("agg26_recall_and_mrr", _CASES + " SELECT case_id, round(recall_1, 9) AS recall_1, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(mrr, 9) AS mrr FROM cases")
