@@ -15,6 +15,7 @@ from quarry.operators.candidates import best_matches, near_pairs
 from quarry.operators.graph import components
 from quarry.operators.mining import organise
 from quarry.operators.relational import first_n
+from quarry.operators.scratch import Scratch
 from quarry.operators.splits import assemble
 from quarry.operators.windows import build_turns, pack_turns
 from quarry.plans.evaluation import _wanted
@@ -249,8 +250,10 @@ cases AS (SELECT strategy, w.case_id, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0
 def strategy_evaluation(t: Tables) -> DataFrame:
     """Every case by every strategy: the means of recall and reciprocal rank."""
     asked, chunks, vectors = _parts(t)
-    wanted = _wanted(t)
-    each = [M.retrieval_cases(wanted, R.search(asked, chunks, vectors, s).withColumn("rank", F.col("rank") + int(s == "hybrid_rerank")).withColumnRenamed("question_id", "case_id")).withColumn("strategy", F.lit(s)) for s in R.STRATEGIES]
+    index = R.Bm25Index(chunks, asked)
+    wanted = Scratch(t.spark, "cases").table(_wanted(t, index), "wanted")
+    hits = R.strategies(asked, chunks, vectors, index=index)
+    each = [M.retrieval_cases(wanted, found.withColumn("rank", F.col("rank") + int(s == "hybrid_rerank")).withColumnRenamed("question_id", "case_id")).withColumn("strategy", F.lit(s)) for s, found in hits.items()]
     means = [F.round(F.avg(c), 4).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mrr")]
     return reduce(DataFrame.unionByName, each).groupBy("strategy").agg(F.count("*").alias("n_cases"), *means)
 
