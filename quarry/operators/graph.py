@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 from quarry.operators.scratch import Scratch
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows for a join that deals both sides out."""
+    return rows.hint("merge")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each of nodes (id) reaches over edges (a, b).
 
     Each round takes the smallest label among neighbours and then the label of that label, which halves chains. Rounds are
-    written to the folder that the session names in spark.checkpoint.dir, so that lineage doesn't grow.
+    written to the folder that the session names in spark.checkpoint.dir, so that lineage doesn't grow. Labels aren't broadcast: written by number they
+    are so small that each round would send all of them through the driver. Nodes without edges, which keep their label, take no part in the rounds.
     """
     written = Scratch(nodes.sparkSession, "components").table
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels, turn = written(nodes.select("id", F.col("id").alias("label")), "0"), 0
+    every, apart = nodes.select("id"), _dealt(both.select(F.col("a").alias("_a")).distinct())
+    labels, turn = written(_dealt(every).join(apart, F.col("id") == F.col("_a"), "left_semi").select("id", F.col("id").alias("label")), "0"), 0
+    alone = _dealt(every).join(apart, F.col("id") == F.col("_a"), "left_anti").select("id", F.col("id").alias("component"))
     while True:
         turn += 1
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = _dealt(both).join(_dealt(labels), both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
+        step = _dealt(labels).join(_dealt(near), labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("_at"), F.col("label").alias("_to"))
-        step = written(step.join(jump, step["label"] == jump["_at"], "left").select("id", "old", F.least("label", "_to").alias("label")), str(turn))
+        step = written(_dealt(step).join(_dealt(jump), step["label"] == jump["_at"], "left").select("id", "old", F.least("label", "_to").alias("label")), str(turn))
         if step.where("old <> label").isEmpty():
-            return step.select("id", F.col("label").alias("component"))
+            return alone.unionByName(step.select("id", F.col("label").alias("component")))
         labels = step.select("id", "label")
 
 
