@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,12 +85,42 @@ def sections(files: DataFrame) -> DataFrame:
     Lines depend on what stands above, so a file is read in one piece; files are spread over tasks.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, " > ".join(t), t[-1], " > ".join(t[:-1]) or t[-1], n, k, b) for p, text in zip(batch["path"], batch["text"]) for t, n, k, b in _blocks(text)]
-            yield pd.DataFrame(rows, columns=["path", "section_path", "title", "category", "block_no", "kind", "text"])
+    return files.select("path", "text").mapInArrow(_parse, _schema(BLOCKS))
 
-    return files.select("path", "text").mapInPandas(parse, "path string, section_path string, title string, category string, block_no int, kind string, text string")
+
+#: Rows of an Arrow batch that are Python objects at a time, and characters of text after which what is found is handed on.
+ROWS, CHARS = 256, 1 << 20
+BLOCKS = {"path": pa.string(), "section_path": pa.string(), "title": pa.string(), "category": pa.string(), "block_no": pa.int32(), "kind": pa.string(), "text": pa.string()}
+
+
+def _schema(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} { {pa.int32(): 'int', pa.bool_(): 'boolean'}.get(t, 'string')}" for c, t in columns.items())
+
+
+def _batches(rows: Iterable[tuple], columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows, whose text is columns["text"], as batches of about CHARS characters; an empty one at least."""
+    at, held, size = list(columns).index("text"), [], 0
+    whole = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(columns.values())], names=list(columns))
+    for row in rows:
+        held.append(row)
+        size += len(row[at]) + 64
+        if size >= CHARS:
+            yield whole()
+            held, size = [], 0
+    yield whole()
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows of Arrow batches, of which a few at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield from zip(*(part.column(c).to_pylist() for c in names))
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks = ((p, " > ".join(t), t[-1], " > ".join(t[:-1]) or t[-1], n, k, b) for p, text in _rows(batches, "path", "text") for t, n, k, b in _blocks(text))
+    yield from _batches(blocks, BLOCKS)
 
 
 def split_table(text: str, budget: int, most: int = 20) -> list[tuple[str, bool]]:
@@ -146,36 +176,36 @@ def _pack(units: list[tuple[str, str, int]], budget: Budget) -> list[tuple[str,
     return out
 
 
-CHUNKS = "path string, section_path string, title string, category string, chunk_index int, kind string, text string, flagged boolean"
+CHUNKS = {"path": pa.string(), "section_path": pa.string(), "title": pa.string(), "category": pa.string(), "chunk_index": pa.int32(), "kind": pa.string(), "text": pa.string(), "flagged": pa.bool_()}
 
 
-def _fold(batches: Iterator[pd.DataFrame], budget: Budget) -> Iterator[pd.DataFrame]:
-    """Chunks of blocks in the order of sections; only the open section's units pass from one batch to the next."""
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
+def _fold(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[pa.RecordBatch]:
+    """Chunks of blocks in the order of sections; only the open section's units pass from one row to the next."""
+    yield from _batches(_folded(batches, budget), CHUNKS)
+
+
+def _folded(batches: Iterator[pa.RecordBatch], budget: Budget) -> Iterator[tuple]:
     section: tuple | None = None
     units: list[tuple[str, str, int]] = []
 
-    def packed() -> list[tuple]:
-        return [(*section, i, kind, text, flagged) for i, (text, kind, flagged) in enumerate(_pack(units, budget))] if section else []
+    def packed() -> Iterator[tuple]:
+        return ((*section, i, kind, text, flagged) for i, (text, kind, flagged) in enumerate(_pack(units, budget))) if section else iter(())
 
-    for batch in batches:
-        out: list[tuple] = []
-        for r in batch.itertuples(index=False):
-            if section is None or (r.path, r.section_path) != section[:2]:
-                out += packed()
-                section, units = (r.path, r.section_path, r.title, r.category), []
-            for u in r.units:
-                parts = split_table(u, budget.text) if r.kind == "table" else [(u, False)]
-                units += [(p, r.kind, max(1, int(len(p) / 1.1 + 0.999))) for p, _ in parts]
-        yield pd.DataFrame(out, columns=names)
-    yield pd.DataFrame(packed(), columns=names)
+    for path, section_path, title, category, kind, texts in _rows(batches, "path", "section_path", "title", "category", "kind", "units"):
+        if section is None or (path, section_path) != section[:2]:
+            yield from packed()
+            section, units = (path, section_path, title, category), []
+        for u in texts:
+            parts = split_table(u, budget.text) if kind == "table" else [(u, False)]
+            units += [(p, kind, max(1, int(len(p) / 1.1 + 0.999))) for p, _ in parts]
+    yield from packed()
 
 
 def chunks(blocks: DataFrame, budget: Budget) -> DataFrame:
     """path, section_path, title, category, chunk_index, kind, text, flagged, content_hash, chunk_key of the sections' blocks."""
     cut = blocks.withColumn("units", F.when(F.col("kind") == "text", sentences("text")).otherwise(F.array("text"))).drop("text")
     ordered = cut.repartition("path", "section_path").sortWithinPartitions("path", "section_path", "block_no")
-    found = ordered.mapInPandas(partial(_fold, budget=budget), CHUNKS)
+    found = ordered.mapInArrow(partial(_fold, budget=budget), _schema(CHUNKS))
     hashed = found.withColumn("content_hash", F.sha2("text", 256))
     return hashed.withColumns({"tokens": token_estimate(F.col("text")), "chunk_key": digest(F.col("path"), F.concat_ws("#", "section_path", F.col("chunk_index").cast("string")), F.col("content_hash"))})
 
